@@ -12,6 +12,7 @@ import re
 LETTER = r"\p{L}" + "\U00010400"
 WORD = LETTER + r"\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 NON_ALNUM = r"[^\p{L}\p{N}]"
@@ -80,3 +81,13 @@ def any_of(patterns):
         pieces = [_piece(p) for p in _PIECES.findall(pattern)]
         bodies.append(f"(?<={pieces[1]}){pieces[1]}*{''.join(pieces[3:])}")
     return f"[{words}{others}]{_at_start(words, others)}(?:{'|'.join(bodies)})"
+
+
+def whole_words(words):
+    """Java pattern for any of ``words`` (lower-case) as whole words, any case."""
+    def letters(word):
+        return "".join(f"[{c}{c.upper()}]" for c in word)
+
+    first = "".join(c + c.upper() for c in sorted({w[0] for w in words}))
+    rest = "|".join(f"(?<={letters(w[0])}){letters(w[1:])}" for w in sorted(words))
+    return f"[{first}](?<![{WORD}][{first}])(?:{rest})(?![{WORD}])"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.patterns import (
-    LETTER, SPACE, WORD, any_of, both_cases, char_class, to_java,
+    BLANKS, LETTER, SPACE, WORD, any_of, both_cases, char_class, to_java,
 )
 
 _NON_ASCII = r"[^\x00-\x7F]"
@@ -175,7 +175,7 @@ def _merge(patterns):
 
 def strip_blanks(col):
     """Trim Python blanks at both ends."""
-    return F.regexp_replace(col, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def single_blanks(col):
@@ -223,40 +223,21 @@ def anagram_word(bare, words=None, safe=None):
     """The lexicon word a word is an anagram of, or null."""
     words = words or lexicon.TOXIC_WORDS
     by_key = {"".join(sorted(w)): w for w in words}
-    rules = F.when(bare.isin(words) | is_safe_word(bare, safe), None)
-    lengths = sorted({len(w) for w in words})
-    key = sorted_letters(bare)
-    found = _let(key, lambda k: _first_of(k, lambda k, x: k == x, by_key))
-    return rules.when(F.length(bare).isin(lengths), found)
+    table = F.create_map(*[F.lit(x) for pair in by_key.items() for x in pair])
+    found = F.try_element_at(table, sorted_letters(bare))
+    return F.when(~(bare.isin(words) | is_safe_word(bare, safe)), found)
 
 
-def near_word(bare, words=None, safe=None):
+def near_word(bare, words=None, safe=None, swaps=False):
     """The first lexicon word at distance one from a word, or null.
 
-    Meant for words that are no anagrams of a lexicon word: for those, adjacent
-    swaps cannot occur and the plain edit distance says the same.
+    Without ``swaps`` it is meant for words that are no anagrams of a lexicon word:
+    for those, adjacent swaps cannot occur and the plain edit distance says the same.
     """
     words = words or lexicon.TOXIC_WORDS
-    rules = F.when(bare.isin(words) | is_safe_word(bare, safe), None)
-    return rules.otherwise(
-        _first_of(bare, lambda b, x: F.levenshtein(b, F.lit(x), 1) == 1, {w: w for w in words})
-    )
-
-
-def near_word_alone(bare, words=None, safe=None):
-    """As ``near_word`` for any word, swaps included."""
-    words = words or lexicon.TOXIC_WORDS
-    rules = F.when(bare.isin(words) | is_safe_word(bare, safe), None)
-    return rules.otherwise(
-        _first_of(bare, lambda b, x: osa_within_1(b, F.lit(x)), {w: w for w in words})
-    )
-
-
-def _first_of(value, test, outcomes):
-    rules = F
-    for key, outcome in outcomes.items():
-        rules = rules.when(test(value, key), outcome)
-    return rules
+    near = osa_within_1 if swaps else (lambda a, b: F.levenshtein(a, b, 1) == 1)
+    found = F.get(F.filter(F.array(*map(F.lit, words)), lambda w: near(bare, w)), 0)
+    return F.when(~(bare.isin(words) | is_safe_word(bare, safe)), found)
 
 
 def _let(value, body):
@@ -321,7 +302,7 @@ def fold_near_words(col, words=None, safe=None):
     """N9 on its own: words one edit (or adjacent swap) from a lexicon word
     become the first such word."""
     words = words or lexicon.TOXIC_WORDS
-    return _rewrite_words(col, lambda b: near_word_alone(b, words, safe), words, near=True)
+    return _rewrite_words(col, lambda b: near_word(b, words, safe, swaps=True), words, near=True)
 
 
 def fold_words(col, words=None, safe=None):

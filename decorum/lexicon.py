@@ -135,11 +135,18 @@ PII_ENTITIES = ["PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN"]
 # Recognizers for the pattern-shaped entities, most specific first. They use
 # only syntax that RE2 and java.util.regex read alike.
 PII_PATTERNS = {
-    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}\b",
+    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}\b",
     "US_SSN": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "PHONE_NUMBER": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
 }
 
+# What every match of a recognizer contains; quick to look for.
+PII_HINTS = {
+    "EMAIL_ADDRESS": "@",
+    "US_SSN": "-[0-9]{2}-",
+    "PHONE_NUMBER": "[ .-][0-9]{4}",
+}
+
 # A short list of English function words for the term reports; the classifier
 # defaults to the list that ships with Spark ML.
 COMMON_STOPS = """
