@@ -4,13 +4,12 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.scores import explanation
+from decorum.session import small_table
 
 
 def policy_table(spark, policies=None):
     """(llm_label, policy), one row per label."""
-    return spark.createDataFrame(
-        list((policies or lexicon.POLICIES).items()), "llm_label string, policy string"
-    )
+    return small_table(spark, (policies or lexicon.POLICIES).items(), ("llm_label", "policy"))
 
 
 def map_policy(df, policies):

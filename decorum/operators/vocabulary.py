@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.text import osa_within_1, sorted_letters
+from decorum.session import small_table
 
 
 def words(df, col="text"):
@@ -18,12 +19,11 @@ def words(df, col="text"):
 
 def lexicon_table(spark, entries=None):
     """(ord, lexicon_word) of a word list."""
-    rows = list(enumerate(entries or lexicon.TOXIC_WORDS))
-    return spark.createDataFrame(rows, "ord int, lexicon_word string")
+    return small_table(spark, enumerate(entries or lexicon.TOXIC_WORDS), ("ord", "lexicon_word"))
 
 
 def word_table(spark, entries):
-    return spark.createDataFrame([(w,) for w in entries], "word string")
+    return small_table(spark, [(w,) for w in entries], ("word",))
 
 
 def _with_deletions(word):

@@ -365,7 +365,9 @@ def stream_dedup(spark, folder):
 
 def stream_risk_windows(spark, folder):
     base = shared_folder(spark, "windows")
-    counts = stream.stream_stats(stream.score_stream(_arrival_stream(spark, folder)))
+    # One input file arrives as one piece: deal its comments out before scoring.
+    arrivals = _arrival_stream(spark, folder).repartition(spark.sparkContext.defaultParallelism)
+    counts = stream.stream_stats(stream.score_stream(arrivals))
     _finish(stream.write_updates(counts, f"{base}/counts", f"{base}/state"))
     newest = stream.latest(spark.read.parquet(f"{base}/counts"), ["window_start", "risk_level"])
     start = F.timestamp_diff("SECOND", F.timestamp_seconds(F.lit(0)), F.col("window_start"))

@@ -38,3 +38,10 @@ def utc_timestamp(col):
     """A zone-less UTC time as an instant, whatever the session zone is."""
     micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
     return F.timestamp_micros(micros)
+
+
+def small_table(spark, rows, names):
+    """A table of a few literal rows, whose size the planner knows (and so
+    broadcasts it)."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
