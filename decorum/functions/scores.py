@@ -103,4 +103,5 @@ def batch_scorer(load, error_label="error"):
             rows = [(None, None, None) if t is None else one(t) for t in texts]
             yield pd.DataFrame(rows, columns=["label", "score", "error"])
 
-    return score_batches
+    # So that a later filter on the result does not run the classifier a second time.
+    return score_batches.asNondeterministic()

@@ -36,8 +36,9 @@ def spread(df):
 
 def utc_timestamp(col):
     """A zone-less UTC time as an instant, whatever the session zone is."""
-    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col)
-    return F.timestamp_micros(micros)
+    minutes = F.unix_date(col.cast("date")) * 1440 + F.hour(col) * 60 + F.minute(col)
+    seconds = F.extract(F.lit("SECOND"), col)
+    return F.timestamp_micros(minutes.cast("long") * 60_000_000 + (seconds * 1_000_000).cast("long"))
 
 
 def small_table(spark, rows, names):
