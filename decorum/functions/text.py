@@ -196,7 +196,7 @@ def in_gate(bare):
 
 def sorted_letters(word):
     """Anagram key: the letters in order."""
-    return F.array_join(F.array_sort(F.split(word, "")), "")
+    return F.array_join(F.sort_array(F.split(word, "")), "")
 
 
 def is_safe_word(col, safe=None):
@@ -245,39 +245,45 @@ def _let(value, body):
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _rest(text):
-    return F.regexp_replace(text, "^ ", "")
+def _letters(word):
+    return "".join(f"[{both_cases(c)}]" for c in word)
 
 
-def _any_literal(pieces):
-    return "|".join("".join(f"[{both_cases(c)}]" for c in p) for p in sorted(set(pieces)))
+def _anagram_shape(word):
+    """Words of this length and these letters, in any order and number."""
+    return f"[{both_cases(''.join(sorted(set(word))))}]{{{len(word)}}}"
 
 
-def _anagram_shapes(words):
-    """Patterns that a word must begin with to be an anagram."""
-    return [f"[{both_cases(''.join(sorted(set(w))))}]{{{len(w)}}}" for w in words]
+def _near_shapes(word):
+    """(patterns to begin with, pattern to end with) of words within one edit.
+
+    One edit leaves the first or the second half of a word as it is, and in the other
+    half all letters but one.
+    """
+    first, second = word[:len(word) // 2], word[len(word) // 2:]
+    span = rf"\p{{L}}{{{len(second) - 1},{len(second) + 1}}}"
+    some = rf"(?=\p{{L}}*[{both_cases(second)}])" if len(second) > 1 else ""
+    return rf"{_letters(first)}{some}{span}", _letters(second)
 
 
 def _rewrite_words(col, rewrite, words, near):
     """Replace the words that ``rewrite`` maps to something.
 
-    One scan over the text marks the words that can come into question: as an
-    anagram, a word has the letters of a lexicon word; at distance one (``near``),
-    it keeps the first or the second half of a lexicon word whole. Only the marked
-    words are put through the exact rule. The mark is a newline, which no text
-    holds once its blanks have become single spaces.
+    One scan over the text marks the words that can come into question; only these are
+    put through the exact rule. The mark is a newline, which no text holds once its
+    blanks have become single spaces.
     """
     sizes = [len(w) for w in words]
     low, high = max(3, min(sizes) - near), min(8, max(sizes) + near)
     trim = f"[{char_class(lexicon.WORD_TRIM)}]*+"
-    heads = _anagram_shapes(words)
-    tails = ""
+    heads, tail = [_anagram_shape(w) for w in words], ""
     if near:
-        heads.append(_any_literal(w[:len(w) // 2] for w in words))
-        tails = rf"|\p{{L}}++(?<={_any_literal(w[len(w) // 2:] for w in words)})"
+        shapes = [_near_shapes(w) for w in words]
+        heads += [head for head, _ in shapes]
+        tail = rf"|\p{{L}}++(?<={'|'.join(sorted({end for _, end in shapes}))})"
     shape = (
-        rf" ({trim}(?=\p{{L}}{{{low},{high}}}{trim}(?: |$))"
-        rf"(?:(?={'|'.join(heads)})\p{{L}}++{tails}){trim})"
+        rf" ({trim}(?=\p{{L}}{{{low},{high}}}+{trim}(?: |$))"
+        rf"(?:(?:{'|'.join(heads)})(?!\p{{L}}){tail}){trim})"
     )
     text = F.concat(F.lit(" "), single_blanks(col))
     marked = F.regexp_replace(text, shape, " \n$1\n")
@@ -291,6 +297,10 @@ def _rewrite_words(col, rewrite, words, near):
     ))
 
 
+def _rest(text):
+    return F.regexp_replace(text, "^ ", "")
+
+
 def fold_anagrams(col, words=None, safe=None):
     """Words whose letters spell a lexicon word become that word. Blanks
     between words always become one space."""

@@ -13,9 +13,14 @@ def text_key(col):
     return F.sha2(col, 256)
 
 
+def with_key(df, col="text"):
+    """Add ``text_key`` unless it is there already."""
+    return df if "text_key" in df.columns else df.withColumn("text_key", text_key(F.col(col)))
+
+
 def distinct_texts(df, col="text"):
     """(text_key, text), each text once. Copies are dropped before the shuffle."""
-    keyed = df.select(text_key(F.col(col)).alias("text_key"), F.col(col))
+    keyed = with_key(df, col)
     return keyed.groupBy("text_key").agg(F.min(col).alias(col))
 
 
@@ -27,7 +32,7 @@ def score_distinct(df, scorer, col="text", id_col="id"):
     rows never meet in one task and the texts are shuffled once. The scorer must give
     equal texts equal results.
     """
-    keyed = df.withColumn("text_key", text_key(F.col(col)))
+    keyed = with_key(df, col)
     hot = hot_keys(keyed, "text_key")
     salted = add_salt(keyed, hot, "text_key", F.col(id_col), "_salt")
     texts = salted.groupBy("text_key", "_salt").agg(F.min(col).alias(col))
@@ -48,7 +53,7 @@ def score_new(df, prior, scorer, col="text", id_col="id"):
     texts = distinct_texts(df, col).select("text_key")
     known = prior.join(texts, "text_key", "left_semi").withColumn("reused", F.lit(True))
     results = known.unionByName(fresh.select(known.columns))
-    keyed = df.withColumn("text_key", text_key(F.col(col)))
+    keyed = with_key(df, col)
     return join_unique(keyed, results, "text_key", F.col(id_col))
 
 
@@ -58,16 +63,16 @@ def with_cached_flag(df, order_col="ts", col="text", id_col="id"):
     The first arrival is an aggregate that combines before the shuffle; unlike a
     ranking window it never sorts all copies of a text in one task.
     """
-    keyed = df.withColumn("text_key", text_key(F.col(col)))
+    keyed = with_key(df, col)
     arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
     firsts = keyed.groupBy("text_key").agg(F.min(arrival).alias("first"))
     marked = join_unique(keyed, firsts, "text_key", F.col(id_col))
-    return marked.withColumn("cached", F.col("first") != arrival).drop("first", "text_key")
+    return marked.withColumn("cached", F.col("first") != arrival).drop("first")
 
 
 def cache_stats(df, col="text"):
     """A2: misses are the distinct texts, hits all further arrivals."""
-    per_text = df.groupBy(text_key(F.col(col)).alias("text_key")).agg(F.count("*").alias("rows"))
+    per_text = with_key(df, col).groupBy("text_key").agg(F.count("*").alias("rows"))
     return per_text.agg(
         (F.coalesce(F.sum("rows"), F.lit(0)) - F.count("*")).alias("hits"),
         F.count("*").alias("misses"),

@@ -32,13 +32,17 @@ def normalize(df, col="text", out="normalized", mode="compat"):
     step is its own projection, so that a step which looks at its input twice
     does not compute the earlier steps twice. ``mode="strict"`` spares trailing
     punctuation, plain numbers and more everyday words.
+
+    Filter rows before, not after: the last projection holds a condition that is always
+    true but not deterministic, so that Spark does not copy the whole chain into a later
+    filter on its result.
     """
     if mode not in ("compat", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     done = df.withColumn(out, F.col(col))
     for _, step in _steps(mode == "strict", split_words=False):
         done = done.withColumn(out, step(F.col(out)))
-    return done
+    return done.withColumn(out, F.when(F.spark_partition_id() >= 0, F.col(out)))
 
 
 def normalize_steps(df, col="text", mode="compat"):

@@ -264,10 +264,10 @@ def flagship_risk(spark, folder):
 
 def _arrivals(spark, folder):
     """A timed stream of comments: each event brings one document."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = reuse.with_key(table(spark, folder, "documents").select("doc_id", T.strip_blanks(F.col("text")).alias("text")))
     n = docs.agg(F.count("*").alias("n")).scalar()
     events = table(spark, folder, "events").select("event_id", "ts", (F.col("event_id") % n).alias("doc_id"))
-    return events.join(docs, "doc_id").select("event_id", "ts", "text")
+    return events.join(docs, "doc_id").select("event_id", "ts", "text", "text_key")
 
 
 def cached_flags(spark, folder):
