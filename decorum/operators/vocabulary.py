@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.text import osa_within_1, sorted_letters
+from decorum.operators.features import term_rows
 from decorum.session import small_table
 
 
 def words(df, col="text"):
     """(word, n): distinct lower-case words of letters and their number."""
     found = F.regexp_extract_all(F.lower(F.col(col)), F.lit(r"\p{L}+"), 0)
-    return df.select(F.explode(found).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return term_rows(df, found).groupBy(F.col("term").alias("word")).agg(F.count("*").alias("n"))
 
 
 def lexicon_table(spark, entries=None):

@@ -164,8 +164,8 @@ def stop_filtered(spark, folder):
 
 
 def bigrams(spark, folder):
-    pairs = _tokens(spark, folder).select("doc_id", F.explode(features.bigrams(F.col("tokens"))).alias("bigram"))
-    return pairs.groupBy("doc_id", "bigram").agg(F.count("*").alias("n"))
+    pairs = features.term_rows(_tokens(spark, folder), features.bigrams(F.col("tokens")), "doc_id")
+    return pairs.groupBy("doc_id", F.col("term").alias("bigram")).agg(F.count("*").alias("n"))
 
 
 def doc_frequency(spark, folder):
@@ -264,8 +264,10 @@ def flagship_risk(spark, folder):
 
 def _arrivals(spark, folder):
     """A timed stream of comments: each event brings one document."""
-    docs = reuse.with_key(table(spark, folder, "documents").select("doc_id", T.strip_blanks(F.col("text")).alias("text")))
-    n = docs.agg(F.count("*").alias("n")).scalar()
+    # Texts are hashed once per document, before events repeat them.
+    docs = table(spark, folder, "documents")
+    docs = spread(reuse.with_key(docs.select("doc_id", T.strip_blanks(F.col("text")).alias("text"))))
+    n = table(spark, folder, "documents").agg(F.count("*").alias("n")).scalar()
     events = table(spark, folder, "events").select("event_id", "ts", (F.col("event_id") % n).alias("doc_id"))
     return events.join(docs, "doc_id").select("event_id", "ts", "text", "text_key")
 

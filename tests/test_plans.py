@@ -221,7 +221,7 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     misses = stream.stream_misses(feed)
     run(stream.write_updates(misses, str(tmp_path / "out2"), str(tmp_path / "state2")))
     seen = stream.latest(spark.read.parquet(str(tmp_path / "out2")), ["window_start"])
-    assert {r.window_start.hour: r.misses for r in seen.collect()}[0] == 2
+    assert {r.window_start.hour: r.misses for r in seen.collect()}[0] == 3
 
 
 def test_shared_folder_needs_a_setting_on_a_cluster(spark):
