@@ -28,7 +28,7 @@ def dedup_stream(sdf, ts="ts", col="text", keep_for="1 day"):
     return keyed.withWatermark(ts, keep_for).dropDuplicatesWithinWatermark(["text_key"])
 
 
-def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", schema=None, **scoring):
+def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", **scoring):
     """R2: answer every comment, scoring only texts never seen before.
 
     Results live in the table ``results`` (one row per text), answers in ``answers``.

@@ -10,7 +10,7 @@ from decorum import lexicon as L
 from decorum.functions import scores as S
 from decorum.operators import features, metrics
 from decorum.plans import classify
-from decorum.plans.predict import PREDICTION, predict, predict_rows, score_texts
+from decorum.plans.predict import PREDICTION, predict, predict_rows
 from decorum.session import shared_folder, utc_timestamp
 from decorum.sources import audit
 from decorum.sources.comments import read_comment_stream
