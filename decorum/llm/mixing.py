@@ -36,7 +36,9 @@ def sainte_lague(table, group, item, weight, seats, name):
     near = (table.withColumn("_part", part).withColumn("_items", items).filter("_part > 0")
             .withColumn("_sure", F.greatest(F.floor(exact - slack), F.lit(0)))
             .withColumn("_most", F.ceil(exact + slack)))
-    quotients = near.select(group, item, seats, "_sure", F.sum("_sure").over(whole).alias("_all_sure"),
+    # The sum stands before the explode, which would repeat its rows.
+    near = near.withColumn("_all_sure", F.sum("_sure").over(whole))
+    quotients = near.select(group, item, seats, "_sure", "_all_sure",
                             F.col(weight).alias("_weight"),
                             F.explode(F.sequence(F.col("_sure") + 1, F.col("_most"))).alias("_k"))
     best = Window.partitionBy(group).orderBy((F.col("_weight") / (2 * F.col("_k") - 1)).desc(), item, "_k")
