@@ -40,3 +40,23 @@ SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGIN
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+#: The lengths of the markers of a turn, and what makes a conversation need escapes.
+STATEMENTS["op2_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 19 + length(role) END AS marks,
+         length(regexp_replace(text, '\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\]|\\', '\0.', 'g')) AS escaped,
+         regexp_matches(text, '\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\]') OR regexp_matches(text, '\\(.|\n)') AS conflict
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(marks) + CASE WHEN bool_or(conflict) THEN sum(escaped) ELSE sum(length(text)) END)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from decorum.llm import decontaminate, exact_dedup, mixing, quality_crf, simhash
+from decorum.llm import chat_format, decontaminate, exact_dedup, mixing, quality_crf, simhash, token_counts
 from decorum.llm.store import read
 
 
@@ -13,6 +13,35 @@ def op1_exact_dedup(spark, sf_dir):
         F.col("_kept").alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
+def op2_chat_format(spark, sf_dir):
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    kinds = dict(chats.dtypes)
+    extra = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(-1).alias("conv_id"), F.lit(turn).alias("turn"), F.lit(role).alias("role"), F.lit(hard).alias("text"))
+        for turn, role in enumerate(("user", "assistant"))]))).select(*[F.col(c).cast(kinds[c]) for c in chats.columns])
+    shown = chat_format.format_chats(chats.unionByName(extra)).withColumn("_learned", chat_format.loss_text())
+    turns = F.array_join(F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return shown.select(
+        F.col("_conv").alias("conv_id"), F.size("_turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"), F.char_length("_learned").cast("long").alias("loss_chars"),
+        F.sha2("_learned", 256).alias("loss_sha256"), F.char_length("_text").cast("long").alias("formatted_chars"))
+
+
+def vocabulary():
+    """Place of the vocabulary file on the worker that asks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_counts(spark, sf_dir):
+    counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary)
+    return counted.select(
+        F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_tokens").alias("n_tokens"),
+        (F.col("_n_tokens") > 1024).alias("over_limit"))
+
+
 def fold_of(ids, folds):
     return F.pmod(F.crc32(ids.cast("string")), F.lit(folds))
 
@@ -54,6 +83,8 @@ def op10_decontaminate(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_chat_format": op2_chat_format,
+    "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op9_mixing": op9_mixing,
