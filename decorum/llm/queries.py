@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from decorum.llm import chat_format, decontaminate, exact_dedup, mixing, quality_crf, simhash, token_counts
+from decorum.llm import (
+    chat_format, decontaminate, exact_dedup, html_extract, mixing, quality_crf, simhash, token_counts)
 from decorum.llm.store import read
 
 
@@ -28,6 +29,12 @@ def op2_chat_format(spark, sf_dir):
         F.sha2("_learned", 256).alias("loss_sha256"), F.char_length("_text").cast("long").alias("formatted_chars"))
 
 
+def op3_html_text(spark, sf_dir):
+    texts = html_extract.extract(read(spark, sf_dir, "pages"), keep=["url"])
+    return texts.select(F.col("_id").alias("page_id"), "url", F.col("_text").alias("text"),
+                        F.char_length("_text").cast("long").alias("n_chars"))
+
+
 def vocabulary():
     """Place of the vocabulary file on the worker that asks."""
     import public_tokenizers
@@ -84,6 +91,7 @@ def op10_decontaminate(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
