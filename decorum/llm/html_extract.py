@@ -54,10 +54,11 @@ GOOD, BAD, OPEN = 1, 0, None
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "section", "inside")
+    __slots__ = ("text", "linked", "bad", "section", "inside", "heading")
 
     def __init__(self, text, linked, element):
         self.text, self.linked = text, linked
+        self.heading = element.tag in ("h2", "h3", "h4", "h5", "h6")
         self.bad, self.section, self.inside = element.bad, element.section, element.inside
 
 
@@ -170,11 +171,12 @@ def first_pass(block, short=70, long=200, links=0.2, low=0.05, high=0.15):
     return BAD
 
 
-def inherit(labels, sections, inside):
+def inherit(labels, sections, inside, headings):
     """Second pass: an open block takes the label of its nearest decided neighbours in
     its section, else of the nearest ones at all. If the two sides differ, good
     wins inside an article and bad elsewhere; without any decided block it is
-    good inside an article only."""
+    good inside an article only. A subheading with nothing decided behind it in
+    its section belongs to what follows that section."""
     n = len(labels)
 
     def nearest(same):
@@ -197,6 +199,8 @@ def inherit(labels, sections, inside):
     for i, label in enumerate(labels):
         if label is OPEN:
             sides = {s for s in (near[0][i], near[1][i]) if s is not None}
+            if headings[i] and near[1][i] is None and far[1][i] is not None:
+                sides = {far[1][i]}
             if not sides and not inside[i]:
                 sides = {s for s in (far[0][i], far[1][i]) if s is not None}
             label = sides.pop() if len(sides) == 1 else GOOD if inside[i] else BAD
@@ -207,7 +211,8 @@ def inherit(labels, sections, inside):
 def main_text(page):
     """The article of a page: its good blocks, joined by empty lines."""
     found = blocks(page or "")
-    labels = inherit([first_pass(b) for b in found], [b.section for b in found], [b.inside for b in found])
+    labels = inherit([first_pass(b) for b in found], [b.section for b in found],
+                     [b.inside for b in found], [b.heading for b in found])
     return "\n\n".join(b.text for b, label in zip(found, labels) if label)
 
 

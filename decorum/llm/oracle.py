@@ -60,3 +60,31 @@ SELECT conv_id, count(*) AS n_turns,
        (sum(marks) + CASE WHEN bool_or(conflict) THEN sum(escaped) ELSE sum(length(text)) END)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+STATEMENTS["op8_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, n - 1 AS pos, len(l) AS n_lines, l[n] AS line,
+         len(regexp_extract_all(l[n], '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), summed AS (
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS w1,
+         sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS w0 FROM line
+), run AS (
+  SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM summed a JOIN summed b
+  ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.w1 >= a.w0 + 10 GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM summed a JOIN summed b
+  ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.w1 >= a.w0 + 10 GROUP BY ALL
+), content AS (
+  SELECT r.doc_id, s, e, string_agg(line, chr(10) ORDER BY pos) AS t
+  FROM run r JOIN line l ON r.doc_id = l.doc_id AND l.pos BETWEEN s AND e GROUP BY ALL
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS pos
+  FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, s) AS k FROM content) WHERE k > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+       length(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_chars,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
+FROM line LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+"""

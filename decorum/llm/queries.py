@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from decorum.llm import (
-    chat_format, decontaminate, exact_dedup, html_extract, mixing, quality_crf, simhash, token_counts)
+    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, mixing, quality_crf, simhash,
+    token_counts)
 from decorum.llm.store import read
 
 
@@ -72,6 +73,14 @@ def op6_simhash(spark, sf_dir):
         F.col("_component").alias("component_id"))
 
 
+def op8_line_dedup(spark, sf_dir):
+    left = line_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return left.select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
+        F.char_length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark, sf_dir):
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select(
@@ -95,6 +104,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
