@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from decorum.llm import (
-    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, mixing, quality_crf, simhash,
-    token_counts)
+    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, lm_score, mixing, quality_crf,
+    simhash, token_counts)
 from decorum.llm.store import read
 
 
@@ -73,6 +73,15 @@ def op6_simhash(spark, sf_dir):
         F.col("_component").alias("component_id"))
 
 
+def op7_lm_score(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    scored = lm_score.score(docs, vocabulary, learn=fold_of(F.col("doc_id"), 5) != 1)
+    return scored.select(
+        F.col("_id").alias("doc_id"), (fold_of(F.col("_id"), 5) == 1).alias("held_out"),
+        F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"),
+        F.col("_train_tokens").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
+
+
 def op8_line_dedup(spark, sf_dir):
     left = line_dedup.drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -104,6 +113,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_lm_score": op7_lm_score,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,

@@ -38,3 +38,14 @@ class Shelf:
 
 def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stretches(texts, limit=1 << 21):
+    """(first, last + 1) of consecutive rows of an Arrow string column with about
+    ``limit`` bytes together, or one longer row, so that work on many texts at once stays small."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        size += text.as_buffer().size if text.is_valid else 0
+        if size >= limit or i + 1 == len(texts):
+            yield at, i + 1
+            at, size = i + 1, 0
