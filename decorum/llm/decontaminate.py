@@ -16,9 +16,11 @@ into overlapping stretches, and all cursors jump at once.
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from decorum.llm.store import stretches
+
 TABLE = 1 << 18
 STRETCH = 512
 #: Bytes that are parts of words stay (A-Z lower-cased), all others become blanks.
@@ -157,13 +159,13 @@ def find_leaks(docs, benchmark, id_col="doc_id", text_col="text", item_col="item
     columns of ``docs`` are not read. Empty tables give no rows or no hits.
     """
     spark = docs.sparkSession
+    span, name = "array<struct<start:long,end:long>>", "array<string>"
     found = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_n_words"),
-        F.array().cast("array<struct<start:long,end:long>>").alias("_spans"), F.array().cast("array<string>").alias("_items"))
-    schema = found.schema
+        F.array().cast(span).alias("_spans"), F.array().cast(name).alias("_items"))
     for items in pieces(benchmark, item_col, item_text_col, limit):
         shared = spark.sparkContext.broadcast((items, window))
-        found = found.mapInPandas(searcher(shared), schema)
+        found = found.mapInArrow(searcher(shared), found.schema)
     return found.drop("_text")
 
 
@@ -171,16 +173,21 @@ def searcher(shared):
     def work(batches):
         patterns = Patterns(*shared.value)
         for batch in batches:
-            counts, hits, items = patterns.search(batch["_text"])
-            spans, names = [], []
-            for hit, before, old, new in zip(hits, batch["_spans"], batch["_items"], items):
-                hit = hit.copy()
-                for span in before:
-                    hit[span["start"]:span["end"]] = True
-                step = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                spans.append([{"start": a, "end": b} for a, b in zip(step[::2].tolist(), step[1::2].tolist())])
-                names.append(sorted(set(old) | (new - {None})))
-            yield pd.DataFrame({"_id": batch["_id"], "_text": batch["_text"], "_n_words": counts, "_spans": spans, "_items": names})
+            for lo, hi in stretches(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                counts, hits, items = patterns.search(part.column(1).to_pylist())
+                spans, names = [], []
+                for hit, before, old, new in zip(hits, part.column(3).to_pylist(), part.column(4).to_pylist(), items):
+                    hit = hit.copy()
+                    for span in before:
+                        hit[span["start"]:span["end"]] = True
+                    step = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+                    spans.append([{"start": a, "end": b} for a, b in zip(step[::2].tolist(), step[1::2].tolist())])
+                    names.append(sorted(set(old) | (new - {None})))
+                kinds = part.schema
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(counts), pa.array(spans, kinds.field(3).type),
+                     pa.array(names, kinds.field(4).type)], schema=kinds)
 
     return work
 
@@ -210,13 +217,10 @@ def drop_leaks(docs, benchmark, id_col="doc_id", text_col="text", item_col="item
 
 def keeper(shared, place):
     def work(batches):
-        import pyarrow as pa
-
         patterns = Patterns(*shared.value)
         for batch in batches:
-            _, hits, _ = patterns.search(batch.column(place).to_pylist())
-            yield batch.filter(pa.array([not h.any() for h in hits], pa.bool_()))
+            for lo, hi in stretches(batch.column(place)):
+                _, hits, _ = patterns.search(batch.column(place)[lo:hi].to_pylist())
+                yield batch.slice(lo, hi - lo).filter(pa.array([not h.any() for h in hits], pa.bool_()))
 
     return work
-
-

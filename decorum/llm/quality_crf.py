@@ -10,9 +10,11 @@ probabilities of being good, weighted by length.
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from decorum.llm.store import stretches
+
 #: Byte classes: 0 other symbols, 1 upper, 2 lower, 3 digits, 4 blanks, 5 punctuation of prose, 6 beyond ASCII.
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[65:91], KIND[97:123], KIND[48:58] = 1, 2, 3
@@ -173,11 +175,14 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_id="doc_id", label
 
     def work(batches):
         for batch in batches:
-            features, _, count = line_features(batch["_text"])
-            cut = np.split(features, np.cumsum(count)[:-1]) if len(count) else []
-            yield pd.DataFrame({"_id": batch["_id"], "label": batch["_label"], "lines": count, "x": [c.tobytes() for c in cut]})
-
-    got = texts.mapInPandas(work, "_id long, label int, lines long, x binary").orderBy("_id", "x").collect()
+            for lo, hi in stretches(batch.column(1)):
+                features, _, count = line_features(batch.column(1)[lo:hi].to_pylist())
+                cut = np.split(features, np.cumsum(count)[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[lo:hi], batch.column(2)[lo:hi], pa.array(count), pa.array([c.tobytes() for c in cut], pa.binary())],
+                    ["_id", "label", "lines", "x"])
+
+    got = texts.mapInArrow(work, f"_id {texts.schema['_id'].dataType.simpleString()}, label int, lines long, x binary").orderBy("_id", "x").collect()
     if not got:
         return np.zeros(FEATURES), np.zeros((2, 2))
     x = np.concatenate([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in got])
@@ -192,10 +197,12 @@ def score(docs, model, id_col="doc_id", text_col="text"):
 
     def work(batches):
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_score": text_scores(batch["_text"], w, chain)})
+            for lo, hi in stretches(batch.column(1)):
+                scores = text_scores(batch.column(1)[lo:hi].to_pylist(), w, chain)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(scores)], ["_id", "_score"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInPandas(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _score double")
+    return rows.mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _score double")
 
 
 def keep_good(docs, model, text_col="text", least=0.7):
@@ -204,10 +211,9 @@ def keep_good(docs, model, text_col="text", least=0.7):
     w, chain = model
 
     def work(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            good = text_scores(batch.column(place).to_pylist(), w, chain) >= least
-            yield batch.filter(pa.array(good, pa.bool_()))
+            for lo, hi in stretches(batch.column(place)):
+                good = text_scores(batch.column(place)[lo:hi].to_pylist(), w, chain) >= least
+                yield batch.slice(lo, hi - lo).filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
