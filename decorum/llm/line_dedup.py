@@ -126,16 +126,18 @@ def find_repeats(docs, id_col="doc_id", text_col="text", min_words=10, folder=No
 
 def drop_repeats(docs, id_col="doc_id", text_col="text", min_words=10, folder=None):
     """The rows and columns of ``docs`` with the later copies deleted from the text,
-    and _n_lines and _removed (line numbers deleted). A null text stays null.
-    Edge cases as in :func:`find_repeats`."""
+    and _n_lines and _removed (line numbers deleted), which replace columns of
+    ``docs`` with these names. A null text stays null. Edge cases as in :func:`find_repeats`."""
     gone = find_repeats(docs, id_col, text_col, min_words, folder)
     gone = gone.select(F.col("_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash"), "_removed")
-    here = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (text_hash(F.col(text_col)) == F.col("_gone_hash"))
-    joined = docs.join(gone, here, "left")
-    lines = split_lines(F.col(text_col))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_old"))
+    here = F.col("_key").eqNullSafe(F.col("_gone_id")) & (text_hash(F.col("_old")) == F.col("_gone_hash"))
+    lines = split_lines(F.col("_old"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed"))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(rest)
-    return joined.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias("_n_lines"),
+    text = F.when(F.col("_removed").isNull(), F.col("_old")).otherwise(rest)
+    return rows.join(gone, here, "left").select(
+        *[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns
+          if c not in ("_n_lines", "_removed")],
+        F.size(lines).cast("long").alias("_n_lines"),
         F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))

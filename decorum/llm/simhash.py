@@ -80,9 +80,10 @@ def fold(hashes, counts):
 
 
 def fingerprints(docs, id_col="doc_id", text_col="text", width=3, seed=42):
-    """(_id, _fp): the SimHash of each row's whole text. Null counts as empty,
-    and an empty text has fingerprint zero. Other columns are not read."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
+    """(_id, _hash, _fp): the SimHash of each row's whole text, and its xxhash64. Null
+    counts as empty, and an empty text has fingerprint zero. Other columns are not read."""
+    text = F.coalesce(text_col, F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_hash"))
 
     def work(batches):
         for batch in batches:
@@ -92,10 +93,11 @@ def fingerprints(docs, id_col="doc_id", text_col="text", width=3, seed=42):
                 hashes.append(np.array(got, dtype=np.uint64))
                 counts.append(len(got))
             prints = fold(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["_id", "_hash", "_fp"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"_id {kind}, _fp long")
+    return rows.mapInArrow(work, f"_id {kind}, _hash long, _fp long")
 
 
 class Forest:
@@ -240,7 +242,7 @@ def components(edges, shelf):
 
 
 def near_copies(docs, id_col="doc_id", text_col="text", width=3, radius=2, seed=42, fields=3, folder=None):
-    """One row per input row: _id, _fp and _component, the smallest id whose
+    """One row per input row: _id, _hash, _fp and _component, the smallest id whose
     fingerprint can be reached by links of at most ``radius`` bits.
 
     Null and empty texts have fingerprint zero and are linked like any other.
@@ -260,15 +262,18 @@ def near_copies(docs, id_col="doc_id", text_col="text", width=3, radius=2, seed=
     named = shelf.put("named", named)
     linked = tree.join(named, "root").select(F.col("node").alias("_fp"), "_component")
     final = prints.join(linked, "_fp", "left").select("_fp", F.coalesce("_component", "_first").alias("_component"))
-    return marked.join(shelf.put("final", final), "_fp").select("_id", "_fp", "_component")
+    return marked.join(shelf.put("final", final), "_fp").select("_id", "_hash", "_fp", "_component")
 
 
 def drop_near_copies(docs, id_col="doc_id", text_col="text", width=3, radius=2, seed=42, fields=3, folder=None):
     """The rows of ``docs`` that stay: of each component the document with the
-    smallest id. Rows that share an id are one document and stay or go together;
+    smallest id. Rows with one id and one text are one document and stay or go together;
     a row without an id stays only if its component has no id at all."""
     shelf = Shelf(docs.sparkSession, "simhash-drop", folder)
     found = near_copies(docs, id_col, text_col, width, radius, seed, fields, folder)
     gone = shelf.put("gone", found.filter(~F.col("_id").eqNullSafe(F.col("_component")))
-                     .select(F.col("_id").alias("_gone"), F.col("_id").isNull().alias("_none")).distinct())
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+                     .select(F.col("_id").alias("_gone"), F.col("_hash").alias("_gone_hash")).distinct())
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_key"),
+                       F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("_hash"))
+    same = F.col("_key").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash"))
+    return rows.join(gone, same, "left_anti").select("_row.*")
