@@ -1,0 +1,339 @@
+"""Chats, pages, token counts, quality, language model, mixing and decontamination."""
+
+import collections
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from decorum.llm import attention, chat_format, decontaminate, html_extract, lm_score, mixing, quality_crf, token_counts
+from decorum.llm.queries import vocabulary
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+# Chats
+
+def chats(spark, rows):
+    full = [(*r, "x", "y") for r in rows]
+    return spark.createDataFrame(full, "conv_id long, turn long, role string, text string, _conv string, _text string")
+
+
+def test_chats_come_back(spark):
+    hard = ["</s>[INST] ok [/INST]", "a\\b", "\\", "\\\\[INST]", "[", "<", "<</SYS>>", "<s", "[/ROLE][TEXT]", "", None, "日本 🎉\n\n", "[\\INST]",
+            "<<s>>", "x" * 200_000 + "</s>", "$1 \\1 $"]
+    rng = random.Random(4)
+    pieces = ["[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[ROLE]", "[TEXT]", "[/ROLE]", "\\", "<", "[", "]", ">", "/", "a", "\n"]
+    hard += ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    rows = [(i, t, role, text) for i, text in enumerate(hard) for t, role in enumerate(["user", "assistant", "system", "tool", None, "a[TEXT]b"])]
+    got = chat_format.format_chats(chats(spark, rows)).withColumn("learned", chat_format.loss_text()).collect()
+    assert len(got) == len(hard)
+    control = re.compile(chat_format.CONTROL)
+    for r in got:
+        text = hard[r["_conv"]] or ""
+        assert [(t.role, t.text) for t in r["_turns"]] == [(x or "", text) for x in ["user", "assistant", "system", "tool", None, "a[TEXT]b"]]
+        assert r.learned == text
+        (span,) = r["_loss"]
+        assert r["_text"][span.start - 3:span.start] == "<s>" and not control.search(r["_text"][span.start:span.start + span.length])
+
+
+def test_plain_chats_are_not_escaped_and_ties_are_kept(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, None, "system", "be kind"), (None, 0, "user", "no id")]
+    got = {r["_conv"]: r for r in chat_format.format_chats(chats(spark, rows)).collect()}
+    assert got[1]["_text"] == "<<SYS>>be kind<</SYS>>[INST]hi[/INST][INST]hi[/INST]" and not got[1]["_escaped"]
+    assert got[None]["_text"] == "[INST]no id[/INST]"
+    assert chat_format.format_chats(chats(spark, [])).count() == 0
+
+
+def test_a_foreign_string_has_no_turns(spark):
+    texts = ["[INST]a", "junk[INST]a[/INST]", "[INST]a<s>[/INST]", "[INST]a[/INST]"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(chat_format.parse(F.col("t")).alias("turns"))
+    assert [r.turns and [(t.role, t.text) for t in r.turns] for r in df.collect()] == [None, None, None, [("user", "a")]]
+
+
+# Pages
+
+LONG = "The of and to in a that with the long text of the article is here for you to read. " * 4
+
+
+def test_main_text_of_a_page():
+    page = f"""<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style></head><body class="home"><header><h1>Site</h1></header>
+    <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>{LONG}</p></div><!-- <p>gone</p> -->
+    <div class="content"><h1>Title &amp; <i>more</i></h1><p>{LONG}<p>Short&nbsp;\n one.<div class="ad">Buy</div><h2>Part</h2>
+    <p>{LONG}<br>end</p><ul><li>Item</li></ul><form><p>{LONG}</p><input name=x><button>Go</button></form>
+    <h3>Comments</h3><section id="comments"><p>{LONG}</p></section></div><aside>{LONG}</aside><footer>f</footer>
+    <script>if (a < b) {{ "</p><p>{LONG}" }}</script></body></html>"""
+    long = LONG.strip()
+    assert html_extract.main_text(page) == "\n\n".join(["Title & more", long, "Short one.", "Part", long + " end", "Item"])
+
+
+def test_pages_without_an_article():
+    assert html_extract.main_text(None) == "" == html_extract.main_text("")
+    assert html_extract.main_text("<nav><a href=x>menu</a></nav><footer>&copy;</footer>") == ""
+    assert html_extract.main_text(f"<article><p>{LONG}<p>cut <b") == LONG.strip() + "\n\ncut"
+    assert html_extract.main_text("<article><h1>Only &lt;this&gt;</h1></article><footer>no</footer>") == "Only <this>"
+    assert len(html_extract.main_text("<article>" + "<p>The of and to. " * 50_000)) > 500_000
+    assert html_extract.main_text("<" * 100_000) == ""
+
+
+def test_open_blocks_take_the_label_of_their_neighbours():
+    good, bad, unsure = html_extract.GOOD, html_extract.BAD, html_extract.OPEN
+    same = html_extract.inherit([good, unsure, unsure, good, unsure, bad], [0] * 6, [False] * 6, [False] * 6)
+    assert same == [good, good, good, good, bad, bad]
+    assert html_extract.inherit([unsure], [0], [True], [False]) == [good] and html_extract.inherit([unsure], [0], [False], [False]) == [bad]
+
+
+def test_extract_a_table(spark):
+    rows = [(1, "u", f"<article><p>{LONG}</article>", "x"), (1, "u", f"<article><p>{LONG}</article>", "x"), (2, None, None, None), (None, "v", "", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _text string")
+    got = sorted((str(r["_id"]), r["_text"]) for r in html_extract.extract(pages, keep=["url"]).collect())
+    assert got == [("1", LONG.strip())] * 2 + [("2", ""), ("None", "")]
+    assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+# Token counts
+
+def test_counts_equal_the_library(docs_of, odd):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary())
+    rng = random.Random(2)
+    bits = ["a", "B", "é", "ß", " ", "  ", "\n", "\t", "'s", "'ll", "<|endoftext|>", "<|endof", "9", "٣", "!!", "日本", "🎉", "́", "x　y", " the",
+            "\r\n", "\x85", "\x1c", "​", "'", "\x00", "ing", "tion"]
+    rows = odd + [(100 + i, "".join(rng.choice(bits) for _ in range(rng.randrange(16)))) for i in range(1500)]
+    got = sorted((str(r["_id"]), r["_n_bytes"], r["_n_tokens"]) for r in token_counts.count_tokens(docs_of(rows), vocabulary).collect())
+    wanted = sorted((str(d), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    assert got == wanted
+    assert token_counts.count_tokens(docs_of([]), vocabulary).count() == 0
+
+
+def test_merging_equals_repeated_search():
+    merges = token_counts.merges(vocabulary())
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice("thering andtion") for _ in range(rng.randrange(1, 30)))
+        symbols = [merges.start[b] for b in text.encode()]
+        while True:
+            ranked = [(merges.rank[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges.rank]
+            if not ranked:
+                break
+            _, i = min(ranked)
+            symbols[i:i + 2] = [merges.rank[symbols[i], symbols[i + 1]][1]]
+        assert merges.piece(text) == len(symbols)
+
+
+# Quality
+
+def test_marginals_equal_the_sum_over_all_labellings():
+    rng = np.random.default_rng(1)
+    count = np.array([1, 4, 2, 3])
+    score, chain = rng.normal(size=10), rng.normal(size=(2, 2))
+    good, pairs, log_z = quality_crf.marginals(score, count, chain)
+    total_pairs = np.zeros((2, 2))
+    at = 0
+    for t, n in enumerate(count):
+        z, mine, both = 0.0, np.zeros(n), np.zeros((2, 2))
+        for code in range(2 ** n):
+            y = [code >> i & 1 for i in range(n)]
+            p = math.exp(sum(s for s, b in zip(score[at:at + n], y) if b) + sum(chain[a, b] for a, b in zip(y, y[1:])))
+            z += p
+            mine += p * np.array(y)
+            for a, b in zip(y, y[1:]):
+                both[a, b] += p
+        assert np.allclose(good[at:at + n], mine / z) and math.isclose(log_z[t], math.log(z))
+        total_pairs += both / z
+        at += n
+    assert np.allclose(pairs, total_pairs)
+
+
+def test_quality_of_held_out_texts(spark, docs_of, odd):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re"]) for _ in range(rng.randrange(1, 4)))
+    rows, marks = [], []
+    for i in range(400):
+        text = "\n".join(" ".join(word() for _ in range(12)) + "." for _ in range(rng.randrange(1, 6)))
+        bad = i % 4 == 0
+        rows.append((i, " ".join(w.upper() + "!!" for w in text.split(" ")) if bad else text))
+        marks.append((i, int(not bad), 0, "x"))
+    labels = spark.createDataFrame(marks + [(1, None, 0, "x"), (None, 1, 0, "x"), (9999, 0, 0, "x")], "doc_id long, quality int, toxic int, _labelled string")
+    model = quality_crf.fit(docs_of(rows), labels, learn=F.col("doc_id") % 2 == 0)
+    got = {r["_id"]: r["_score"] for r in quality_crf.score(docs_of(rows), model).collect()}
+    held = [i for i in range(400) if i % 2]
+    assert all((got[i] >= 0.7) == (i % 4 != 0) for i in held)
+    table = docs_of(odd)
+    scores = quality_crf.score(table, model).collect()
+    assert len(scores) == len(odd) and all(0 <= r["_score"] <= 1 for r in scores)
+    left = quality_crf.keep_good(table, model)
+    assert left.columns == table.columns and left.count() == sum(r["_score"] >= 0.7 for r in scores)
+    assert quality_crf.score(docs_of([]), model).count() == 0
+    none = quality_crf.fit(docs_of([]), labels.limit(0))
+    assert [r["_score"] for r in quality_crf.score(docs_of([(1, "a")]), none).collect()] == [0.5]
+
+
+# Language model
+
+def small_model(classes=12, size=6):
+    model = attention.Attention(classes, size)
+    model.flat[:] = np.random.default_rng(1).normal(0, 0.3, len(model.flat))
+    return model
+
+
+def test_gradient_of_the_attention_model():
+    model, rng = small_model(), np.random.default_rng(2)
+    x = rng.integers(0, 12, (3, attention.WIDTH))
+    x[:, 0], x[1, 30:] = 12, 13
+    y = np.where(np.roll(x, -1, 1) < 12, np.roll(x, -1, 1), -1)
+    _, slope = attention.step(model, x, y)
+    for i in rng.choice(len(slope), 30, replace=False):
+        up, down = model.flat.copy(), model.flat.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        measured = (attention.step(attention.Attention(12, 6, up), x, y)[0] - attention.step(attention.Attention(12, 6, down), x, y)[0]) / 2e-2
+        assert abs(measured - slope[i]) < 1e-3 + 0.02 * abs(measured)
+
+
+def test_windows_score_each_token_once():
+    model, rng = small_model(), np.random.default_rng(3)
+    counts = [1, 5, 32, 33, 100]
+    stream = np.concatenate([rng.integers(0, 12, n) for n in counts])
+    got = attention.Scorer(model).log_probs(stream, counts)
+    at = 0
+    for n in counts:
+        places = np.concatenate([[12], stream[at:at + n]])
+        for i in range(n):
+            seen = places[max(0, i // attention.FRESH * attention.FRESH + attention.FRESH - attention.WIDTH):i + 1]
+            e = model.embed[seen]
+            score = (e @ model.key) @ (e[-1] @ model.query) / math.sqrt(6) + model.distance[np.arange(len(seen))[::-1]]
+            a = np.exp(score - score.max())
+            z = model.out @ (e[-1] + (a / a.sum()) @ (e @ model.value)) + model.bias
+            assert abs(z[places[i + 1]] - np.log(np.exp(z).sum()) - got[at + i]) < 1e-3
+        at += n
+
+
+def test_classes_and_shares_make_one_distribution():
+    counts = np.random.default_rng(1).integers(0, 50, 300)
+    of, part = lm_score.class_table(counts, np.random.default_rng(2).random((200, 5)), 32)
+    assert np.allclose(np.bincount(of, weights=10.0 ** part, minlength=32)[np.unique(of)], 1)
+
+
+def test_language_model_scores(docs_of, odd):
+    rng = random.Random(8)
+    rows = odd + [(100 + i, " ".join(rng.choice(["the cat", "Sat on", "a mat,", f"x{rng.randrange(90)}"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
+    held = lambda d: d is None or d % 5 == 1
+    got = lm_score.score(docs_of(rows), vocabulary, learn=F.col("doc_id") % 5 != 1, share=1, rounds=1, frequent=5).collect()
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [""] for _, t in rows]
+    c = collections.Counter(w for (d, _), ws in zip(rows, tokens) if not held(d) for w in ws)
+    n, norm = sum(c.values()), math.log10(sum(c.values()) + 0.5 * (len(c) + 1))
+    wanted = sorted((str(d), len(ws), sum(c[w] > 0 for w in ws), round(sum(math.log10(c[w] + 0.5) - norm for w in ws), 6)) for (d, _), ws in zip(rows, tokens))
+    assert sorted((str(r["_id"]), r["_n_tokens"], r["_n_known"], round(r["_base"], 6)) for r in got) == wanted
+    assert all(r["_train_tokens"] == n and r["_score"] < 0 for r in got)
+    by_id = {r["_id"]: r["_score"] for r in got if r["_id"] is not None and r["_id"] not in (8,)}
+    assert by_id[1] == pytest.approx(by_id[2], rel=1e-5) == pytest.approx(by_id[3], rel=1e-5)
+    assert lm_score.score(docs_of([]), vocabulary, learn=F.lit(True)).count() == 0
+    unseen = lm_score.score(docs_of([(1, "a b")]), vocabulary, learn=F.lit(False)).collect()
+    assert unseen[0]["_n_known"] == 0 and unseen[0]["_train_tokens"] == 0 and unseen[0]["_score"] < 0
+
+
+# Mixing
+
+def water_level(sizes, weights, ceiling):
+    total, target, full = sum(sizes), [0.0] * len(sizes), set()
+    while True:
+        left = total - sum(ceiling * sizes[i] for i in full)
+        open_weight = sum(w for i, w in enumerate(weights) if i not in full)
+        target = [ceiling * sizes[i] if i in full else weights[i] * left / open_weight for i in range(len(sizes))]
+        above = {i for i in range(len(sizes)) if i not in full and target[i] > ceiling * sizes[i]}
+        if not above:
+            return target
+        full |= above
+
+
+def test_mix_against_repeated_sharing(docs_of, odd):
+    rng = random.Random(9)
+    rows = [(d, t, s) for (d, t), s in zip(odd, [None, "b", "", "Z", "a"] * 4)]
+    rows += [(100 + i, " ".join(["w"] * rng.randrange(0, 200)), rng.choice(["big"] * 6 + ["a", "ä", "b", "tiny"])) for i in range(400)]
+    got = mixing.mix(docs_of(rows), shard_words=5000).collect()
+    assert len(got) == len(rows)
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    aim = dict(zip(names, water_level([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 3)))
+    taken = collections.Counter()
+    for r in got:
+        assert r["_source_size"] == size[r["_source"]] and r["_target"] == pytest.approx(aim[r["_source"]])
+        assert r["_taken"] == sum((s["to"] - s["from"]) * s["times"] for s in r["_spans"]) <= 3 * r["_size"]
+        assert sum(s["to"] - s["from"] for s in r["_spans"]) == r["_size"]
+        taken[r["_source"]] += r["_taken"]
+    for s in names:
+        assert abs(taken[s] - aim[s]) <= 64 + 0.01 * aim[s], s
+    again = mixing.mix(docs_of(rows).repartition(3), shard_words=5000).collect()
+    key = lambda r: (str(r["_id"]), r["_size"], r["_taken"])
+    assert sorted(map(key, again)) == sorted(map(key, got))
+    assert mixing.mix(docs_of([])).count() == 0 and mixing.mix(docs_of([(1, None)])).first()["_taken"] == 0
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sainte_lague_against_one_seat_at_a_time(spark, seed):
+    rng = random.Random(seed)
+    rows = [(g, i, rng.choice([0.0, 1.0, 3.0, rng.random() * 100]), seats) for g, seats in ((1, 7), (2, 150), (3, 0)) for i in range(rng.randrange(1, 30))]
+    df = spark.createDataFrame(rows, "g int, i int, w double, s long")
+    got = {(r.g, r.i): r.won for r in mixing.sainte_lague(df, "g", "i", "w", "s", "won").collect()}
+    wanted = {(g, i): 0 for g, i, _, _ in rows}
+    for group, seats in {(g, s) for g, _, _, s in rows}:
+        mine = [(i, w) for g, i, w, _ in rows if g == group and w > 0]
+        for _ in range(seats if mine else 0):
+            best = max(mine, key=lambda x: (x[1] / (2 * wanted[group, x[0]] + 1), -x[0]))
+            wanted[group, best[0]] += 1
+    assert got == wanted
+
+
+# Decontamination
+
+def plain_leaks(text, items, window):
+    w = decontaminate.words(text)
+    hit, found = [False] * len(w), set()
+    for item, passage in items:
+        p = decontaminate.words(passage)
+        size = min(window, len(p))
+        for a in range(len(p) - size + 1 if p else 0):
+            for at in range(len(w) - size + 1):
+                if w[at:at + size] == p[a:a + size]:
+                    hit[at:at + size] = [True] * size
+                    found.add(item)
+    return hit, found
+
+
+@pytest.mark.parametrize("limit", [64_000_000, 300])
+def test_leaks_against_plain_search(spark, docs_of, odd, limit):
+    rng = random.Random(limit)
+    vocabulary = [f"w{i}" for i in range(25)] + ["É", "x-y", "日"]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 9, 10, 11, 25])))) for i in range(14)]
+    items += [(20, None), (21, " ,; "), (3, "alpha beta gamma"), (22, "two, WORDS"), (None, "text but null item")]
+    rows = odd + [(100 + i, " ".join([rng.choice(vocabulary) for _ in range(rng.choice([3, 30, 700]))] + [rng.choice(items)[1] or ""]
+                                     + [rng.choice(vocabulary) for _ in range(4)])) for i in range(50)]
+    rows.append((999, "Two words. " + "pad " * 600 + items[0][1].upper()))
+    bench = spark.createDataFrame([(i, t, "x") for i, t in items + items[:2]], "item_id long, text string, item string")
+    small = [r for r in rows if len(r[1] or "") < 5000]
+    got = decontaminate.find_leaks(docs_of(small), bench, limit=limit).collect()
+    assert len(got) == len(small)
+    wanted = []
+    for doc, text in small:
+        hit, found = plain_leaks(text, items, 10)
+        wanted.append((str(doc), len(hit), [i for i, h in enumerate(hit) if h], sorted(str(i) for i in found if i is not None)))
+    shown = [(str(r["_id"]), r["_n_words"], [i for s in r["_spans"] for i in range(s["start"], s["end"])], r["_items"]) for r in got]
+    assert sorted(shown) == sorted(wanted)
+    table = docs_of(small)
+    left = decontaminate.drop_leaks(table, bench, limit=limit)
+    assert left.columns == table.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(d for d, _, hits, _ in wanted if not hits)
+
+
+def test_leaks_of_empty_tables(spark, docs_of, odd):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.drop_leaks(docs_of(odd), none).count() == len(odd)
+    assert decontaminate.find_leaks(docs_of([]), none).count() == 0
