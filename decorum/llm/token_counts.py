@@ -7,7 +7,6 @@ The count is the number of symbols at the start less the number of merges.
 
 import heapq
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -123,11 +122,6 @@ class Merges:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-@lru_cache(maxsize=2)
-def merges(path):
-    return Merges(path)
-
-
 def count_tokens(docs, path, id_col="doc_id", text_col="text"):
     """(_id, _n_bytes, _n_tokens) of each row's whole text.
 
@@ -136,7 +130,7 @@ def count_tokens(docs, path, id_col="doc_id", text_col="text"):
     are counted each; other columns are not read; an empty table gives no rows.
     """
     def work(batches):
-        counter = merges(path() if callable(path) else path)
+        counter = Merges(path() if callable(path) else path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sizes = pa.array([counter.count(t) for t in texts], pa.int64())

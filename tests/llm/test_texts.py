@@ -112,7 +112,7 @@ def test_counts_equal_the_library(docs_of, odd):
 
 
 def test_merging_equals_repeated_search():
-    merges = token_counts.merges(vocabulary())
+    merges = token_counts.Merges(vocabulary())
     rng = random.Random(6)
     for _ in range(400):
         text = "".join(rng.choice("thering andtion") for _ in range(rng.randrange(1, 30)))
