@@ -29,11 +29,19 @@ def risk_level(hybrid):
 
 
 def explanation(confidence, policy):
-    """M1: the sentence shown with a score; halves go to the even digit."""
-    return F.format_string(
-        "LLM confidence: %.1f%% - %s", F.bround(confidence * 100, 1),
+    """M1: the sentence shown with a score, null without one. Tenths of a percent are
+    rounded as the exact binary value asks, a tie to the even digit."""
+    percent = confidence * 100
+    below = F.floor(percent * 10)
+    # Twenty times the percentage against the odd number between two tenths, in two
+    # exact parts: sixteen times on one side, four times on the other.
+    gap, rest = (2 * below + 1).cast("double") - percent * 16, percent * 4
+    tenths = F.when(rest > gap, below + 1).when(rest < gap, below).otherwise(below + below % 2)
+    sentence = F.format_string(
+        "LLM confidence: %d.%d%% - %s", F.floor(tenths / 10), tenths % 10,
         F.coalesce(policy, F.lit(lexicon.DEFAULT_ADVICE)),
     )
+    return F.when(confidence.isNotNull(), sentence)
 
 
 def pct(score):

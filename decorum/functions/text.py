@@ -94,14 +94,12 @@ def reverse_leet(col, leet=None, strict=False):
     symbol = char_class(leet)
     moved = "".join(s for s, letter in leet.items() if s != letter)
     if strict:
-        spare = f"(?!(?<=!)[!?.,;:)]*(?:[{SPACE}]|$))"
-        left, right = f"(?<=[{LETTER}][{symbol}]{{0,63}}", f"(?=[{symbol}]{{0,63}}[{LETTER}])"
-    else:
-        spare, left, right = "", f"(?<=[{LETTER}{symbol}]", f"(?=[{LETTER}{symbol}])"
+        return _reverse_runs(col, leet, symbol)
+    left, right = f"(?<=[{LETTER}{symbol}]", f"(?=[{LETTER}{symbol}])"
 
     def used(symbols):
         chars = f"[{char_class(symbols)}]"
-        return f"{chars}{spare}(?:{left}{chars})|{right})"
+        return f"{chars}(?:{left}{chars})|{right})"
 
     by_letter = {}
     for char in moved:
@@ -112,6 +110,25 @@ def reverse_leet(col, leet=None, strict=False):
     return F.when(col.rlike(used(moved)), out).otherwise(col)
 
 
+def _reverse_runs(col, leet, symbol):
+    """The strict rule, run by run: a run of symbols of any length is rewritten when
+    it touches a letter. Exclamation marks that end a word are set aside first.
+
+    Three noncharacters of Unicode mark what was set aside and the ends of a run.
+    """
+    aside, begin, end = "\uFDD0", "\uFDD1", "\uFDD2"
+    spared = F.regexp_replace(col, f"!(?=[!?.,;:)]*+(?:[{SPACE}]|$))", aside)
+    run = f"[{symbol}{aside}]"
+    touching = f"(?<=[{LETTER}])({run}++)|(?<!{run})({run}++)(?=[{LETTER}])"
+    marked = F.regexp_replace(spared, touching, f"{begin}$1$2{end}")
+    kept = {s: letter for s, letter in leet.items() if letter}
+    gone = "".join(s for s, letter in leet.items() if not letter)
+    parts = F.transform(F.split(marked, f"[{begin}{end}]", -1), lambda part, i: F.when(
+        i % 2 == 1, F.translate(part, "".join(kept) + gone, "".join(kept.values()))).otherwise(part))
+    out = F.translate(F.array_join(parts, ""), aside, "!")
+    return F.when(col.rlike(f"[{symbol}]"), out).otherwise(col)
+
+
 def strip_separators(col, strict=False):
     """Join letters that were spaced out (three or more).
 

@@ -132,19 +132,21 @@ PII_ENTITIES = ["PERSON", "EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN"]
 
 # ---------------------------------------------------------------- own values
 
-# Recognizers for the pattern-shaped entities, most specific first. They use
-# only syntax that RE2 and java.util.regex read alike.
+# Recognizers for the pattern-shaped entities, most specific first, for
+# java.util.regex. The part before the @ is taken as a whole or not at all, so
+# that a long run of its characters is read once.
 PII_PATTERNS = {
-    "EMAIL_ADDRESS": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,253}\.[A-Za-z]{2,24}\b",
+    "EMAIL_ADDRESS": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}.-]+\.\p{L}[\p{L}\p{N}-]*[\p{L}\p{N}]",
     "US_SSN": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "PHONE_NUMBER": r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b",
+    "PHONE_NUMBER": r"(?:\+1[ .\u2013-]?(?:\([0-9]{3}\)[ .\u2013-]?|[0-9]{3}[ .\u2013-]?)"
+                    r"|\([0-9]{3}\)[ .\u2013-]?|\b[0-9]{3}[ .\u2013-]?)[0-9]{3}[ .\u2013-]?[0-9]{4}\b",
 }
 
 # What every match of a recognizer contains; quick to look for.
 PII_HINTS = {
     "EMAIL_ADDRESS": "@",
     "US_SSN": "-[0-9]{2}-",
-    "PHONE_NUMBER": "[ .-][0-9]{4}",
+    "PHONE_NUMBER": "[0-9]{4}",
 }
 
 # A short list of English function words for the term reports; the classifier

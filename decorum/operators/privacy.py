@@ -8,7 +8,11 @@ from decorum.functions.privacy import count_entity, mask_entity, mask_names, nam
 
 def mask_pii(df, col="text", out="masked", entities=None):
     """Replace e-mail addresses, SSNs and phone numbers by ``<TYPE>``, most
-    specific type first, one projection each. The recognizers are ours."""
+    specific type first, one projection each. The recognizers are ours. ``entities``
+    picks some of ``lexicon.PII_ENTITIES``; names are masked by ``mask_person``."""
+    unknown = set(entities or ()) - set(lexicon.PII_ENTITIES)
+    if unknown:
+        raise ValueError(f"unknown entities {sorted(unknown)}")
     df = df.withColumn(out, F.col(col))
     for name in lexicon.PII_PATTERNS:
         if entities is None or name in entities:

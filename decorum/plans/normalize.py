@@ -25,7 +25,7 @@ def _steps(strict, split_words):
         yield "near_words", lambda c: T.fold_words(c, safe=safe)
 
 
-def normalize(df, col="text", out="normalized", mode="compat"):
+def normalize(df, col="text", out="normalized", mode="compat", guard=False):
     """Add ``out``, the text after all nine steps.
 
     Narrow: no shuffle, and Python only for rows with unusual characters. Each
@@ -33,16 +33,16 @@ def normalize(df, col="text", out="normalized", mode="compat"):
     does not compute the earlier steps twice. ``mode="strict"`` spares trailing
     punctuation, plain numbers and more everyday words.
 
-    Filter rows before, not after: the last projection holds a condition that is always
-    true but not deterministic, so that Spark does not copy the whole chain into a later
-    filter on its result.
+    Filters on other columns reach the scan. A filter on the result makes Spark copy the
+    chain into the filter; ``guard`` prevents that by a condition that is always true but
+    not deterministic, and then no later filter passes this step.
     """
     if mode not in ("compat", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
     done = df.withColumn(out, F.col(col))
     for _, step in _steps(mode == "strict", split_words=False):
         done = done.withColumn(out, step(F.col(out)))
-    return done.withColumn(out, F.when(F.spark_partition_id() >= 0, F.col(out)))
+    return done.withColumn(out, F.when(F.spark_partition_id() >= 0, F.col(out))) if guard else done
 
 
 def normalize_steps(df, col="text", mode="compat"):

@@ -7,7 +7,7 @@ from decorum.functions import scores as S
 from decorum.operators.cleaning import split_valid
 from decorum.operators.policy import map_policy, policy_table
 from decorum.operators.privacy import mask_person, mask_pii
-from decorum.operators.reuse import score_distinct, with_cached_flag
+from decorum.operators.reuse import distinct_texts, first_arrivals, with_key
 from decorum.plans.classify import ml_score
 from decorum.plans.normalize import normalize
 from decorum.session import spread
@@ -36,7 +36,7 @@ def score_texts(df, ml=S.lexicon_rate, scorer=S.lexicon_scorer, policies=None, m
     ``names`` adds name masking (see ``mask_person``). A text that ``scorer`` fails on
     keeps its row, with nulls and the ``error``.
     """
-    out = normalize(df.withColumn("comment", F.col(col)), "comment", "normalized_comment", mode)
+    out = normalize(df.withColumn("comment", F.col(col)), "comment", "normalized_comment", mode, guard=True)
     source = "comment" if mode == "strict" else "normalized_comment"
     out = mask_pii(out, source, "masked_comment")
     if names is not None:
@@ -61,15 +61,22 @@ def score_texts(df, ml=S.lexicon_rate, scorer=S.lexicon_scorer, policies=None, m
 def predict(df, col="text", id_col="id", order_col=None, **scoring):
     """(predictions, rejected rows). Each distinct text is scored once.
 
-    With ``order_col`` a ``cached`` flag tells repeats from first arrivals (W1).
+    With ``order_col`` a ``cached`` flag tells repeats from first arrivals (W1). Texts
+    cross the network on their way to be scored only; the rows that get the result back
+    carry their key, and a frequent key's rows are split by adaptive execution.
     """
     ok, rejected = split_valid(df, col)
-    if order_col:
-        ok = with_cached_flag(ok, order_col, col, id_col)
-    scored = score_distinct(
-        ok, lambda texts: score_texts(texts, col=col, **scoring), col, id_col
-    )
-    return scored, rejected
+    keyed = with_key(ok, col)
+    results = score_texts(distinct_texts(keyed, col), col=col, **scoring)
+    if not order_col:
+        return keyed.drop(col).join(results, "text_key"), rejected
+    # One slim aggregate by key meets the results, one row per key on either side;
+    # both go back to the rows in the same join. A text that failed has no result to reuse.
+    results = results.join(first_arrivals(keyed, order_col, id_col), "text_key")
+    arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
+    scored = keyed.drop(col).join(results, "text_key")
+    cached = (F.col("_first") != arrival) & F.col("error").isNull()
+    return scored.withColumn("cached", cached).drop("_first"), rejected
 
 
 def predict_rows(df, col="text", **scoring):

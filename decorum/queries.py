@@ -123,7 +123,12 @@ def reject_blank(spark, folder):
 
 
 def label_int(spark, folder):
-    return cleaning.label_int(table(spark, folder, "labels").select("doc_id", "toxic"))[0]
+    # Every third label is no number: both halves are returned.
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id")
+    label = F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.col("toxic").cast("string"))
+    good, bad = cleaning.label_int(docs.select("doc_id", label.alias("label")), "label")
+    return good.withColumn("rejected", F.lit(None).cast("string")).unionByName(
+        bad.select("doc_id", F.lit(None).cast("int").alias("label"), F.col("label").alias("rejected")))
 
 
 def select_xy(spark, folder):
@@ -247,6 +252,14 @@ def score_long(spark, folder):
     return reports.score_long(_scored(spark, folder), "doc_id")
 
 
+def explanations(spark, folder):
+    # Scores in steps of 1/10,000, spread over the events.
+    total = table(spark, folder, "documents").agg(F.sum("n_chars")).scalar()
+    score = ((F.col("event_id") * 7919 + total) % 10001) / F.lit(10000.0)
+    events = table(spark, folder, "events")
+    return events.select("event_id", S.explanation(score, F.col("event_type")).alias("sentence"))
+
+
 def percent_display(spark, folder):
     return _scored(spark, folder).select(
         "doc_id", *[S.pct_str(F.col(c)).alias(n) for c, n in zip(SCORES, ("ml", "llm", "hybrid"))]
@@ -278,7 +291,7 @@ def cached_flags(spark, folder):
 
 
 def cache_stats(spark, folder):
-    return reuse.cache_stats(table(spark, folder, "documents"))
+    return reuse.cache_stats(cleaning.split_valid(_arrivals(spark, folder))[0])
 
 
 def score_new_only(spark, folder):
@@ -332,10 +345,18 @@ def _arrival_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     events = read_comment_stream(spark, f"{folder}/events.parque[t]", schema)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    keyed = events.select("event_id", "ts", (F.col("event_id") % docs.count()).alias("doc_id"))
+    n = docs.agg(F.count("*")).scalar()
+    keyed = events.select("event_id", "ts", (F.col("event_id") % n).alias("doc_id"))
     return keyed.join(docs, "doc_id").select("event_id", "ts", "text")
 
 
+def _utc_text(col):
+    """A zone-less or session-zone time as UTC text."""
+    start = F.timestamp_diff("SECOND", F.timestamp_seconds(F.lit(0)), F.col(col).cast("timestamp"))
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=start.cast("decimal(18,6)"))
+    return F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias(col)
+
+
 def _finish(writer):
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
@@ -356,13 +377,14 @@ def stream_scored(spark, folder):
 
 def stream_dedup(spark, folder):
     base = shared_folder(spark, "dedup")
-    comments = cleaning.split_valid(_arrival_stream(spark, folder))[0]
-    firsts = stream.dedup_stream(comments, keep_for="60 days").select("text_key")
-    _finish(
-        firsts.writeStream.format("parquet").option("path", f"{base}/firsts")
-        .option("checkpointLocation", f"{base}/state")
-    )
-    return spark.read.parquet(f"{base}/firsts")
+    arrivals = _arrival_stream(spark, folder)
+    _finish(stream.first_sightings(arrivals, f"{base}/firsts", f"{base}/state", id_col="event_id"))
+    return spark.read.parquet(f"{base}/firsts").select("text_key")
+
+
+def stream_misses(spark, folder):
+    hits = stream.stream_hits(_answers(spark, folder).withColumnRenamed("event_id", "id"))
+    return hits.select(_utc_text("window_start"), "arrivals", "misses", "hits")
 
 
 def stream_risk_windows(spark, folder):
@@ -372,15 +394,15 @@ def stream_risk_windows(spark, folder):
     counts = stream.stream_stats(stream.score_stream(arrivals))
     _finish(stream.write_updates(counts, f"{base}/counts", f"{base}/state"))
     newest = stream.latest(spark.read.parquet(f"{base}/counts"), ["window_start", "risk_level"])
-    start = F.timestamp_diff("SECOND", F.timestamp_seconds(F.lit(0)), F.col("window_start"))
-    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=start.cast("decimal(18,6)"))
-    return newest.select(F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("window_start"), "risk_level", "n")
+    return newest.select(_utc_text("window_start"), "risk_level", "n")
 
 
 def stream_audit(spark, folder):
     base = shared_folder(spark, "stream-audit")
-    comments = stream.dedup_stream(cleaning.split_valid(_arrival_stream(spark, folder))[0], keep_for="60 days")
-    _finish(stream.audit_stream(stream.score_stream(comments), f"{base}/log", f"{base}/state"))
+    _finish(stream.answer_stream(
+        _arrival_stream(spark, folder), f"{base}/results", f"{base}/answers", f"{base}/state",
+        id_col="event_id", audit=f"{base}/log",
+    ))
     return audit.read_audit(spark, f"{base}/log").groupBy("risk_level").agg(F.count("*").alias("n"))
 
 
@@ -427,6 +449,7 @@ QUERIES = {
     "policy_map": policy_map,
     "hybrid_risk": hybrid_risk,
     "score_long": score_long,
+    "explanations": explanations,
     "percent_display": percent_display,
     "predict_batch": predict_batch,
     "flagship_risk": flagship_risk,
@@ -443,4 +466,5 @@ QUERIES = {
     "stream_dedup": stream_dedup,
     "stream_risk_windows": stream_risk_windows,
     "stream_audit": stream_audit,
+    "stream_misses": stream_misses,
 }

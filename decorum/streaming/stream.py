@@ -1,9 +1,11 @@
 """The scoring pipeline over streams."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from decorum.operators.cleaning import split_valid
-from decorum.operators.reuse import join_unique, new_texts, text_key
+from decorum.operators.reuse import distinct_texts, join_unique, successes, text_key, with_key
 from decorum.plans.predict import score_texts
 from decorum.sources.audit import append_audit
 from decorum.session import utc_timestamp
@@ -21,46 +23,100 @@ def score_stream(sdf, col="text", **scoring):
     return score_texts(split_valid(sdf, col)[0], col=col, **scoring)
 
 
+def first_sightings(sdf, seen, checkpoint, col="text", id_col="id", ts="ts"):
+    """R2: write the first sighting of each text to the table ``seen``, however late it
+    arrives. Of the arrivals of one micro-batch the earliest counts.
+
+    ``seen`` has one folder per micro-batch, which a replay replaces, cut by the first
+    digit of the key; only the keys are read again.
+    """
+    schema = sdf.select(id_col, ts).schema.add("text_key", "string")
+
+    def keep(batch, batch_id):
+        ok = with_key(split_valid(batch, col)[0], col).drop(col)
+        row = F.struct(F.col(ts), F.col(id_col))
+        firsts = ok.groupBy("text_key").agg(F.min(row).alias("_row")).select("text_key", "_row.*")
+        known = earlier(batch.sparkSession, seen, schema, batch_id).select("text_key")
+        write_batch(firsts.join(known, "text_key", "left_anti"), seen, batch_id)
+
+    return sdf.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def earlier(spark, path, schema, batch_id):
+    """Rows that earlier micro-batches wrote with ``write_batch``."""
+    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("digit", T.StringType())])
+    none = spark.createDataFrame([], whole).drop("batch_id", "digit")
+    none.write.mode("ignore").parquet(f"{path}/batch_id=-1/digit=-")
+    return spark.read.schema(whole).parquet(path).filter(F.col("batch_id") < batch_id)
+
+
+def write_batch(df, path, batch_id):
+    """One folder per micro-batch, cut by the first digit of the key."""
+    df.withColumn("digit", F.substring("text_key", 1, 1)).repartition("digit").write.mode("overwrite").partitionBy(
+        "digit").parquet(f"{path}/batch_id={batch_id}")
+
+
 def dedup_stream(sdf, ts="ts", col="text", keep_for="1 day"):
-    """R2: the first sighting of each text. Texts are remembered for ``keep_for``
-    of event time, which bounds the state; only their hashes are kept."""
+    """R2, bounded variant: the first sighting of each text within ``keep_for`` of event
+    time, which bounds the state; only hashes are kept. Rows that arrive later than
+    that are dropped: use ``first_sightings`` where none may be lost."""
     keyed = with_event_time(sdf, ts).withColumn("text_key", text_key(F.col(col)))
     return keyed.withWatermark(ts, keep_for).dropDuplicatesWithinWatermark(["text_key"])
 
 
-def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", **scoring):
-    """R2: answer every comment, scoring only texts never seen before.
+def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", audit=None, at=None, **scoring):
+    """R2: answer every comment, scoring only texts never scored before.
 
     Results live in the table ``results`` (one row per text), answers in ``answers``.
     Both get one folder per micro-batch, which a replay replaces: a batch reads only
-    results of earlier batches.
+    results of earlier batches. A text that failed is answered with its error, but is no
+    result: it is scored again when it comes again.
+
+    Of ``results`` a batch first reads the keys, and only in the folders of the digits its
+    own keys begin with; the wide columns are read for its own keys. ``answers`` carry
+    ``scored_in``, the batch that scored the text. With ``audit`` the newly scored texts are
+    also appended to that audit table (``at``: see ``audit_rows``).
     """
     spark = sdf.sparkSession
 
     def scorer(texts):
         return score_texts(texts, col=col, **scoring)
 
-    sample = scorer(spark.createDataFrame([], f"text_key string, {col} string"))
-    sample.write.mode("ignore").parquet(f"{results}/batch_id=-1")
+    schema = scorer(spark.createDataFrame([], f"text_key string, {col} string")).schema
 
     def answer(batch, batch_id):
-        stored = batch.sparkSession.read.schema(
-            sample.withColumn("batch_id", F.lit(0)).schema
-        ).parquet(results)
-        ok = split_valid(batch, col)[0]
-        fresh = scorer(new_texts(ok, stored.filter(F.col("batch_id") < batch_id), col))
-        fresh.write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
-        known = batch.sparkSession.read.schema(stored.schema).parquet(results)
-        known = known.filter(F.col("batch_id") <= batch_id)
-        keyed = ok.withColumn("text_key", text_key(F.col(col))).drop(col)
-        answered = join_unique(
-            keyed, known.withColumnRenamed("batch_id", "scored_in"), "text_key", F.col(id_col)
-        )
-        answered.write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
+        ok = with_key(split_valid(batch, col)[0], col).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            texts = distinct_texts(ok, col)
+            # At most sixteen values.
+            digits = [r.d for r in texts.select(F.substring("text_key", 1, 1).alias("d")).distinct().collect()]
+            stored = earlier(batch.sparkSession, results, schema, batch_id).filter(F.col("digit").isin(digits))
+            fresh = scorer(texts.join(stored.select("text_key"), "text_key", "left_anti"))
+            fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                write_batch(successes(fresh), results, batch_id)
+                if audit:
+                    append_audit(fresh, audit, batch_id, at)
+                known = stored.join(texts.select("text_key"), "text_key", "left_semi").drop("digit")
+                new = fresh.withColumn("batch_id", F.lit(batch_id).cast("long"))
+                both = known.unionByName(new.select(known.columns)).withColumnRenamed("batch_id", "scored_in")
+                answered = join_unique(ok.drop(col), both, "text_key", F.col(id_col))
+                answered.write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
+            finally:
+                fresh.unpersist()
+        finally:
+            ok.unpersist()
 
     return sdf.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
 
 
+def compact(spark, source, target):
+    """Rewrite a table of many micro-batch folders as one folder, for a stream that starts
+    again on ``target``. Later batches have higher numbers than the one folder's."""
+    table = spark.read.parquet(source)
+    table.drop("batch_id").repartition("digit").write.partitionBy("digit").parquet(f"{target}/batch_id=-1")
+
+
 def audit_stream(scored, path, checkpoint, at=None):
     """Append scored comments to the audit table, one folder per micro-batch."""
     return (
@@ -70,6 +126,19 @@ def audit_stream(scored, path, checkpoint, at=None):
     )
 
 
+def stream_hits(answers, ts="ts", window="1 hour"):
+    """Per time window of the answers of ``answer_stream`` the arrivals, the misses (the
+    first arrival of a text in the batch that scored it) and the hits (all others)."""
+    answers = with_event_time(answers, ts)
+    arrival = F.struct(F.col(ts), F.col("id"))
+    first = answers.filter(F.col("batch_id") == F.col("scored_in")).groupBy("text_key").agg(F.min(arrival).alias("_first"))
+    marked = join_unique(answers, first, "text_key", F.col("id"), how="left")
+    miss = F.coalesce((F.col("_first") == arrival) & (F.col("batch_id") == F.col("scored_in")), F.lit(False))
+    return marked.groupBy(F.window(ts, window)).agg(
+        F.count("*").alias("arrivals"), F.count_if(miss).alias("misses"), F.count_if(~miss).alias("hits")
+    ).select(F.col("window.start").alias("window_start"), "arrivals", "misses", "hits")
+
+
 def stream_stats(scored, ts="ts", window="1 hour", late="1 hour"):
     """Comments per time window and risk level; rows later than ``late`` are
     dropped. ``scored`` is the output of ``score_stream``."""

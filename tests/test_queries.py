@@ -21,7 +21,7 @@ def rows(names, values):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for name in ("documents", "labels", "conversations", "events"):
+    for name in ("documents", "labels", "conversations", "events", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return con
 
