@@ -142,6 +142,17 @@ PII_PATTERNS = {
                     r"|\([0-9]{3}\)[ .\u2013-]?|\b[0-9]{3}[ .\u2013-]?)[0-9]{3}[ .\u2013-]?[0-9]{4}\b",
 }
 
+# First names that stand in for a trained PERSON recognizer where the caller
+# gives no table of names.
+FIRST_NAMES = """
+    Adam Alice Amy Andrew Anna Anthony Barbara Brian Carlos Carol Charles Chris
+    Daniel David Deborah Donna Edward Elizabeth Emily Emma Eric Frank Fatima
+    George Hannah Helen James Jane Jason Jennifer Jessica John Joseph Karen
+    Kevin Laura Linda Lisa Maria Mark Mary Matthew Michael Mohammed Nancy
+    Nicole Olivia Patricia Paul Peter Priya Rachel Richard Robert Ruth Sarah
+    Scott Sofia Stephen Steven Susan Thomas Timothy William
+""".split()
+
 # What every match of a recognizer contains; quick to look for.
 PII_HINTS = {
     "EMAIL_ADDRESS": "@",

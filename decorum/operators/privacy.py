@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.privacy import count_entity, mask_entity, mask_names, name_tokens
+from decorum.operators.skew import join_unique
 
 
 def mask_pii(df, col="text", out="masked", entities=None):
@@ -20,23 +21,34 @@ def mask_pii(df, col="text", out="masked", entities=None):
     return df
 
 
-def mask_person(df, col, names, id_col="id"):
-    """Names from the table ``names`` (column ``name``), with the capitalised
-    words that follow them; stands in for a trained recognizer.
+def mask_person(df, col, names=None, id_col="id", in_row=5_000):
+    """Names from the table ``names`` (column ``name``; default
+    ``lexicon.FIRST_NAMES``), with the capitalised words that follow them; stands in for a
+    trained recognizer. ``names`` may also be a function from Column to Column: a
+    recognizer of the caller's own.
 
-    Only the distinct capitalised words of each text meet the name table, which
-    Spark broadcasts when it is small. ``names`` may also be a function from Column to
-    Column: a recognizer of the caller's own.
+    Up to ``in_row`` names become literals and are masked row by row, on streams too. A
+    larger table meets the distinct capitalised words of each text in a join, in which
+    frequent words are salted; the result is the same.
     """
     if callable(names):
         return df.withColumn(col, names(F.col(col)))
-    tokens = df.select(id_col, F.explode(name_tokens(F.col(col))).alias("name"))
-    found = tokens.join(names.select("name").distinct(), "name").groupBy(id_col)
+    if names is None:
+        known = lexicon.FIRST_NAMES
+    else:
+        names = names.select("name").filter("name IS NOT NULL").distinct()
+        # At most in_row + 1 short rows.
+        known = [r.name for r in names.limit(in_row + 1).collect()]
+    if len(known) <= in_row:
+        found = F.filter(name_tokens(F.col(col)), lambda t: t.isin(known)) if known else F.array().cast("array<string>")
+        return df.withColumn(col, mask_names(F.col(col), F.sort_array(found)))
+    tokens = df.select(F.col(id_col).alias("_id"), F.explode(name_tokens(F.col(col))).alias("name"))
+    found = join_unique(tokens, names, "name", F.col("_id")).groupBy("_id")
     found = found.agg(F.sort_array(F.collect_set("name")).alias("_names"))
-    known = F.coalesce("_names", F.array().cast("array<string>"))
+    met = F.coalesce("_names", F.array().cast("array<string>"))
     return (
-        df.join(found, id_col, "left")
-        .withColumn(col, mask_names(F.col(col), known)).drop("_names")
+        df.join(found, F.col(id_col) == F.col("_id"), "left")
+        .withColumn(col, mask_names(F.col(col), met)).drop("_names", "_id")
     )
 
 

@@ -3,7 +3,7 @@
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
+    IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
     SQLTransformer, StopWordsRemover,
 )
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from decorum import lexicon
+from decorum.operators.features import top_terms
 from decorum.operators.metrics import class_weights
 
 
@@ -39,14 +40,18 @@ def train_classifier(df, k=lexicon.VOCABULARY_SIZE, min_df=lexicon.MIN_DF, max_i
     terms = PipelineModel(text_stages(stop_words)).transform(df).select("label", "terms")
     terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = CountVectorizer(vocabSize=k, minDF=float(min_df), inputCol="terms", outputCol="tf").fit(terms)
+        # Ties in the vocabulary are broken by the term, so the model is the same on any layout.
+        words = [r.term for r in top_terms(terms, k, min_df).collect()]
+        counts = CountVectorizerModel.from_vocabulary(words or [""], inputCol="terms", outputCol="tf")
         idf = IDF(inputCol="tf", outputCol="idf").fit(counts.transform(terms))
         # The pipeline's idf lacks the constant 1, which is the term count itself.
         scale = ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0),
                                    inputCol="tf", outputCol="scaled")
         unit = Normalizer(p=2.0, inputCol="scaled", outputCol="features")
         vectors = unit.transform(scale.transform(counts.transform(terms)))
-        weighted = vectors.select("label", "features").join(class_weights(df), "label")
+        weights = {r.label: r.weight for r in class_weights(terms).collect()}
+        weight = F.when(F.col("label") == 1, weights.get(1, 1.0)).otherwise(weights.get(0, 1.0))
+        weighted = vectors.select("label", "features", weight.alias("weight"))
         lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
                                 maxIter=max_iter, regParam=1.0 / terms.count(), elasticNetParam=0.0,
                                 standardization=False)

@@ -33,14 +33,13 @@ def score_texts(df, ml=S.lexicon_rate, scorer=S.lexicon_scorer, policies=None, m
     ``ml`` is a fitted pipeline or a Column function, ``scorer`` a Column function
     that gives ``struct(label, score[, error])``. Both read the normalized text.
     ``mode="compat"`` masks the normalized text, ``"strict"`` the original (P3).
-    ``names`` adds name masking (see ``mask_person``). A text that ``scorer`` fails on
+    ``names``: see ``mask_person``. A text that ``scorer`` fails on
     keeps its row, with nulls and the ``error``.
     """
     out = normalize(df.withColumn("comment", F.col(col)), "comment", "normalized_comment", mode, guard=True)
     source = "comment" if mode == "strict" else "normalized_comment"
     out = mask_pii(out, source, "masked_comment")
-    if names is not None:
-        out = mask_person(out, "masked_comment", names, key)
+    out = mask_person(out, "masked_comment", names, key)
     if isinstance(ml, PipelineModel):
         out = ml_score(out.drop("text"), ml, "normalized_comment")
     else:

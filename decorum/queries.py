@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from decorum import lexicon
 from decorum.functions import scores as S
 from decorum.functions import text as T
+from decorum.functions.privacy import name_tokens
 from decorum.operators import (
     cleaning, features, metrics, privacy, reports, reuse, sampling, vocabulary,
 )
@@ -88,9 +89,9 @@ def pii_summary(spark, folder):
 
 
 def mask_names(spark, folder):
-    # Names: the capitalised first words of the chat turns.
+    # Names: all capitalised words of all chat turns.
     chats = table(spark, folder, "conversations")
-    names = chats.select(F.regexp_extract("text", r"^(\p{Lu}\p{L}*)", 1).alias("name")).filter("name <> ''")
+    names = chats.select(F.explode(name_tokens(F.col("text"))).alias("name"))
     return privacy.mask_person(_docs(spark, folder), "text", names, "doc_id")
 
 

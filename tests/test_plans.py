@@ -190,6 +190,40 @@ def test_stream_answers_repeats_from_stored_results(spark, comments, feed, tmp_p
     assert answers[6].hybrid_score == answers[0].hybrid_score
 
 
+def test_a_failed_text_is_scored_again(spark, comments, feed, tmp_path):
+    base = str(tmp_path)
+    run(stream.answer_stream(feed, f"{base}/results", f"{base}/answers", f"{base}/state", scorer=fragile(), audit=f"{base}/log"))
+    results = spark.read.parquet(f"{base}/results")
+    assert results.filter("error IS NOT NULL").count() == 0 and results.count() == 4
+    answers = {r.id: r for r in spark.read.parquet(f"{base}/answers").collect()}
+    assert answers[1].error == "no such thing" and sorted(answers) == [0, 1, 2, 4, 5, 6, 7]
+    assert audit.read_audit(spark, f"{base}/log").count() == 4
+    # The same feed with a scorer that works answers the text that failed, and only that one is scored.
+    run(stream.answer_stream(feed, f"{base}/results", f"{base}/answers2", f"{base}/state2"))
+    stream.compact(spark, f"{base}/results", f"{base}/results2")
+    assert spark.read.parquet(f"{base}/results2").select("text_key").distinct().count() == 5
+
+
+def test_failed_texts_are_never_cached(spark, comments):
+    twice = comments.unionByName(comments.withColumn("id", F.col("id") + 100))
+    rows = predict(twice, order_col="ts", scorer=fragile())[0].filter("error IS NOT NULL").collect()
+    assert len(rows) == 2 and not any(r.cached for r in rows)
+
+
+def test_late_first_sightings_are_kept(spark, tmp_path):
+    at = dt.datetime(2024, 6, 1)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n, rows in enumerate([[(1, "new", at), (2, "new", at)], [(3, "new", at)], [(4, "years late", dt.datetime(2010, 1, 1)), (5, "new", at)]]):
+        part = tmp_path / f"b{n}"
+        spark.createDataFrame(rows, "id long, text string, ts timestamp_ntz").coalesce(1).write.parquet(str(part))
+        (data,) = part.glob("*.parquet")
+        place(data, folder, n)
+    feed = read_comment_stream(spark, str(folder), "id long, text string, ts timestamp_ntz", files_per_batch=1)
+    run(stream.first_sightings(feed, str(tmp_path / "seen"), str(tmp_path / "state")))
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "seen")).collect()) == [1, 4]
+
+
 def test_stream_audit_logs_first_sightings(spark, feed, tmp_path):
     from decorum.operators.cleaning import split_valid
 

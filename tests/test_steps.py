@@ -157,3 +157,18 @@ def test_strict_mode_spares_plain_text(spark):
     df = spark.createDataFrame(rows, "text string, wanted string")
     for row in normalize(df, mode="strict").collect():
         assert row.normalized == row.wanted
+
+
+def test_strict_leet_has_no_length_limit(spark, apply):
+    strict = lambda c: T.reverse_leet(c, strict=True)
+    texts = ["a" + "$" * n for n in (1, 63, 70, 5000)] + ["$" * 70 + "a", "$" * 70, "Hello!", "sh!t", "a!!", "4 ever", "b4", "1234"]
+    got = apply(strict, texts)
+    assert got == ["a" + "s" * n for n in (1, 63, 70, 5000)] + ["s" * 70 + "a", "$" * 70, "Hello!", "shit", "a!!", "4 ever", "ba", "1234"]
+
+
+def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "en", "fcuk"), (2, "de", "x")], "id long, lang string, text string").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    plan = normalize(table).filter("lang = 'en'")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+    assert plan.count("ArrowEvalPython") <= 1
