@@ -22,17 +22,32 @@ _NON_ASCII = r"[^\x00-\x7F]"
 # ------------------------------------------------------------------ N1: NFKD
 
 @lru_cache(maxsize=1)
-def _latin1():
-    """(accented letters by combining mark, class body of the characters with no
-    decomposition) of the Latin-1 block, both derived from the Unicode tables."""
-    by_mark, inert = {}, ""
-    for char in map(chr, range(0x80, 0x100)):
+def _decompositions():
+    """(accented Latin-1 letters by combining mark, class of common characters that
+    decomposition leaves alone, class of the characters it may change), derived from
+    the Unicode tables."""
+    by_mark, common, hard = {}, [], []
+
+    def extend(ranges, code):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
+        char = chr(code)
         parts = unicodedata.normalize("NFKD", char)
-        if len(parts) == 2 and parts[0] < "\x80" and unicodedata.combining(parts[1]):
+        if code < 0x100 and len(parts) == 2 and parts[0] < "\x80" and unicodedata.combining(parts[1]):
             by_mark.setdefault(parts[1], []).append((char, parts[0]))
-        elif parts == char:
-            inert += rf"\x{ord(char):02x}"
-    return by_mark, inert
+        elif parts == char and not unicodedata.combining(char):
+            extend(common, code)
+        else:
+            extend(hard, code)
+    # Long ranges, and the alphabets and punctuation of everyday text, are tried first.
+    common = [r for r in common if r[1] - r[0] > 200 or r[0] < 0x530 or 0x2000 <= r[0] < 0x2070]
+    # The letter beyond the basic plane makes Java look behind by whole characters (see LETTER).
+    bodies = ["\U00010400" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) for ranges in (common, hard)]
+    return by_mark, *bodies
 
 
 def _nfkd_udf():
@@ -48,12 +63,13 @@ def _nfkd_udf():
 def nfkd(col):
     """Unicode NFKD; the output stays decomposed.
 
-    ASCII rows pass through. Rows with no other characters than accented Latin-1
-    letters are decomposed by built-in functions: append its mark to each such
-    letter, then drop to the base letters in one ``translate``. Only the other rows
-    hand their text to a Python worker; for all others it receives a null.
+    ASCII rows pass through. Rows in which only accented Latin-1 letters decompose (beside any
+    quotes, dashes, ideographs, emoji, ...) are decomposed by built-in functions: append
+    its mark to each such letter, then drop to the base letters in one ``translate``.
+    Only rows with other changing characters or combining marks hand their text to a
+    Python worker; for all others it receives a null.
     """
-    by_mark, inert = _latin1()
+    by_mark, common, changing = _decompositions()
     pairs = [pair for group in by_mark.values() for pair in group]
     accented, plain = ("".join(side) for side in zip(*pairs))
     simple = col
@@ -61,7 +77,7 @@ def nfkd(col):
         letters = "".join(char for char, _ in group)
         simple = F.regexp_replace(simple, f"[{letters}]", "$0" + mark)
     simple = F.translate(simple, accented, plain)
-    hard = col.rlike(f"{_NON_ASCII}(?<![{accented}{inert}])")
+    hard = col.rlike(f"{_NON_ASCII}(?<![{accented}{common}])(?<=[{changing}])")
     decomposed = _nfkd_udf()(F.when(hard, col))
     return (
         F.when(~col.rlike(_NON_ASCII), col)

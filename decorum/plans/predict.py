@@ -78,7 +78,8 @@ def predict(df, col="text", id_col="id", order_col=None, **scoring):
     return scored.withColumn("cached", cached).drop("_first"), rejected
 
 
-def predict_rows(df, col="text", **scoring):
-    """As ``predict`` without reuse: narrow, for tables with few repeats."""
+def predict_rows(df, col="text", partitions=None, **scoring):
+    """As ``predict`` without reuse: narrow, for tables with few repeats (``partitions``:
+    see ``spread``)."""
     ok, rejected = split_valid(df, col)
-    return score_texts(spread(ok), col=col, **scoring), rejected
+    return score_texts(spread(ok, partitions), col=col, **scoring), rejected

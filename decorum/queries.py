@@ -1,5 +1,9 @@
 """The registered queries: each takes (spark, folder of the test tables)."""
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import functions as F
 
 from decorum import lexicon
@@ -15,7 +19,7 @@ from decorum.plans.normalize import normalize
 from decorum.plans.predict import PREDICTION, blend, predict, score_texts
 from decorum.session import shared_folder, spread
 from decorum.sources import audit
-from decorum.sources.comments import read_comment_stream, read_comments
+from decorum.sources.comments import comment_schema, read_comment_stream, read_comments, write_dataset
 from decorum.streaming import stream
 
 SCORES = ["ml_score", "llm_confidence", "hybrid_score"]
@@ -25,6 +29,21 @@ def table(spark, folder, name):
     return read_comments(spark, f"{folder}/{name}.parquet")
 
 
+def dealt(df, source):
+    """The test tables are one small file each: deal such a table out to all cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return spread(df, cores if len(source.inputFiles()) < cores else None)
+
+
+def folder_for(spark, purpose):
+    """A shared folder; a local session without the setting, as in tests, gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="decorum-")
+        atexit.register(shutil.rmtree, base, True)
+    return shared_folder(spark, purpose, base)
+
+
 def rounded(df, cols=SCORES):
     return df.withColumns({c: F.round(c, 6) for c in cols if c in df.columns})
 
@@ -32,7 +51,8 @@ def rounded(df, cols=SCORES):
 # ------------------------------------------------------------- normalizer
 
 def _docs(spark, folder):
-    return spread(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents")
+    return dealt(docs.select("doc_id", "text"), docs)
 
 
 def _step(name, step):
@@ -43,8 +63,8 @@ def _step(name, step):
 
 
 def chat_normalize(spark, folder):
-    chats = spread(table(spark, folder, "conversations").select("conv_id", "turn", "text"))
-    return normalize(chats).select("conv_id", "turn", "normalized")
+    chats = table(spark, folder, "conversations")
+    return normalize(dealt(chats.select("conv_id", "turn", "text"), chats)).select("conv_id", "turn", "normalized")
 
 
 def normalize_full(spark, folder):
@@ -220,6 +240,64 @@ def lr_predictions(spark, folder):
     return classify.ml_score(val, model, pred="pred").select("doc_id", "label", "ml_score", "pred")
 
 
+def lr_checks(spark, folder):
+    """What must hold of the classifier on any data: rows on either side, and that scores
+    are probabilities, decisions follow from them, the fit is a minimum (the mean weighted
+    residual of the training rows is nothing, since the intercept is not penalized), and a
+    stored model scores alike."""
+    rows = cleaning.prepare(_labelled(spark, folder)).select(
+        "doc_id", F.col("comment_text").alias("text"), F.col("toxic").alias("label"))
+    train, val = sampling.train_val_split(rows)
+    model = classify.train_classifier(train)
+    path = f"{folder_for(spark, 'model')}/lr"
+    classify.save_model(model, path)
+    again = classify.load_model(path)
+    scored = classify.ml_score(val, model, pred="pred")
+    stored = classify.ml_score(val, again).select("doc_id", F.col("ml_score").alias("stored"))
+    held = scored.join(stored, "doc_id").agg(
+        F.count("*").alias("n_val"),
+        F.bool_and((F.col("ml_score") > 0) & (F.col("ml_score") < 1)).alias("probabilities"),
+        F.bool_and((F.col("pred") == 1) == (F.col("ml_score") > 0.5)).alias("decided"),
+        F.bool_and(F.abs(F.col("ml_score") - F.col("stored")) < 1e-9).alias("stored_alike"))
+    fitted = classify.ml_score(train, model)
+    side = fitted.agg(F.count("*").alias("n_train"), F.avg(F.when(F.col("label") == 1, 1 - F.col("ml_score"))).alias("up"),
+                      F.avg(F.when(F.col("label") == 0, F.col("ml_score"))).alias("down"))
+    side = side.select(F.struct("n_train", (F.abs(F.col("up") - F.col("down")) < 1e-3).alias("minimum"))).scalar()
+    return held.select("*", side["n_train"].alias("n_train"), side["minimum"].alias("minimum"))
+
+
+def csv_round_trip(spark, folder):
+    path = f"{folder_for(spark, 'csv')}/comments"
+    write_dataset(_labelled(spark, folder).select("comment_text", F.col("toxic").cast("string")), path, "csv")
+    back = read_comments(spark, path, "csv", comment_schema(labels=False))
+    return back.groupBy("toxic").agg(
+        F.count("*").alias("n"), F.sum(F.length("comment_text")).alias("chars"),
+        F.sum(F.conv(F.substring(F.md5("comment_text"), 1, 8), 16, 10).cast("long")).alias("check"))
+
+
+def written_set(spark, folder):
+    path = f"{folder_for(spark, 'cleaned')}/set"
+    write_dataset(cleaning.prepare(_labelled(spark, folder)), path)
+    return spark.read.parquet(path).groupBy("toxic").agg(F.count("*").alias("n"), F.sum(F.length("comment_text")).alias("chars"))
+
+
+def write_times(spark, folder):
+    """M5: rows appended without a time get the time of writing, in UTC."""
+    path = folder_for(spark, "times")
+    before = spark.range(1).select(audit.utc_now().alias("t")).first().t
+    audit.append_audit(_scored(spark, folder), path)
+    log = audit.read_audit(spark, path)
+    return log.groupBy(F.lit(True).alias("written")).agg(
+        F.count("*").alias("n"), F.bool_and(F.col("timestamp") >= F.lit(before)).alias("not_early"),
+        F.bool_and(F.col("timestamp") <= audit.utc_now()).alias("not_late"),
+        F.bool_and(F.col("log_date") == F.col("timestamp").cast("date")).alias("dated"))
+
+
+def mask_strict(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return predict(docs, id_col="doc_id", mode="strict")[0].select("doc_id", "masked_comment")
+
+
 # ----------------------------------------------------------------- scoring
 
 def _scored(spark, folder):
@@ -280,7 +358,7 @@ def _arrivals(spark, folder):
     """A timed stream of comments: each event brings one document."""
     # Texts are hashed once per document, before events repeat them.
     docs = table(spark, folder, "documents")
-    docs = spread(reuse.with_key(docs.select("doc_id", T.strip_blanks(F.col("text")).alias("text"))))
+    docs = dealt(reuse.with_key(docs.select("doc_id", T.strip_blanks(F.col("text")).alias("text"))), docs)
     n = table(spark, folder, "documents").agg(F.count("*").alias("n")).scalar()
     events = table(spark, folder, "events").select("event_id", "ts", (F.col("event_id") % n).alias("doc_id"))
     return events.join(docs, "doc_id").select("event_id", "ts", "text", "text_key")
@@ -298,7 +376,7 @@ def cache_stats(spark, folder):
 def score_new_only(spark, folder):
     # Results of the chat texts are at hand; documents among them are not scored again.
     chats, _ = cleaning.split_valid(table(spark, folder, "conversations").select("text"))
-    prior = score_texts(reuse.distinct_texts(spread(chats)))
+    prior = score_texts(reuse.distinct_texts(chats))
     docs, _ = cleaning.split_valid(_docs(spark, folder))
     out = reuse.score_new(docs, prior, lambda t: score_texts(t), id_col="doc_id")
     return rounded(out).select("doc_id", "hybrid_score", "risk_level", "reused")
@@ -330,7 +408,7 @@ def risk_rollup(spark, folder):
 
 
 def audit_written(spark, folder):
-    path = shared_folder(spark, "audit")
+    path = folder_for(spark, "audit")
     audit.init_audit(spark, path)
     scored, _ = predict(_arrivals(spark, folder), id_col="event_id", order_col="ts")
     audit.append_audit(scored, path, at=F.col("ts"), row_id=F.col("event_id"))
@@ -364,7 +442,7 @@ def _finish(writer):
 
 
 def _answers(spark, folder):
-    base = shared_folder(spark, "answers")
+    base = folder_for(spark, "answers")
     _finish(stream.answer_stream(
         _arrival_stream(spark, folder), f"{base}/results", f"{base}/answers", f"{base}/state",
         id_col="event_id",
@@ -377,7 +455,7 @@ def stream_scored(spark, folder):
 
 
 def stream_dedup(spark, folder):
-    base = shared_folder(spark, "dedup")
+    base = folder_for(spark, "dedup")
     arrivals = _arrival_stream(spark, folder)
     _finish(stream.first_sightings(arrivals, f"{base}/firsts", f"{base}/state", id_col="event_id"))
     return spark.read.parquet(f"{base}/firsts").select("text_key")
@@ -389,7 +467,7 @@ def stream_misses(spark, folder):
 
 
 def stream_risk_windows(spark, folder):
-    base = shared_folder(spark, "windows")
+    base = folder_for(spark, "windows")
     # One input file arrives as one piece: deal its comments out before scoring.
     arrivals = _arrival_stream(spark, folder).repartition(spark.sparkContext.defaultParallelism)
     counts = stream.stream_stats(stream.score_stream(arrivals))
@@ -399,7 +477,7 @@ def stream_risk_windows(spark, folder):
 
 
 def stream_audit(spark, folder):
-    base = shared_folder(spark, "stream-audit")
+    base = folder_for(spark, "stream-audit")
     _finish(stream.answer_stream(
         _arrival_stream(spark, folder), f"{base}/results", f"{base}/answers", f"{base}/state",
         id_col="event_id", audit=f"{base}/log",
@@ -447,6 +525,11 @@ QUERIES = {
     "accuracy_rule": accuracy_rule,
     "classification_report": classification_report,
     "lr_predictions": lr_predictions,
+    "lr_checks": lr_checks,
+    "csv_round_trip": csv_round_trip,
+    "written_set": written_set,
+    "write_times": write_times,
+    "mask_strict": mask_strict,
     "policy_map": policy_map,
     "hybrid_risk": hybrid_risk,
     "score_long": score_long,

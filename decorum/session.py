@@ -1,37 +1,24 @@
 """Small helpers that depend on the running session."""
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark, purpose):
-    """A new folder for checkpoints or intermediate tables.
-
-    It lies under ``spark.checkpoint.dir``, the folder all executors share. Only
-    a local session without that setting gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark, purpose, base=None):
+    """A new folder for checkpoints or intermediate tables, under ``base`` or else
+    under ``spark.checkpoint.dir``, the folder all executors share."""
+    base = base or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="decorum-")
-        atexit.register(shutil.rmtree, base, True)
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share, or pass one")
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex}")
 
 
-def spread(df):
-    """Give compute-heavy row work at least one partition per core.
-
-    A table of many files is left as it is; only an input that the scan cuts into
-    fewer pieces than there are cores is dealt out again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df, partitions=None):
+    """Deal rows out to ``partitions`` for compute-heavy row work, where the caller asks for
+    it: a table of one small file arrives as one piece."""
+    return df.repartition(partitions) if partitions else df
 
 
 def utc_timestamp(col):
@@ -42,7 +29,7 @@ def utc_timestamp(col):
 
 
 def small_table(spark, rows, names):
-    """A table of a few literal rows, whose size the planner knows (and so
-    broadcasts it)."""
+    """A table of a few literal rows (hundreds at most), whose size the planner
+    knows (and so broadcasts it)."""
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))

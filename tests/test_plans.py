@@ -258,8 +258,11 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     assert {r.window_start.hour: r.misses for r in seen.collect()}[0] == 3
 
 
-def test_shared_folder_needs_a_setting_on_a_cluster(spark):
-    assert shared_folder(spark, "x") != shared_folder(spark, "x")
+def test_shared_folder_needs_a_setting(spark, tmp_path):
+    with pytest.raises(ValueError):
+        shared_folder(spark, "x")
+    first, second = (shared_folder(spark, "x", str(tmp_path)) for _ in range(2))
+    assert first != second and first.startswith(str(tmp_path))
 
 
 def test_utc_timestamp_ignores_the_session_zone(spark):

@@ -172,3 +172,22 @@ def test_filters_on_other_columns_reach_the_scan(spark, tmp_path):
     plan = normalize(table).filter("lang = 'en'")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert plan.count("ArrowEvalPython") <= 1
+
+
+def test_nfkd_of_every_character(spark, apply):
+    import unicodedata
+
+    codes = [c for c in range(0x80, 0x30000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    texts = [chr(c) for c in codes] + ["e" + chr(c) + "\u0301" for c in codes[::7]] + ["é" + chr(c) for c in codes]
+    got = apply(T.nfkd, texts)
+    assert got == [unicodedata.normalize("NFKD", t) for t in texts]
+
+
+def test_everyday_characters_stay_on_the_jvm(spark):
+    plain = ["“quoted” – dashed", "привет мир", "漢字かな", "emoji 🎉", "naïve café — “oui”"]
+    other = ["мой", "한국", "wait…", "e\u0301", "ﬁ", "ﾊﾝ"]
+    df = spark.createDataFrame([(t,) for t in plain + other], "text string").select("text", T.nfkd(F.col("text")).alias("out"))
+    by_mark, common, changing = T._decompositions()
+    accented = "".join(c for group in by_mark.values() for c, _ in group)
+    hard = F.col("text").rlike(f"[^\\x00-\\x7F](?<![{accented}{common}])(?<=[{changing}])")
+    assert [r.h for r in df.select(hard.alias("h")).collect()] == [False] * len(plain) + [True] * len(other)
