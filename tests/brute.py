@@ -15,8 +15,29 @@ def leet(text):
     )
 
 
-GAP = r"[\s.\-_,;:]+"
-RUN = re.compile(rf"(?<!\w)[a-zA-Z]{GAP}[a-zA-Z]{GAP}[a-zA-Z](?:{GAP}[a-zA-Z])*")
+def separators(text):
+    """Read single letters with something between them; three or more are joined."""
+    def between(c):
+        return c.isspace() or c in ".-_,;:"
+
+    out, i = [], 0
+    while i < len(text):
+        letters, end, at = [], i, i
+        inside = i > 0 and (text[i - 1].isalnum() or text[i - 1] == "_")
+        while not inside and at < len(text) and text[at].isascii() and text[at].isalpha():
+            letters.append(text[at])
+            end = at = at + 1
+            while at < len(text) and between(text[at]):
+                at += 1
+            if at == end:
+                break
+        if len(letters) >= 3:
+            out += letters
+            i = end
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
 
 
 def patterns(pairs):
@@ -59,7 +80,7 @@ STEPS = {
     "nfkd": lambda t: unicodedata.normalize("NFKD", t),
     "homoglyphs": lambda t: t.translate({ord(k): v for k, v in L.HOMOGLYPHS.items()}),
     "leet": leet,
-    "separators": lambda t: RUN.sub(lambda m: re.sub(GAP, "", m[0]), t),
+    "separators": separators,
     "repetition": lambda t: re.sub(r"(.)\1{2,}", r"\1\1", t),
     "slurs": patterns(L.SLUR_PATTERNS),
     "transpositions": patterns(L.TRANSPOSITION_PATTERNS),
