@@ -65,9 +65,10 @@ def risk_summary(df):
 
 
 def risk_rollup(df):
-    """Rows by day and risk, with subtotals (null) per day and over all."""
+    """Rows by day and risk, with subtotals per day and over all. ``level`` tells a
+    subtotal (1: of a day, 3: of all) from a row whose day or risk is null."""
     return df.rollup("log_date", "risk_level").agg(
-        F.count("*").alias("n"), F.avg("hybrid_score").alias("avg_hybrid")
+        F.grouping_id().alias("level"), F.count("*").alias("n"), F.avg("hybrid_score").alias("avg_hybrid")
     )
 
 

@@ -392,8 +392,8 @@ def statements():
         "risk_summary": f"""{audit()} SELECT log_date, risk_level, policy_violation, count(*) AS n,
             round(avg(ml_score), 6) AS avg_ml, round(avg(llm_confidence), 6) AS avg_llm,
             round(avg(hybrid_score), 6) AS avg_hybrid FROM a GROUP BY 1, 2, 3""",
-        "risk_rollup": f"""{audit()} SELECT log_date, risk_level, count(*) AS n, round(avg(hybrid_score), 6) AS avg_hybrid
-            FROM a GROUP BY ROLLUP (log_date, risk_level)""",
+        "risk_rollup": f"""{audit()} SELECT log_date, risk_level, grouping(log_date, risk_level) AS level,
+            count(*) AS n, round(avg(hybrid_score), 6) AS avg_hybrid FROM a GROUP BY ROLLUP (log_date, risk_level)""",
         "audit_written": f"{audit()} SELECT log_date, count(*) AS n, sum(length(original_text_masked))::BIGINT AS chars "
                          "FROM a GROUP BY 1",
         "stream_scored": f"""WITH {docs}, texts AS (SELECT DISTINCT * EXCLUDE (doc_id) FROM p)

@@ -64,10 +64,11 @@ def audit_rows(predictions, at=None, row_id=None):
     )
 
 
-def append_audit(predictions, path, batch_id=None, at=None, row_id=None):
-    """Append the computed predictions as one batch."""
+def append_audit(predictions, path, batch_id=None, at=None, row_id=None, files_per_day=1):
+    """Append the computed predictions as one batch, ``files_per_day`` files for each day."""
     batch = batch_id if batch_id is not None else f"run-{uuid.uuid4().hex}"
     rows = audit_rows(predictions, at, row_id)
+    rows = rows.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
     rows.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch_id={batch}")
 
 
