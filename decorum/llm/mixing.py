@@ -75,6 +75,11 @@ def targets(sizes, ceiling=3.0, weights=WEIGHTS):
                        F.when(F.col("_full"), F.col("_cap")).otherwise(share).alias("_target"))
 
 
+def draw(*parts):
+    """A seeded number below 2^60, from MD5 so that other engines draw alike. Nulls are skipped."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def times(block):
     """How often the mix takes a block of its shard: quota / blocks, evenly spaced."""
     passed = lambda n: F.floor(((n + F.col("_start")) * F.col("_quota")) / F.col("_blocks"))
@@ -101,7 +106,7 @@ def plan(docs, id_col="doc_id", text_col="text", source_col="source", size=None,
     count = F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")) if size is None else size
     slim = shelf.put("sizes", docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
-        F.coalesce(count, F.lit(0)).cast("long").alias("_size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_draw")))
+        F.coalesce(count, F.lit(0)).cast("long").alias("_size"), draw(F.lit(seed), F.col(id_col)).alias("_draw")))
     per_source = slim.groupBy("_source").agg(F.sum("_size").alias("_size"))
     aims = targets(per_source, ceiling, weights).withColumn("_all", F.lit(0)).withColumn(
         "_total", F.round(F.sum("_target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
@@ -110,7 +115,7 @@ def plan(docs, id_col="doc_id", text_col="text", source_col="source", size=None,
                                             F.ceil(F.greatest("_size", F.lit(1)) / shard_words).alias("_shards"), "_rank"))
     # One row per source; spread over the rows by whichever join fits its size.
     dealt = slim.join(aims, slim["_source"].eqNullSafe(aims["_source"])).select(
-        slim["*"], "_rank", F.pmod(F.xxhash64("_draw"), "_shards").alias("_shard"))
+        slim["*"], "_rank", F.pmod("_draw", "_shards").alias("_shard"))
     dealt = shelf.put("dealt", dealt)
     shards = dealt.groupBy("_rank", "_shard").agg(F.sum("_size").alias("_words")).join(
         aims.select("_rank", "_seats", "_source_size", "_target"), "_rank")
@@ -119,7 +124,7 @@ def plan(docs, id_col="doc_id", text_col="text", source_col="source", size=None,
     shards = shelf.put("shards", shards.withColumn("_blocks", blocks).select(
         "_rank", "_shard", "_words", "_blocks", "_source_size", "_target",
         F.least("_quota", (F.col("_blocks") * ceiling).cast("long")).alias("_quota"),
-        F.pmod(F.xxhash64(F.lit(seed), "_rank", "_shard"), "_blocks").alias("_start")))
+        F.pmod(draw(F.lit(seed), F.col("_rank"), F.col("_shard")), "_blocks").alias("_start")))
     line = Window.partitionBy("_rank", "_shard").orderBy("_draw", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("_at", F.coalesce(F.sum("_size").over(line), F.lit(0)))
     return placed.join(shards, ["_rank", "_shard"])

@@ -88,3 +88,53 @@ SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.pos IS NULL), '')) AS kept_sha256
 FROM line LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
 """
+
+STATEMENTS["op9_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(concat_ws(':', '17', doc_id)), 1, 15))::BIGINT AS draw FROM documents
+), per_source AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS rank FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5.0, 2.0, 1.0][(rank % 3 + 1)::INT]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap,
+         (SELECT sum(source_size) FROM per_source)::DOUBLE AS whole FROM per_source
+), capped AS (
+  -- A source is full if the level that fills all before it (by cap / weight) would fill it too.
+  SELECT a.*, a.cap * (SELECT sum(w) FROM weighed b WHERE (b.cap / b.w, b.rank) >= (a.cap / a.w, a.rank))
+         < a.w * (a.whole - coalesce((SELECT sum(cap) FROM weighed b WHERE (b.cap / b.w, b.rank) < (a.cap / a.w, a.rank)), 0)) AS is_full
+  FROM weighed a
+), aimed AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE w * (whole - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ())
+                / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER () END AS target FROM capped
+), won AS (
+  SELECT rank, count(*) AS seats FROM (
+    SELECT rank, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, rank, k) AS place
+    FROM (SELECT rank, target, unnest(range(1, (source_size * 3 // 32 + 3)::BIGINT)) AS k FROM aimed WHERE target > 0)
+  ) WHERE place <= (SELECT round(sum(target) / 32) FROM aimed) GROUP BY rank
+), dealt AS (
+  SELECT s.*, a.rank, a.source_size, a.target, coalesce(won.seats, 0) AS seats,
+         s.draw % ceil(greatest(a.source_size, 1) / 262144)::BIGINT AS shard
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source LEFT JOIN won USING (rank)
+), shard AS (
+  SELECT rank, shard, any_value(seats) AS seats, sum(size)::BIGINT AS words,
+         greatest(round(sum(size) / 32), 1)::BIGINT AS blocks FROM dealt GROUP BY rank, shard
+), shard_won AS (
+  SELECT rank, shard, count(*) AS quota FROM (
+    SELECT rank, shard, seats, row_number() OVER (PARTITION BY rank ORDER BY words / (2 * k - 1) DESC, shard, k) AS place
+    FROM (SELECT *, unnest(range(1, seats + 1)) AS k FROM shard WHERE words > 0)
+  ) WHERE place <= seats GROUP BY rank, shard
+), planned AS (
+  SELECT d.*, words, blocks, least(coalesce(quota, 0), blocks * 3) AS quota,
+         ('0x' || substr(md5(concat_ws(':', '17', rank, shard)), 1, 15))::BIGINT % blocks AS start,
+         coalesce(sum(size) OVER (PARTITION BY rank, shard ORDER BY draw, doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM dealt d JOIN shard USING (rank, shard) LEFT JOIN shard_won USING (rank, shard)
+), taken AS (
+  SELECT doc_id, draw, sum((least((b + 1) * words // blocks, place + size) - greatest(b * words // blocks, place))
+                     * ((b + 1 + start) * quota // blocks - (b + start) * quota // blocks))::BIGINT AS taken
+  FROM (SELECT *, unnest(range(((place + 1) * blocks - 1) // words, ((place + size) * blocks - 1) // words + 1)) AS b
+        FROM planned WHERE size > 0) GROUP BY doc_id, draw
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM planned LEFT JOIN taken USING (doc_id)
+"""
