@@ -32,14 +32,15 @@ def trim(summary, block, key, count, counters):
         block, key, F.col("_left").alias(count))
 
 
-def misra_gries(df, key, counters=COUNTERS, fan_in=64):
+def misra_gries(df, key, counters=COUNTERS, fan_in=64, parts=64):
     """Keys with a lower bound of their count, at most ``counters`` rows.
 
     Every key on more than a share 1/(counters+1) of the rows is among them. Each
-    scan partition is summed up first; summaries merge by adding counts and
-    trimming again, in two rounds.
+    scan partition is summed up first, in ``parts`` blocks by hash; summaries merge by
+    adding counts and trimming again, in two rounds.
     """
-    first = df.groupBy(F.spark_partition_id().alias("_block"), key).agg(F.count("*").alias("_count"))
+    block = F.spark_partition_id() * parts + F.pmod(F.xxhash64(key), F.lit(parts))
+    first = df.groupBy(block.alias("_block"), key).agg(F.count("*").alias("_count"))
     summary = trim(first, "_block", key, "_count", counters)
     for block in (F.pmod(F.col("_block"), F.lit(fan_in)), F.lit(0)):
         merged = summary.groupBy(block.alias("_block"), key).agg(F.sum("_count").alias("_count"))
