@@ -10,8 +10,8 @@ import math
 
 import numpy as np
 
-WIDTH = 48
-FRESH = 32
+WIDTH = 32
+FRESH = 24
 
 
 class Attention:
@@ -154,8 +154,13 @@ class Scorer:
         self.value = np.hstack([self.embed @ model.value, np.ones((c + 2, 1))]).astype(np.float32)
         gap, causal = distances(WIDTH)
         self.near = (np.exp(model.distance[gap] - model.distance.max()) * causal).astype(np.float32)[-FRESH:]
-        self.out, self.bias = np.ascontiguousarray(model.out.T), model.bias
+        # The bias is one more row, met by a one at the end of every state.
+        self.out = np.vstack([model.out.T, model.bias]).astype(np.float32)
         self.ones = np.ones(c, np.float32)
+        longest = lambda rows: float(np.linalg.norm(rows, axis=1).max())
+        reach = (longest(self.embed) + longest(self.value[:, :-1])) * longest(model.out) + float(np.abs(model.bias).max())
+        #: Could a logit be too large for exp?
+        self.steep = not reach < 80
 
     def log_probs(self, stream, counts, batch=32):
         """Natural log probability of each class in ``stream``, the classes of texts of
@@ -178,17 +183,19 @@ class Scorer:
             begin = starts[lo:lo + batch]
             x = padded[begin[:, None] + span]
             mine = x[:, lead:]
-            weight = self.table[(mine * (self.classes + 2))[:, :, None] + x[:, None, :]]
+            weight = np.take(self.table, (mine * (self.classes + 2))[:, :, None] + x[:, None, :])
             weight *= self.near
-            h = weight @ self.value[x]
-            h = h[..., :-1] / h[..., -1:]
-            h += self.embed[mine]
+            h = weight @ np.take(self.value, x, axis=0)
+            h /= h[..., -1:]
+            h[..., :-1] += np.take(self.embed, mine, axis=0)
             z = h.reshape(-1, h.shape[-1]) @ self.out
-            z += self.bias
             # The next token of each place; what lies beyond a text's end is not read.
             target = padded[begin[:, None] + span[lead:] + 1].ravel()
-            hit = z[np.arange(len(z)), np.minimum(target, self.classes - 1)]
-            np.minimum(z, 80, out=z)
+            hit = np.take(z.ravel(), np.minimum(target, self.classes - 1) + np.arange(len(z)) * self.classes)
+            if self.steep:
+                top = z.max(-1)
+                z -= top[:, None]
+                hit -= top
             np.exp(z, out=z)
-            out[(begin[:, None] + span[lead:] + 1).ravel()] = np.minimum(hit, 80) - np.log(z @ self.ones)
+            out[(begin[:, None] + span[lead:] + 1).ravel()] = hit - np.log(z @ self.ones)
         return out[places]

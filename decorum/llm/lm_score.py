@@ -9,13 +9,17 @@ from the counts of neighbouring classes and learns the classes of the passages:
 every task trains a copy on its own, the copies are averaged, and that is repeated.
 
 Scoring: one pass over all documents scores every subword id once, by class and
-share, and adds up the frequent words. The rare words of the documents meet
-their counts in a shuffle, since the vocabulary grows with the corpus.
+share. A small attention model cannot remember single words, so the probability of
+a word is MEMORY parts its frequency and the rest what the attention model gives
+its subwords. Frequent words are summed up at once; the rare words of the
+documents meet their counts in a shuffle, since the vocabulary grows with the corpus.
 """
 
+import base64
 import math
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,37 +28,59 @@ from pyspark.sql import functions as F
 from decorum.llm.attention import WIDTH, Attention, Scorer, train
 from decorum.llm.simhash import words
 from decorum.llm.store import Shelf, stretches
+from decorum.llm.token_counts import PIECES
 
 #: The end of a text counts as a word; no word is empty.
 END = b""
 PASSAGE = 24
-CLASSES = 256
+CLASSES = 128
 SIZE = 32
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 #: Ids that are put into classes by their company, and neighbours that are told apart for that.
-CLUSTERED = 8192
-COMPANY = 256
+CLUSTERED = 4096
+COMPANY = 128
+#: Weight of the words' own frequencies in the model's probability of a word.
+MEMORY = 0.3
 
 
 class Subwords:
-    """Subword ids of words, each after a blank, by a byte-level tokenizer file."""
+    """Subword ids of words, each after a blank, by a byte-level vocabulary file of ranks."""
 
     def __init__(self, path):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path() if callable(path) else path)
-        self.tokenizer.encode_special_tokens = True
-        self.size = self.tokenizer.get_vocab_size()
+        with open(path() if callable(path) else path, "rb") as file:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.coder = tiktoken.Encoding("words", pat_str=PIECES.pattern, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
+        self.opens = np.zeros(self.size, bool)
+        self.opens[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
     def encode(self, many):
-        """Ids of each word; the end of a text has the id after the vocabulary."""
-        got = self.tokenizer.encode_batch([" " + w.decode("utf-8", "replace") for w in many], add_special_tokens=False)
-        return [e.ids if w != END else [self.size] for w, e in zip(many, got)]
+        """(ids one after the other, number of ids) of words; the end of a text has the id
+        after the vocabulary. Words hold no blank, so the ids of many of them, joined
+        by blanks, fall apart where an id begins with one."""
+        flat, length = [], np.ones(len(many), np.int64)
+        real = [w for w in many if w != END]
+        counts = []
+        for lo in range(0, len(real), 2000):
+            part = real[lo:lo + 2000]
+            ids = np.array(self.coder.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in part)), np.int64)
+            begin = np.flatnonzero(self.opens[ids])
+            flat.append(ids)
+            counts.append(np.diff(begin, append=len(ids)))
+        ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+        whole = np.array([w != END for w in many], bool)
+        length[whole] = np.concatenate(counts) if counts else 0
+        out = np.full(int(length.sum()), self.size, np.int64)
+        out[np.repeat(whole, length)] = ids
+        return out, length
 
 
 def gather(docs, text_col, share):
-    """(word, n, passage): word counts by task, and every passage whose checksum
-    falls on one of ``share`` numbers. A passage is PASSAGE words of a text."""
+    """(word, n, passage): word counts by task, and one in ``share`` of the passages of
+    every text, beginning at a place that the text's checksum gives. A passage is
+    PASSAGE words of a text."""
     def work(batches):
         counts, ends, passages = Counter(), 0, []
 
@@ -74,13 +100,15 @@ def gather(docs, text_col, share):
         names = ["word", "n", "passage"]
         for batch in batches:
             for text in batch.column(0):
-                w = words(text.as_py())
+                text = text.as_py()
+                w = words(text)
                 counts.update(w)
                 ends += 1
                 # The start of a text begins with a line feed, its end has one behind.
-                for at in range(0, len(w) + 1, PASSAGE):
+                start = zlib.crc32(text.encode("utf-8", "surrogatepass")) % share * PASSAGE
+                for at in range(start, len(w) + 1, PASSAGE * share):
                     part = b" ".join(w[at:at + PASSAGE])
-                    if zlib.crc32(part) % share == 0:
+                    if part or not at:
                         passages.append((b"\n" if not at else b"") + part + (b"\n" if at + PASSAGE > len(w) else b""))
                 if len(counts) > 400_000 or len(passages) > 50_000:
                     yield from flush()
@@ -128,62 +156,68 @@ def class_table(counts, company, classes, rounds=12):
 
 def passages_to_windows(passages, subwords, classes, of):
     """Rows of WIDTH + 1 classes, padded with ``classes + 1``."""
-    known, rows = {}, []
-    cut = [(p.startswith(b"\n"), p.endswith(b"\n") and len(p) > 1, p.split()) for p in passages]
-    new = list({w for _, _, p in cut for w in p})
-    known.update(zip(new, subwords.encode(new)))
-    for begins, ends, part in cut:
-        ids = [i for w in part for i in known[w]] + ([subwords.size] if ends else [])
-        line = ([classes] if begins else []) + of[np.array(ids, dtype=np.int64)].tolist()
+    rows = []
+    for p in passages:
+        ids, _ = subwords.encode([*p.split(), *([END] if p.endswith(b"\n") and len(p) > 1 else [])])
+        line = ([classes] if p.startswith(b"\n") else []) + of[ids].tolist()
         for at in range(0, max(len(line) - 1, 0), WIDTH):
             row = line[at:at + WIDTH + 1]
             rows.append(row + [classes + 1] * (WIDTH + 1 - len(row)))
     return np.array(rows, dtype=np.int16).reshape(-1, WIDTH + 1)
 
 
-def count_by(table, path, keys, names):
-    """Sums of ``keys(ids, n)`` over the words of ``table`` (word, n): the function
-    maps lists of ids and their counts to columns of integers, the last of them counts."""
+def count_by(table, keys, names):
+    """Sums of ``keys`` over the words of ``table`` (n, ids). The function maps the ids of
+    words, the count of each id, and where each word begins and ends, to columns
+    of integers, the last of them counts."""
     kinds = ", ".join(f"{c} long" for c in names)
 
     def work(batches):
-        subwords = Subwords(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 20_000):
-                part = batch.slice(lo, 20_000)
-                columns = keys(subwords.encode(part.column(0).to_pylist()), part.column(1).to_numpy())
-                place = np.unique(np.stack(columns[:-1]), axis=1, return_inverse=True)
-                total = np.bincount(place[1].ravel(), weights=columns[-1], minlength=place[0].shape[1])
-                yield pa.RecordBatch.from_arrays([*map(pa.array, place[0]), pa.array(total.astype(np.int64))], names)
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy().astype(np.int64)
+                length = np.diff(batch.column(1).offsets.to_numpy())
+                first = np.cumsum(length) - length
+                columns = keys(flat, np.repeat(batch.column(0).to_numpy(), length), first, first + length - 1)
+                # The columns as digits of one number.
+                code = np.zeros(len(columns[0]), np.int64)
+                for column in columns[:-1]:
+                    code = code * (1 << 20) + column
+                code, place = np.unique(code, return_inverse=True)
+                total = np.bincount(place, weights=columns[-1], minlength=len(code)).astype(np.int64)
+                digits = [code >> (20 * i) & ((1 << 20) - 1) for i in range(len(columns) - 1)][::-1]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, digits), pa.array(total)], names)
 
     return table.mapInArrow(work, kinds).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
 
 
-def flatten(ids, n):
-    """Ids one after the other, the count of each, and where each word begins and ends."""
-    length = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([i for x in ids for i in x], np.int64)
-    first = np.cumsum(length) - length
-    return flat, np.repeat(n, length), first, first + length - 1
-
-
-def fit(docs, path, shelf, text_col="text", share=24, rounds=3, classes=CLASSES):
+def fit(docs, path, shelf, text_col="text", share=48, rounds=3, classes=CLASSES):
     """What scoring needs from the training documents: the written table of word
     counts, N, V, the class of each subword id, its share, and the attention model."""
     gathered = shelf.put("gathered", gather(docs, text_col, share))
     counts = shelf.put("counts", gathered.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+
+    def encode(batches):
+        subwords = Subwords(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 20_000):
+                part = batch.slice(lo, 20_000)
+                flat, length = subwords.encode(part.column(0).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(1), ids], ["n", "ids"])
+
+    coded = shelf.put("coded", counts.mapInArrow(encode, "n long, ids array<int>"))
     by_id = np.zeros(Subwords(path).size + 1)
     # One row per subword id at most: the tokenizer's vocabulary is the bound.
-    for row in count_by(counts, path, lambda ids, n: flatten(ids, n)[:2], ["id", "n"]).collect():
+    for row in count_by(coded, lambda flat, times, *_: (flat, times), ["id", "n"]).collect():
         by_id[row.id] = row.n
     order = np.argsort(-by_id, kind="stable")
     rank = np.full(len(by_id), CLUSTERED, np.int64)
     rank[order[:CLUSTERED]] = np.arange(min(CLUSTERED, len(order)))
 
-    def company(ids, n):
+    def company(flat, times, first, last):
         """(rank of an id, side, neighbour, n); neighbours past COMPANY are one, and so is the edge of a word."""
-        flat, times, first, last = flatten(ids, n)
         place, near = rank[flat], np.minimum(rank[flat], COMPANY)
         before, after = np.roll(near, 1), np.roll(near, -1)
         before[first], after[last] = COMPANY + 1, COMPANY + 1
@@ -191,24 +225,23 @@ def fit(docs, path, shelf, text_col="text", share=24, rounds=3, classes=CLASSES)
         return np.tile(place, 2), np.append(half, half + 1), np.append(before, after), np.tile(times, 2)
 
     # At most CLUSTERED * 2 * (COMPANY + 2) rows, far fewer in fact.
-    rows = count_by(counts, path, company, ["place", "side", "near", "n"]).filter(F.col("place") < CLUSTERED)
+    rows = count_by(coded, company, ["place", "side", "near", "n"]).filter(F.col("place") < CLUSTERED)
     met = np.array(rows.select("place", "side", "near", "n").collect(), np.int64).reshape(-1, 4)
     used = int(np.count_nonzero(by_id[order[:CLUSTERED]]))
     sides = [profiles(met[met[:, 1] == side][:, [0, 2, 3]], used, COMPANY + 2) for side in (0, 1)]
     of, part = class_table(by_id, np.hstack(sides), classes)
 
-    def neighbours(ids, n):
+    def neighbours(flat, times, first, last):
         """(class, next class, n) inside words; ``classes`` stands for the edge of a word."""
-        flat, times, first, last = flatten(ids, n)
         here = of[flat]
         after = np.roll(here, -1)
         after[last] = classes
         edge = np.full(len(first), classes, np.int64)
-        return np.append(here, edge), np.append(after, here[first]), np.append(times, n)
+        return np.append(here, edge), np.append(after, here[first]), np.append(times, times[first])
 
     inside = np.zeros((classes + 1, classes + 1))
     # At most (classes + 1) ** 2 rows.
-    for row in count_by(counts, path, neighbours, ["a", "b", "n"]).collect():
+    for row in count_by(coded, neighbours, ["a", "b", "n"]).collect():
         inside[row.a, row.b] = row.n
     # Words follow each other as if by chance; what more there is the passages teach.
     end = of[by_id.shape[0] - 1]
@@ -253,7 +286,7 @@ def fit_attention(passages, path, of, pairs, shelf, rounds, classes, group=8192,
                     [pa.array(np.arange(len(new))), pa.array(new.astype(np.float64) * len(rows)), pa.array(np.full(len(new), len(rows)))],
                     ["at", "x", "n"])
 
-        mine = windows.filter(F.col("_turn") == turn).select("window").repartition(tasks, F.xxhash64("window"))
+        mine = windows.filter(F.col("_turn") == turn).select("window").repartition(tasks)
         mean = mine.mapInArrow(learn, "at long, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
         # One row per parameter, however many tasks there were.
         got = [row.x for row in mean.orderBy("at").collect()]
@@ -264,7 +297,7 @@ def fit_attention(passages, path, of, pairs, shelf, rounds, classes, group=8192,
 
 class Lexicon(dict):
     """Numbers of words, with what is known of each: subword classes, log10 of the
-    shares, and the log10 of a frequent word's smoothed count (else not a number)."""
+    shares, and a frequent word's count (else not a number)."""
 
     def __init__(self, subwords, of, part, frequent):
         super().__init__()
@@ -282,11 +315,9 @@ class Lexicon(dict):
         """Look up the words met since the last call."""
         if not self.fresh:
             return
-        ids = self.subwords.encode(self.fresh)
-        length = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.int64)
+        flat, length = self.subwords.encode(self.fresh)
         begins = np.cumsum(length) - length
-        base = np.array([math.log10(self.frequent[w] + 0.5) if w in self.frequent else np.nan for w in self.fresh])
+        base = np.array([self.frequent.get(w, np.nan) for w in self.fresh], float)
         self.classes = np.concatenate([self.classes, self.of[flat].astype(np.int16)])
         self.length = np.concatenate([self.length, length])
         self.share = np.concatenate([self.share, np.add.reduceat(self.part[flat], begins)])
@@ -301,7 +332,7 @@ def spread_runs(begins, lengths):
     return np.arange(total[-1]) + np.repeat(begins - (total - lengths), lengths)
 
 
-def score(docs, path, learn, id_col="doc_id", text_col="text", share=24, rounds=3, frequent=FREQUENT, folder=None):
+def score(docs, path, learn, id_col="doc_id", text_col="text", share=48, rounds=3, frequent=FREQUENT, folder=None):
     """One row per input row: _id, _n_tokens, _n_known, _train_tokens, _base (log10
     probability by smoothed word counts) and _score (log10 probability by the model).
 
@@ -322,45 +353,47 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=24, rounds=
         subwords, scorer = Subwords(path), Scorer(Attention(classes, SIZE, flat))
         lexicon = Lexicon(subwords, of, part, frequent)
         for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(1), 1 << 20)):
-            if len(lexicon.words) > 600_000:
+            if len(lexicon.words) > 300_000:
                 lexicon = Lexicon(subwords, of, part, frequent)
             lines = [words(t) for t in batch.column(1)[at:end].to_pylist()]
             for w in lines:
                 w.append(END)
             n = np.array([len(w) for w in lines], np.int64)
-            number = np.fromiter((i for w in lines for i in map(lexicon.__getitem__, w)), np.int64, n.sum())
+            number = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(lines)), np.int64, n.sum())
             lexicon.learn()
             begin = np.cumsum(n) - n
             length = lexicon.length[number]
             stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]
             ids = np.add.reduceat(length, begin)
-            by_model = np.add.reduceat(scorer.log_probs(stream, ids).astype(float), np.cumsum(ids) - ids) / math.log(10)
-            by_model += np.add.reduceat(lexicon.share[number], begin)
-            base = lexicon.base[number]
-            rare = np.isnan(base)
-            # Rare words of each text with their counts, in order of text.
-            key, times = np.unique(np.repeat(np.arange(len(n)), n)[rare] * len(lexicon.words) + number[rare], return_counts=True)
-            text_of = key // max(len(lexicon.words), 1)
-            names = pa.array([lexicon.words[i] for i in (key % max(len(lexicon.words), 1)).tolist()], pa.binary())
-            cuts = pa.array(np.searchsorted(text_of, np.arange(len(n) + 1)), pa.int32())
-            tail = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], ["word", "n"]))
+            by_model = np.add.reduceat(scorer.log_probs(stream, ids).astype(float), np.cumsum(length) - length) / math.log(10)
+            by_model = np.maximum(by_model + lexicon.share[number], -300)
+            count = lexicon.base[number]
+            rare = np.isnan(count)
+            seen = np.where(rare, 0.0, count)
+            logs = np.where(rare, 0.0, np.log10(seen + 0.5))
+            mixed = np.where(rare, 0.0, np.log10(MEMORY * seen / max(total, 1) + (1 - MEMORY) * 10.0 ** by_model))
+            # Each rare word with what the attention model gives it, in order of text.
+            names = pa.array([lexicon.words[i] for i in number[rare].tolist()], pa.binary())
+            cuts = pa.array(np.append(0, np.cumsum(np.add.reduceat(rare, begin))), pa.int32())
+            tail = pa.ListArray.from_arrays(cuts, pa.StructArray.from_arrays([names, pa.array(by_model[rare].astype(np.float32))], ["word", "p"]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).slice(at, len(n)), pa.array(n), pa.array(np.add.reduceat(~rare, begin).astype(np.int64)),
-                 pa.array(np.add.reduceat(np.where(rare, 0, base), begin)), pa.array(by_model), tail],
-                ["_id", "_n_tokens", "_known", "_logs", "_score", "_tail"])
+                 pa.array(np.add.reduceat(logs, begin)), pa.array(np.add.reduceat(mixed, begin)), tail],
+                ["_id", "_n_tokens", "_known", "_logs", "_mixed", "_tail"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     schema = (f"_id {rows.schema['_id'].dataType.simpleString()}, _n_tokens long, _known long, _logs double, "
-              "_score double, _tail array<struct<word: binary, n: long>>")
+              "_mixed double, _tail array<struct<word: binary, p: float>>")
     passed = shelf.put("passed", rows.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()))
-    tail = passed.select("_row", F.inline("_tail")).withColumnRenamed("n", "_times")
-    met = tail.join(counts, "word", "left")
+    met = passed.select("_row", F.inline("_tail")).join(counts, "word", "left")
     seen = F.coalesce(F.col("n"), F.lit(0))
-    tails = met.groupBy("_row").agg(F.sum(F.when(seen > 0, F.col("_times")).otherwise(0)).alias("_tail_known"),
-                                    F.sum(F.col("_times") * F.log10(seen + 0.5)).alias("_tail_logs"))
+    mixed = MEMORY * seen / max(total, 1) + (1 - MEMORY) * F.pow(F.lit(10.0), F.col("p"))
+    tails = met.groupBy("_row").agg(F.count_if(seen > 0).alias("_tail_known"), F.sum(F.log10(seen + 0.5)).alias("_tail_logs"),
+                                    F.sum(F.log10(mixed)).alias("_tail_mixed"))
     tails = shelf.put("tails", tails)
     norm = math.log10(total + 0.5 * (distinct + 1))
     return passed.drop("_tail").join(tails, "_row", "left").select(
         "_id", "_n_tokens", (F.col("_known") + F.coalesce("_tail_known", F.lit(0))).alias("_n_known"),
         F.lit(total).cast("long").alias("_train_tokens"),
-        (F.col("_logs") + F.coalesce("_tail_logs", F.lit(0.0)) - F.col("_n_tokens") * norm).alias("_base"), "_score")
+        (F.col("_logs") + F.coalesce("_tail_logs", F.lit(0.0)) - F.col("_n_tokens") * norm).alias("_base"),
+        (F.col("_mixed") + F.coalesce("_tail_mixed", F.lit(0.0))).alias("_score"))

@@ -43,6 +43,13 @@ def vocabulary():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ranks():
+    """Place of the same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op4_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary)
     return counted.select(
@@ -75,7 +82,7 @@ def op6_simhash(spark, sf_dir):
 
 def op7_lm_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    scored = lm_score.score(docs, vocabulary, learn=fold_of(F.col("doc_id"), 5) != 1)
+    scored = lm_score.score(docs, ranks, learn=fold_of(F.col("doc_id"), 5) != 1)
     return scored.select(
         F.col("_id").alias("doc_id"), (fold_of(F.col("_id"), 5) == 1).alias("held_out"),
         F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"),

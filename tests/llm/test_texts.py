@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decorum.llm import attention, chat_format, decontaminate, html_extract, lm_score, mixing, quality_crf, token_counts
-from decorum.llm.queries import vocabulary
+from decorum.llm.queries import ranks, vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -220,11 +220,21 @@ def test_classes_and_shares_make_one_distribution():
     assert np.allclose(np.bincount(of, weights=10.0 ** part, minlength=32)[np.unique(of)], 1)
 
 
+def test_joined_words_have_the_ids_of_single_ones():
+    coder = lm_score.Subwords(ranks)
+    rng = random.Random(5)
+    many = [b"", "　x".encode(), "\x85".encode(), "\xa0\xa0y".encode(), "日本".encode(), b"<|endoftext|>", b"'s", b"a'll"]
+    many += ["".join(rng.choice(["th", "er", "É", "9", "!", "\u2003", "🎉", "'"]) for _ in range(rng.randrange(1, 6))).encode() for _ in range(300)]
+    ids, length = coder.encode(many)
+    single = [coder.coder.encode_ordinary(" " + w.decode()) if w else [coder.size] for w in many]
+    assert length.tolist() == [len(x) for x in single] and ids.tolist() == [i for x in single for i in x]
+
+
 def test_language_model_scores(docs_of, odd):
     rng = random.Random(8)
     rows = odd + [(100 + i, " ".join(rng.choice(["the cat", "Sat on", "a mat,", f"x{rng.randrange(90)}"]) for _ in range(rng.randrange(1, 60)))) for i in range(150)]
     held = lambda d: d is None or d % 5 == 1
-    got = lm_score.score(docs_of(rows), vocabulary, learn=F.col("doc_id") % 5 != 1, share=1, rounds=1, frequent=5).collect()
+    got = lm_score.score(docs_of(rows), ranks, learn=F.col("doc_id") % 5 != 1, share=1, rounds=1, frequent=5).collect()
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [""] for _, t in rows]
     c = collections.Counter(w for (d, _), ws in zip(rows, tokens) if not held(d) for w in ws)
     n, norm = sum(c.values()), math.log10(sum(c.values()) + 0.5 * (len(c) + 1))
@@ -233,8 +243,8 @@ def test_language_model_scores(docs_of, odd):
     assert all(r["_train_tokens"] == n and r["_score"] < 0 for r in got)
     by_id = {r["_id"]: r["_score"] for r in got if r["_id"] is not None and r["_id"] not in (8,)}
     assert by_id[1] == pytest.approx(by_id[2], rel=1e-5) == pytest.approx(by_id[3], rel=1e-5)
-    assert lm_score.score(docs_of([]), vocabulary, learn=F.lit(True)).count() == 0
-    unseen = lm_score.score(docs_of([(1, "a b")]), vocabulary, learn=F.lit(False)).collect()
+    assert lm_score.score(docs_of([]), ranks, learn=F.lit(True)).count() == 0
+    unseen = lm_score.score(docs_of([(1, "a b")]), ranks, learn=F.lit(False)).collect()
     assert unseen[0]["_n_known"] == 0 and unseen[0]["_train_tokens"] == 0 and unseen[0]["_score"] < 0
 
 
