@@ -224,9 +224,10 @@ def fit(docs, path, shelf, text_col="text", share=48, rounds=3, classes=CLASSES)
         half = np.zeros(len(flat), np.int64)
         return np.tile(place, 2), np.append(half, half + 1), np.append(before, after), np.tile(times, 2)
 
-    # At most CLUSTERED * 2 * (COMPANY + 2) rows, far fewer in fact.
+    # At most CLUSTERED * 2 * (COMPANY + 2) rows, far fewer in fact; as columns, since rows of objects take much more room.
     rows = count_by(coded, company, ["place", "side", "near", "n"]).filter(F.col("place") < CLUSTERED)
-    met = np.array(rows.select("place", "side", "near", "n").collect(), np.int64).reshape(-1, 4)
+    rows = rows.select("place", "side", "near", "n").toArrow()
+    met = np.stack([c.to_numpy() for c in rows.columns], axis=1)
     used = int(np.count_nonzero(by_id[order[:CLUSTERED]]))
     sides = [profiles(met[met[:, 1] == side][:, [0, 2, 3]], used, COMPANY + 2) for side in (0, 1)]
     of, part = class_table(by_id, np.hstack(sides), classes)
@@ -345,7 +346,8 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=48, rounds=
     shelf = Shelf(spark, "lm-score", folder)
     counts, total, distinct, of, part, model = fit(docs.filter(learn), path, shelf, text_col, share, rounds)
     # At most ``frequent`` rows leave the executors and are broadcast.
-    top = {bytes(r.word): r.n for r in counts.orderBy(F.col("n").desc(), "word").limit(frequent).collect()}
+    often = counts.orderBy(F.col("n").desc(), "word").limit(frequent).toArrow()
+    top = dict(zip(often["word"].to_pylist(), often["n"].to_pylist()))
     shared = spark.sparkContext.broadcast((top, of, part, model.classes, model.flat))
 
     def work(batches):
