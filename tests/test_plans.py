@@ -258,10 +258,17 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
     assert {r.window_start.hour: r.misses for r in seen.collect()}[0] == 3
 
 
-def test_shared_folder_needs_a_setting(spark, tmp_path):
+class Unset:
+    """A session without the setting for shared folders."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda name, default=None: default)
+
+
+def test_shared_folder_needs_a_setting(tmp_path):
     with pytest.raises(ValueError):
-        shared_folder(spark, "x")
-    first, second = (shared_folder(spark, "x", str(tmp_path)) for _ in range(2))
+        shared_folder(Unset, "x")
+    first, second = (shared_folder(Unset, "x", str(tmp_path)) for _ in range(2))
     assert first != second and first.startswith(str(tmp_path))
 
 
