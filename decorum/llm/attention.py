@@ -68,48 +68,60 @@ def distances(width):
 
 
 def step(model, inputs, targets):
-    """Mean loss of a batch and its gradient; targets below zero do not count."""
+    """Mean loss of a batch and its gradient; targets below zero do not count.
+
+    Places know each other by class and distance only, so queries, keys and values
+    are worked out once per class, and so are their gradients.
+    """
     c, d = model.classes, model.size
-    seen = inputs <= c
-    x = np.where(seen, inputs, 0)
-    e = model.embed[x] * seen[..., None]
+    e = np.vstack([model.embed, np.zeros((1, d), np.float32)])
     q, k, v = e @ model.query, e @ model.key, e @ model.value
     gap, causal = distances(inputs.shape[1])
-    score = q @ k.transpose(0, 2, 1) / math.sqrt(d) + model.distance[gap]
-    allowed = causal[None] & (seen[:, None, :] | np.eye(inputs.shape[1], dtype=bool)[None])
-    score = np.where(allowed, score, np.float32(-1e9))
-    a = np.exp(score - score.max(-1, keepdims=True))
+    score = q @ k.T / np.float32(math.sqrt(d))
+    score[:c + 1, c + 1] = -1e9
+    pairs = inputs[:, :, None] * (c + 2) + inputs[:, None, :]
+    a = np.take(score.ravel(), pairs)
+    a += np.where(causal, model.distance[gap], np.float32(-1e9))
+    a -= a.max(-1, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(-1, keepdims=True)
-    h = e + a @ v
-    z = h @ model.out.T + model.bias
-    z -= z.max(-1, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(-1, keepdims=True)
+    values = np.take(v, inputs, axis=0)
+    h = a @ values
+    h += np.take(e, inputs, axis=0)
+    flat_h = h.reshape(-1, d)
+    p = flat_h @ model.out.T
+    p += model.bias
+    p -= p.max(-1, keepdims=True)
+    np.exp(p, out=p)
+    total = p @ np.ones(c, np.float32)
+    targets = targets.ravel()
     counted = targets >= 0
     n = max(int(counted.sum()), 1)
-    y = np.where(counted, targets, 0)
-    loss = -(np.log(np.take_along_axis(p, y[..., None], -1)[..., 0] + 1e-30) * counted).sum() / n
+    hit = np.arange(len(p)) * c + np.maximum(targets, 0)
+    loss = -(np.log(np.take(p.ravel(), hit) / total + 1e-30) * counted).sum() / n
     g = Attention(c, d)
-    np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], -1) - 1, -1)
-    dz = (p * (counted[..., None] / n).astype(np.float32)).reshape(-1, c)
-    flat_h = h.reshape(-1, d)
-    g.out[:] = dz.T @ flat_h
-    g.bias[:] = dz.sum(0)
-    dh = (dz @ model.out).reshape(h.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
+    weight = (counted / n).astype(np.float32)
+    p *= (weight / total)[:, None]
+    p.ravel()[hit] -= weight
+    g.out[:] = p.T @ flat_h
+    g.bias[:] = p.sum(0)
+    dh = (p @ model.out).reshape(h.shape)
+    ds = dh @ values.transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, a)[..., None]
+    ds *= a
     g.distance[:] = np.bincount(gap.ravel(), weights=(ds.sum(0) * causal).ravel(), minlength=WIDTH)
-    dq, dk = ds @ k / math.sqrt(d), ds.transpose(0, 2, 1) @ q / math.sqrt(d)
-    flat_e = e.reshape(-1, d)
-    for name, part in (("query", dq), ("key", dk), ("value", dv)):
-        getattr(g, name)[:] = flat_e.T @ part.reshape(-1, d)
-    de = dh + dq @ model.query.T + dk @ model.key.T + dv @ model.value.T
-    de = (de * seen[..., None]).reshape(-1, d)
-    hot = x.ravel()
+    # Sums by class of what each place hands back as a state and as a value.
+    both = np.concatenate([dh, a.transpose(0, 2, 1) @ dh], axis=-1).reshape(-1, 2 * d)
+    hot = inputs.ravel()
     order = np.argsort(hot, kind="stable")
     firsts = np.flatnonzero(np.diff(hot[order], prepend=-1))
-    g.embed[hot[order][firsts]] = np.add.reduceat(de[order], firsts, axis=0)
+    back = np.zeros((c + 2, 2 * d), np.float32)
+    back[hot[order][firsts]] = np.add.reduceat(both[order], firsts, axis=0)
+    ds = np.bincount(pairs.ravel(), weights=ds.ravel(), minlength=(c + 2) ** 2).reshape(c + 2, c + 2).astype(np.float32) / np.float32(math.sqrt(d))
+    dq, dk, dv = ds @ k, ds.T @ q, back[:, d:]
+    for name, part in (("query", dq), ("key", dk), ("value", dv)):
+        getattr(g, name)[:] = e.T @ part
+    g.embed[:] = (back[:, :d] + dq @ model.query.T + dk @ model.key.T + dv @ model.value.T)[:c + 1]
     return loss, g.flat
 
 

@@ -1,12 +1,13 @@
 """Language-model scores of documents: word frequencies and causal attention.
 
-Training: one pass over the training documents gathers the count of every word
-and a fixed share of their passages. The subword ids and their neighbours inside
-words are counted from the words' counts; frequent ids get a class of their own,
-the others share classes by the company they keep, and in a class an id has its
-share of all counts. An attention model (:mod:`decorum.llm.attention`) starts
-from the counts of neighbouring classes and learns the classes of the passages:
-every task trains a copy on its own, the copies are averaged, and that is repeated.
+Training: one pass over the training documents gathers the count of every word.
+The subword ids and their neighbours inside words are counted from the words'
+counts; frequent ids get a class of their own, the others share classes by the
+company they keep, and in a class an id has its share of all counts. A second pass
+cuts every training text, from its start to its end, into windows of classes. An
+attention model (:mod:`decorum.llm.attention`) starts from the counts of
+neighbouring classes and learns all windows, each in one of the rounds: every task
+trains a copy on its own, the copies are averaged, and that is repeated.
 
 Scoring: one pass over all documents scores every subword id once, by class and
 share. A small attention model cannot remember single words, so the probability of
@@ -17,7 +18,6 @@ documents meet their counts in a shuffle, since the vocabulary grows with the co
 
 import base64
 import math
-import zlib
 from collections import Counter
 from itertools import chain
 
@@ -32,7 +32,6 @@ from decorum.llm.token_counts import PIECES
 
 #: The end of a text counts as a word; no word is empty.
 END = b""
-PASSAGE = 24
 CLASSES = 128
 SIZE = 32
 FREQUENT = 1 << 18
@@ -77,44 +76,27 @@ class Subwords:
         return out, length
 
 
-def gather(docs, text_col, share):
-    """(word, n, passage): word counts by task, and one in ``share`` of the passages of
-    every text, beginning at a place that the text's checksum gives. A passage is
-    PASSAGE words of a text."""
+def gather(docs, text_col):
+    """(word, n): word counts by task."""
     def work(batches):
-        counts, ends, passages = Counter(), 0, []
+        counts, ends = Counter(), 0
 
         def flush():
-            nonlocal counts, ends, passages
-            n = len(counts)
+            nonlocal counts, ends
             if ends:
                 counts[END] = ends
-                n += 1
-            some = pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*some, pa.nulls(n, pa.binary())], names)
-            m = len(passages)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.array(passages, pa.binary())], names)
-            counts, ends, passages = Counter(), 0, []
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
+            counts, ends = Counter(), 0
 
-        names = ["word", "n", "passage"]
         for batch in batches:
             for text in batch.column(0):
-                text = text.as_py()
-                w = words(text)
-                counts.update(w)
+                counts.update(words(text.as_py()))
                 ends += 1
-                # The start of a text begins with a line feed, its end has one behind.
-                start = zlib.crc32(text.encode("utf-8", "surrogatepass")) % share * PASSAGE
-                for at in range(start, len(w) + 1, PASSAGE * share):
-                    part = b" ".join(w[at:at + PASSAGE])
-                    if part or not at:
-                        passages.append((b"\n" if not at else b"") + part + (b"\n" if at + PASSAGE > len(w) else b""))
-                if len(counts) > 400_000 or len(passages) > 50_000:
+                if len(counts) > 400_000:
                     yield from flush()
         yield from flush()
 
-    return docs.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInArrow(work, "word binary, n long, passage binary")
+    return docs.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInArrow(work, "word binary, n long")
 
 
 def profiles(pairs, rows, columns):
@@ -154,16 +136,42 @@ def class_table(counts, company, classes, rounds=12):
     return of, np.log10(smooth / total[of])
 
 
-def passages_to_windows(passages, subwords, classes, of):
-    """Rows of WIDTH + 1 classes, padded with ``classes + 1``."""
-    rows = []
-    for p in passages:
-        ids, _ = subwords.encode([*p.split(), *([END] if p.endswith(b"\n") and len(p) > 1 else [])])
-        line = ([classes] if p.startswith(b"\n") else []) + of[ids].tolist()
-        for at in range(0, max(len(line) - 1, 0), WIDTH):
-            row = line[at:at + WIDTH + 1]
-            rows.append(row + [classes + 1] * (WIDTH + 1 - len(row)))
-    return np.array(rows, dtype=np.int16).reshape(-1, WIDTH + 1)
+def windows_of(stream, counts, classes):
+    """Rows of WIDTH + 1 classes, padded with ``classes + 1``: the start mark and all of
+    ``stream``, the classes of texts of ``counts`` tokens one after the other. Each token
+    is the target of one place, and a row begins with the last class of the row before."""
+    rows = -(-counts // WIDTH)
+    room = rows * WIDTH + 1
+    at = np.cumsum(room) - room
+    padded = np.full(int(room.sum()), classes + 1, dtype=np.int16)
+    padded[at] = classes
+    padded[np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(len(stream)) + 1] = stream
+    starts = np.repeat(at, rows) + WIDTH * (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows))
+    return padded[starts[:, None] + np.arange(WIDTH + 1)]
+
+
+def cut_windows(docs, path, shared, text_col, classes, share, rounds, some=256):
+    """(window, n, turn): bytes of ``some`` windows of the texts at most, their number and
+    their round. Windows are dealt to rounds in a mixed order. ``share`` above 1 keeps
+    one window in ``share`` only."""
+    def work(batches):
+        of = shared.value
+        subwords = Subwords(path)
+        lexicon = Lexicon(subwords, of, np.zeros(len(of)), {})
+        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(0), 1 << 20)):
+            if len(lexicon.words) > 300_000:
+                lexicon = Lexicon(subwords, of, np.zeros(len(of)), {})
+            n, number = lexicon.number(batch.column(0)[at:end].to_pylist())
+            length = lexicon.length[number]
+            stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]
+            rows = windows_of(stream, np.add.reduceat(length, np.cumsum(n) - n), classes)
+            rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))[::share]]
+            parts = [(turn, rows[turn::rounds][lo:lo + some]) for turn in range(rounds) for lo in range(0, len(rows[turn::rounds]), some)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r.tobytes() for _, r in parts], pa.binary()), pa.array([len(r) for _, r in parts], pa.int64()),
+                 pa.array([turn for turn, _ in parts], pa.int64())], ["window", "n", "turn"])
+
+    return docs.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInArrow(work, "window binary, n long, turn long")
 
 
 def count_by(table, keys, names):
@@ -191,11 +199,10 @@ def count_by(table, keys, names):
     return table.mapInArrow(work, kinds).groupBy(*names[:-1]).agg(F.sum(names[-1]).alias(names[-1]))
 
 
-def fit(docs, path, shelf, text_col="text", share=48, rounds=3, classes=CLASSES):
+def fit(docs, path, shelf, text_col="text", share=1, rounds=3, classes=CLASSES):
     """What scoring needs from the training documents: the written table of word
     counts, N, V, the class of each subword id, its share, and the attention model."""
-    gathered = shelf.put("gathered", gather(docs, text_col, share))
-    counts = shelf.put("counts", gathered.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = shelf.put("counts", gather(docs, text_col).groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
 
     def encode(batches):
@@ -244,7 +251,7 @@ def fit(docs, path, shelf, text_col="text", share=48, rounds=3, classes=CLASSES)
     # At most (classes + 1) ** 2 rows.
     for row in count_by(coded, neighbours, ["a", "b", "n"]).collect():
         inside[row.a, row.b] = row.n
-    # Words follow each other as if by chance; what more there is the passages teach.
+    # Words follow each other as if by chance; what more there is the windows teach.
     end = of[by_id.shape[0] - 1]
     first = inside[classes, :classes] / max(inside[classes].sum(), 1)
     final = inside[:classes, classes].copy()
@@ -252,28 +259,19 @@ def fit(docs, path, shelf, text_col="text", share=48, rounds=3, classes=CLASSES)
     pairs = np.zeros((classes + 1, classes))
     pairs[:classes] = inside[:classes, :classes] + np.outer(np.where(np.arange(classes) == end, 0, final), first)
     pairs[classes] = first * texts
-    passages = gathered.filter("passage IS NOT NULL").select("passage")
-    return counts, total or 0, distinct, of, part, fit_attention(passages, path, of, pairs, shelf, rounds, classes)
+    shared = docs.sparkSession.sparkContext.broadcast(of)
+    windows = shelf.put("windows", cut_windows(docs, path, shared, text_col, classes, share, rounds))
+    return counts, total or 0, distinct, of, part, fit_attention(windows, pairs, rounds, classes)
 
 
-def fit_attention(passages, path, of, pairs, shelf, rounds, classes, group=8192, least=128):
-    """Average of the tasks' models after ``rounds`` rounds over a part of the passages each.
+def fit_attention(windows, pairs, rounds, classes, group=16384, least=128):
+    """Average of the tasks' models after ``rounds`` rounds over a part of the windows each.
 
     A task trains on about ``group`` windows, and again on the same ones until it has made
     ``least`` steps.
     """
-    spark = passages.sparkSession
-    shared = spark.sparkContext.broadcast(of)
-
-    def cut(batches):
-        subwords = Subwords(path)
-        for batch in batches:
-            rows = passages_to_windows(batch.column(0).to_pylist(), subwords, classes, shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["window"])
-
-    windows = shelf.put("windows", passages.mapInArrow(cut, "window binary")
-                        .withColumn("_turn", F.pmod(F.xxhash64("window"), F.lit(rounds))))
-    tasks = max(1, -(-windows.count() // group))
+    spark = windows.sparkSession
+    tasks = max(1, -(-(windows.agg(F.sum("n")).first()[0] or 0) // (group * rounds)))
     model = Attention(classes, SIZE).start(pairs)
     for turn in range(rounds):
         flat = spark.sparkContext.broadcast(model.flat)
@@ -282,12 +280,13 @@ def fit_attention(passages, path, of, pairs, shelf, rounds, classes, group=8192,
             raw = b"".join(x for b in batches for x in b.column(0).to_pylist())
             rows = np.frombuffer(raw, dtype=np.int16).reshape(-1, WIDTH + 1)
             if len(rows):
+                rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
                 new = train(Attention(classes, SIZE, flat.value), rows.astype(np.int64), least)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(len(new))), pa.array(new.astype(np.float64) * len(rows)), pa.array(np.full(len(new), len(rows)))],
                     ["at", "x", "n"])
 
-        mine = windows.filter(F.col("_turn") == turn).select("window").repartition(tasks)
+        mine = windows.filter(F.col("turn") == turn).select("window").repartition(tasks)
         mean = mine.mapInArrow(learn, "at long, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x"))
         # One row per parameter, however many tasks there were.
         got = [row.x for row in mean.orderBy("at").collect()]
@@ -312,6 +311,16 @@ class Lexicon(dict):
         self.fresh.append(word)
         return number
 
+    def number(self, texts):
+        """(words of each text, the number of every word), with the end of a text as its last word."""
+        lines = [words(t) for t in texts]
+        for w in lines:
+            w.append(END)
+        n = np.array([len(w) for w in lines], np.int64)
+        number = np.fromiter(map(self.__getitem__, chain.from_iterable(lines)), np.int64, n.sum())
+        self.learn()
+        return n, number
+
     def learn(self):
         """Look up the words met since the last call."""
         if not self.fresh:
@@ -333,7 +342,7 @@ def spread_runs(begins, lengths):
     return np.arange(total[-1]) + np.repeat(begins - (total - lengths), lengths)
 
 
-def score(docs, path, learn, id_col="doc_id", text_col="text", share=48, rounds=3, frequent=FREQUENT, folder=None):
+def score(docs, path, learn, id_col="doc_id", text_col="text", share=1, rounds=3, frequent=FREQUENT, folder=None):
     """One row per input row: _id, _n_tokens, _n_known, _train_tokens, _base (log10
     probability by smoothed word counts) and _score (log10 probability by the model).
 
@@ -357,12 +366,7 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=48, rounds=
         for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(1), 1 << 20)):
             if len(lexicon.words) > 300_000:
                 lexicon = Lexicon(subwords, of, part, frequent)
-            lines = [words(t) for t in batch.column(1)[at:end].to_pylist()]
-            for w in lines:
-                w.append(END)
-            n = np.array([len(w) for w in lines], np.int64)
-            number = np.fromiter(map(lexicon.__getitem__, chain.from_iterable(lines)), np.int64, n.sum())
-            lexicon.learn()
+            n, number = lexicon.number(batch.column(1)[at:end].to_pylist())
             begin = np.cumsum(n) - n
             length = lexicon.length[number]
             stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]

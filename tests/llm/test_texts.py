@@ -248,6 +248,17 @@ def test_language_model_scores(docs_of, odd):
     assert unseen[0]["_n_known"] == 0 and unseen[0]["_train_tokens"] == 0 and unseen[0]["_score"] < 0
 
 
+def test_every_token_of_a_training_text_is_trained_on(docs_of, spark, tmp_path):
+    rows = [(i, " ".join(["short", "text", "unusualword"] * k)) for i, k in enumerate([0, 1, 2, 7, 7, 40, 300])]
+    lm_score.score(docs_of(rows), ranks, learn=F.lit(True), rounds=1, folder=str(tmp_path)).count()
+    (folder,) = tmp_path.glob("*/windows-*")
+    raw = b"".join(r["window"] for r in spark.read.parquet(str(folder)).collect())
+    windows = np.frombuffer(raw, dtype=np.int16).reshape(-1, attention.WIDTH + 1)
+    coder = lm_score.Subwords(ranks)
+    ids = sum(coder.encode([w.encode() for w in text.split()] + [b""])[1].sum() for _, text in rows)
+    assert (windows[:, 1:] < lm_score.CLASSES).sum() == ids and (windows[:, 0] == lm_score.CLASSES).sum() == len(rows)
+
+
 # Mixing
 
 def water_level(sizes, weights, ceiling):
