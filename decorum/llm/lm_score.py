@@ -336,6 +336,13 @@ class Lexicon(dict):
         self.fresh = []
 
 
+def mix(seen, total, p):
+    """log10 of MEMORY parts the frequency of words met ``seen`` times and the rest 10 ** ``p``, however small that is."""
+    with np.errstate(divide="ignore"):
+        memory = np.log(MEMORY * np.asarray(seen, float) / max(total, 1))
+    return np.logaddexp(memory, p * math.log(10) + math.log(1 - MEMORY)) / math.log(10)
+
+
 def spread_runs(begins, lengths):
     """Positions begins[i], begins[i] + 1, ... of each run, one after the other."""
     total = np.cumsum(lengths)
@@ -372,12 +379,12 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=1, rounds=3
             stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]
             ids = np.add.reduceat(length, begin)
             by_model = np.add.reduceat(scorer.log_probs(stream, ids).astype(float), np.cumsum(length) - length) / math.log(10)
-            by_model = np.maximum(by_model + lexicon.share[number], -300)
+            by_model = by_model + lexicon.share[number]
             count = lexicon.base[number]
             rare = np.isnan(count)
             seen = np.where(rare, 0.0, count)
             logs = np.where(rare, 0.0, np.log10(seen + 0.5))
-            mixed = np.where(rare, 0.0, np.log10(MEMORY * seen / max(total, 1) + (1 - MEMORY) * 10.0 ** by_model))
+            mixed = np.where(rare, 0.0, mix(seen, total, by_model))
             # Each rare word with what the attention model gives it, in order of text.
             names = pa.array([lexicon.words[i] for i in number[rare].tolist()], pa.binary())
             cuts = pa.array(np.append(0, np.cumsum(np.add.reduceat(rare, begin))), pa.int32())
@@ -393,9 +400,12 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=1, rounds=3
     passed = shelf.put("passed", rows.mapInArrow(work, schema).withColumn("_row", F.monotonically_increasing_id()))
     met = passed.select("_row", F.inline("_tail")).join(counts, "word", "left")
     seen = F.coalesce(F.col("n"), F.lit(0))
-    mixed = MEMORY * seen / max(total, 1) + (1 - MEMORY) * F.pow(F.lit(10.0), F.col("p"))
+    # As in mix(): the larger part is taken out of the sum, since 10 ** p of a long word is below any float.
+    memory, rest = F.log10(MEMORY * seen / max(total, 1)), F.col("p").cast("double") + math.log10(1 - MEMORY)
+    both = F.greatest(memory, rest) + F.log10(1 + F.pow(F.lit(10.0), -F.abs(memory - rest)))
+    mixed = F.when(seen > 0, both).otherwise(rest)
     tails = met.groupBy("_row").agg(F.count_if(seen > 0).alias("_tail_known"), F.sum(F.log10(seen + 0.5)).alias("_tail_logs"),
-                                    F.sum(F.log10(mixed)).alias("_tail_mixed"))
+                                    F.sum(mixed).alias("_tail_mixed"))
     tails = shelf.put("tails", tails)
     norm = math.log10(total + 0.5 * (distinct + 1))
     return passed.drop("_tail").join(tails, "_row", "left").select(

@@ -259,6 +259,17 @@ def test_every_token_of_a_training_text_is_trained_on(docs_of, spark, tmp_path):
     assert (windows[:, 1:] < lm_score.CLASSES).sum() == ids and (windows[:, 0] == lm_score.CLASSES).sum() == len(rows)
 
 
+def test_long_words_have_no_least_score(docs_of):
+    rng = random.Random(3)
+    long = ["".join(rng.choice("日本語中文字漢ไทย") for _ in range(n)) for n in (3000, 6000)]
+    rows = [(i, "the cat sat on the mat " * 5) for i in range(10, 20)] + [(1, long[0]), (2, long[1]), (3, long[0])]
+    # The word of 3 is known and rare, so it meets its count in the join; that of 2 is not known.
+    got = {r["_id"]: r["_score"] for r in lm_score.score(docs_of(rows), ranks, learn=F.col("doc_id") >= 3, rounds=1, frequent=1).collect()}
+    assert got[1] == got[3] > -20 and got[2] < -3000
+    assert lm_score.mix(0, 10, np.array([-5000.0]))[0] == pytest.approx(-5000 + math.log10(0.7))
+    assert lm_score.mix(2, 10, np.array([-5000.0, -1.0])) == pytest.approx([math.log10(0.06), math.log10(0.06 + 0.07)])
+
+
 # Mixing
 
 def water_level(sizes, weights, ceiling):
