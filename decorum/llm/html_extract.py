@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags. The first pass decides each block
 by its own figures: density of stop words, length and density of links; what
 lies in menus, footers, sidebars, notices, adverts, forms or comments is decided
-by its container. Short and middling blocks stay open. In the second pass an
+by its container. The page itself and its article are no such containers, whatever
+their names; inside them a container that is named in passing only leaves its long
+blocks to their figures. Short and middling blocks stay open. In the second pass an
 open block takes the label of its nearest decided neighbours, those in its own
 section first.
 """
@@ -40,17 +42,26 @@ nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc footer si
 recommendations share sharing social follow comment comments commentlist disqus reply replies respond form search
 complementary contentinfo dialog
 """.split())
+#: What consists of articles itself, so an article inside is none of the page.
+DISCUSSION = frozenset("""
+related recommended recommendations comment comments commentlist disqus reply replies respond
+""".split())
+#: Words in a name that tells how a page is laid out, not what a container holds.
+STATES = frozenset("no not with without has open closed enabled disabled".split())
+ROOTS = frozenset("html body main article".split())
 HEAD_NAMES = frozenset("header masthead topbar site-header page-header".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 GOOD, BAD, OPEN = 1, 0, None
+#: How sure it is that a container holds something else than the article.
+HINTED, NAMED, SURE = 1, 2, 3
 
 
 class Block:
@@ -70,26 +81,37 @@ class Element:
 
 
 def names_bad(tag, attributes, inside):
-    """Whether a container holds something else than the article."""
+    """How sure it is that a container holds something else than the article, or 0: SURE by
+    its tag, NAMED by a whole class, id or role, HINTED by the first or last word of one."""
     if tag in BAD_TAGS or tag == "header" and not inside:
-        return True
+        return SURE
     if not attributes:
-        return False
+        return 0
     if HIDDEN.search(attributes):
-        return True
-    for found in NAMES.finditer(attributes):
-        value = (found[1] or found[2] or found[3] or "").lower()
-        parts = set(re.split(r"[^a-z]+", value))
-        if parts & BAD_NAMES or set(value.split()) & HEAD_NAMES and not inside:
-            return True
-    return False
+        return SURE
+    if tag in ROOTS:
+        return 0
+    level = 0
+    for found in ATTRIBUTE.finditer(attributes):
+        if found[1].lower() not in ("class", "id", "role"):
+            continue
+        for name in (found[2] or found[3] or found[4] or "").lower().split():
+            parts = [x for x in re.split(r"[^a-z]+", name) if x]
+            if name in HEAD_NAMES and not inside:
+                level = max(level, NAMED)
+            if not parts or STATES.intersection(parts):
+                continue
+            ends = BAD_NAMES.intersection((parts[0], parts[-1]))
+            if ends:
+                level = max(level, SURE if ends & DISCUSSION else NAMED if len(parts) == 1 else HINTED)
+    return level
 
 
 def blocks(page):
     """Blocks of a page in order. White space inside a block is one blank, character
     references are decoded, and unfinished markup at the end is dropped."""
     out, pieces, linked = [], [], 0
-    stack = [Element("", False, 0, False)]
+    stack = [Element("", 0, 0, False)]
     sections, in_link, at, skip_to = 0, False, 0, None
 
     def add(raw):
@@ -142,8 +164,10 @@ def blocks(page):
                 top = stack[-1]
                 inside = top.inside or tag in ("article", "main")
                 section = top.section
-                bad = top.bad or names_bad(tag, attributes, top.inside)
-                if tag in SECTIONS or bad and not top.bad:
+                # The article inside a container with a bad name is the article.
+                above = 0 if top.bad < SURE and tag in ("article", "main") else top.bad
+                bad = max(above, names_bad(tag, attributes, top.inside))
+                if tag in SECTIONS or bad != top.bad:
                     sections += 1
                     section = sections
                 stack.append(Element(tag, bad, section, inside))
@@ -155,17 +179,21 @@ def blocks(page):
 
 def first_pass(block, short=70, long=200, links=0.2, low=0.05, high=0.15):
     """Label of a block by its own figures, or None where they leave it open."""
-    if block.bad:
+    if block.bad > HINTED or block.bad and not block.inside:
         return BAD
     size = len(block.text)
     if block.linked > links * size:
         return BAD
+    if block.bad and size < long:
+        return BAD
     if size < short:
         return OPEN if not block.linked or block.inside else BAD
     found = WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in found) / max(len(found), 1)
     if density >= high and size >= long:
         return GOOD
+    if block.bad:
+        return BAD
     if density >= low or block.inside:
         return GOOD if block.inside and density >= low else OPEN
     return BAD

@@ -80,6 +80,25 @@ def test_pages_without_an_article():
     assert html_extract.main_text("<" * 100_000) == ""
 
 
+@pytest.mark.parametrize("page", [
+    "<html class='js cookie-bar'><body class='no-sidebar'><p>{0}</p></body></html>", "<body class='home sidebar'><div><p>{0}</p></div></body>",
+    "<main class='content with-sidebar'><p>{0}</p></main>", "<article class='post comment-open'><p>{0}</p></article>",
+    "<div class='content-with-sidebar'><p>{0}</p></div>", "<div data-id='comments' data-role='form' title=\"class='ad'\"><p>{0}</p></div>",
+    "<div class='sidebar-layout'><article><p>{0}</p></article></div>", "<div class='post-social-body'><p>{0}</p></div>",
+    "<div class='widget'><main><p>{0}</p></main></div>", "<article><div class='share-wrap'><p>{0}</p><p>Tell a friend</p></div></article>"])
+def test_names_of_the_page_do_not_hide_its_text(page):
+    assert html_extract.main_text(page.format(LONG)) == LONG.strip()
+
+
+@pytest.mark.parametrize("rest", [
+    "<div id=comments><article class=comment><p>{0}</article></div>", "<div class='comment-list'><article><p>{0}</article></div>", "<div class='sidebar-left'><p>{0}</div>",
+    "<nav><article><p>{0}</article></nav>", "<div hidden><article><p>{0}</article></div>", "<div class='site-header'><p>{0}</div>",
+    "<div class='cookie-notice'>{0}</div>", "<div role=\"search\"><p>{0}</div>", "<div class=x id='sidebar'><p>{0}</div>"])
+def test_names_of_containers_still_count(rest):
+    assert html_extract.main_text("<body class='no-sidebar'><article class='related'><p>" + LONG + "</article>" + rest.format(LONG) + "</body>") == LONG.strip()
+    assert html_extract.main_text("<article><p>" + LONG + "<div class='newsletter'><p>" + LONG + "</div></article>") == LONG.strip()
+
+
 def test_open_blocks_take_the_label_of_their_neighbours():
     good, bad, unsure = html_extract.GOOD, html_extract.BAD, html_extract.OPEN
     same = html_extract.inherit([good, unsure, unsure, good, unsure, bad], [0] * 6, [False] * 6, [False] * 6)
