@@ -206,6 +206,17 @@ def test_repeated_runs_against_all_runs(docs_of, odd, seed):
         assert r.text in kept
 
 
+def test_a_threshold_of_one_word_leaves_no_repeated_line(docs_of):
+    rng = random.Random(11)
+    pool = ["Les.", "And ornd.", "a b c", "one two three four", "", " ", "x"]
+    rows = [(i, "\n".join(rng.choice(pool + [f"own {i} {j}"]) for j in range(rng.randrange(1, 12)))) for i in range(30)]
+    wanted = plain_runs(rows, 1)
+    got = {r.doc_id: r for r in line_dedup.drop_repeats(docs_of(rows), min_words=1).collect()}
+    assert {k[1]: v for k, v in wanted.items()} == {d: r["_removed"] for d, r in got.items()}
+    left = [x for r in got.values() for x in r.text.split("\n") if x.strip()]
+    assert len(left) == len(set(left))
+
+
 def test_a_run_that_no_line_reaches_alone_is_found(docs_of):
     passage = "\n".join(f"line {i} has words" for i in range(20))
     rows = [(1, "first\n" + passage + "\nend of one"), (2, "other\n" + passage + "\nend of two"), (3, "line 3 has words")]
