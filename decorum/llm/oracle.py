@@ -138,3 +138,52 @@ WITH sized AS (
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM planned LEFT JOIN taken USING (doc_id)
 """
+
+STATEMENTS["op11_ranked_search"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+    docs AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY 1),
+    totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+    m AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM docs, totals),
+    q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tf, totals GROUP BY term, n_docs),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+        FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2),
+    r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+        FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+STATEMENTS["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sizes AS (SELECT lang, sum(len(w))::BIGINT AS n FROM listed GROUP BY lang
+), places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM listed
+), counted AS (
+  SELECT lang, w[i:i + k - 1] AS words, count(*) AS f FROM places, range(1, 6) t(k) WHERE i + k - 1 <= len(w) GROUP BY ALL
+  HAVING count(*) >= 100
+), candidates AS (SELECT lang, words, f AS a FROM counted WHERE len(words) >= 2
+), cuts AS (
+  SELECT c.lang, c.words, c.a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, len(words))) AS k FROM candidates) c JOIN sizes USING (lang)
+  JOIN counted x ON x.lang = c.lang AND x.words = c.words[1:k]
+  JOIN counted y ON y.lang = c.lang AND y.words = c.words[k + 1:len(c.words)]
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), inner_phrases AS (
+  SELECT DISTINCT q.lang, q.words[i:j] AS words, q.a FROM candidates q, range(1, 6) s(i), range(1, 6) e(j)
+  WHERE j > i AND j <= len(q.words) AND j - i + 1 < len(q.words)
+), gone AS (
+  SELECT DISTINCT c.lang, c.words FROM candidates c JOIN inner_phrases q ON q.lang = c.lang AND q.words = c.words AND q.a >= c.a
+), ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score FROM best ANTI JOIN gone USING (lang, words)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM ranked QUALIFY rank <= 2000
+"""

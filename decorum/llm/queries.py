@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from decorum.llm import (
-    chat_format, decontaminate, exact_dedup, html_extract, line_dedup, lm_score, mixing, quality_crf,
-    simhash, token_counts)
+    chat_format, collocations, decontaminate, exact_dedup, html_extract, language_id, line_dedup, lm_score, mixing,
+    quality_crf, ranked_search, simhash, token_counts)
 from decorum.llm.store import read
 
 
@@ -113,6 +113,24 @@ def op10_decontaminate(spark, sf_dir):
         (n_hit > 0).alias("contaminated"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    found = ranked_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("_item").alias("item_id"), F.col("_rank").alias("rank"), F.col("_id").alias("doc_id"), F.col("_score").alias("score"))
+
+
+def op12_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    named = language_id.predict(docs, language_id.fit(docs, learn=fold_of(F.col("doc_id"), 4) != 2))
+    return named.select(
+        F.col("_id").alias("doc_id"), (fold_of(F.col("_id"), 4) == 2).alias("held_out"),
+        F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -124,4 +142,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_language_id": op12_language_id,
+    "op13_collocations": op13_collocations,
 }
