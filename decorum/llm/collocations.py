@@ -1,17 +1,17 @@
 """Collocations: phrases whose words occur together more often than apart, counted by
 vertical partitioning of suffixes.
 
-Every word begins a suffix of at most ``longest`` words inside its piece of text. Their
-prefixes are taken in turn, as far as they can hold a phrase met ``least`` times: words are
-counted first, then pairs of frequent words; a longer suffix ends at its first rare
-pair. What is left is written once, copies summed up. Prefixes are then
-extended while more suffixes begin with one than the memory budget allows, and all prefixes
-are dealt to groups of about that budget. Each group is independent: a task reads it in
-order, builds the subtree level by level, cut at ``longest`` words, and a node's count is
-the total of its leaves.
-
-Which words and pairs are frequent reaches the tasks as a bit map of fixed size. A bit may
-be shared, so now and then a rare one passes; it is counted like any other and dropped at the end.
+Every word begins a suffix of at most ``longest`` words inside its piece of text. Only those
+are kept that can hold a phrase met ``least`` times: words are counted first, then the hashes of
+pairs of frequent words, and a suffix ends at its first rare pair. What is left is written
+once, copies summed up by task. Prefixes are then extended while more suffixes begin with one
+than the memory budget allows, and all prefixes are dealt to groups of about that budget.
+Each group is independent: a task reads it in order, builds the subtree level by level, cut at
+``longest`` words, and a node's count is the total of its leaves. A prefix that was extended
+has its count from the partitioning.
+
+Which words and pairs are frequent reaches the tasks as a bit map of fixed size. A bit may be
+shared, so now and then a rare one passes; it is counted like any other and dropped at the end.
 """
 
 import zlib
@@ -27,8 +27,8 @@ from decorum.llm.store import Shelf, stretches
 NO_LANG = "und"
 #: A-Z to a-z, ends of pieces to full stops; blanks are spaces and tabs.
 CLEAN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x2E if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-#: log2 of the bits of a map: 4 MB, and its parts of 2 ** 15 bits come as rows.
-BITS = 25
+#: log2 of the bits of a map: 16 MB, and its parts of 2 ** 15 bits come as rows.
+BITS = 27
 PART = 1 << 15
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,6 +43,14 @@ def slot(h):
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def summed(keys, counts):
+    """Different keys, rising, with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[begin], np.add.reduceat(counts[order], begin) if len(keys) else counts
+
+
 class Words(dict):
     """Numbers of the words of one language, with hash and, if a bit map is given, whether
     the word may be frequent. Number 0 is the end of a piece."""
@@ -50,6 +58,7 @@ class Words(dict):
     def __init__(self, lang, bits=None):
         super().__init__({b".": 0})
         self.names, self.fresh = [b"."], []
+        self.stale = False
         self.seed, self.bits = zlib.crc32(lang.encode("utf-8", "surrogatepass")), bits
         self.hashes, self.often = np.zeros(1, np.uint64), np.zeros(1, bool)
 
@@ -89,6 +98,8 @@ def by_language(batches, bits=None, most=400_000):
                 groups.setdefault(lang, []).append(text.as_buffer().to_pybytes())
             for lang, some in groups.items():
                 if sum(map(len, known.values())) > most:
+                    for words in known.values():
+                        words.stale = True
                     known.clear()
                 if lang not in known:
                     known[lang] = Words(lang, bits)
@@ -123,52 +134,130 @@ def neighbours(words, numbers):
     return often[:-1] & often[1:]
 
 
-def count_pairs(docs, often):
-    """(lang, first, second, h, n) of pairs of words that the bit map ``often`` holds."""
+def planes(numbers, width):
+    """Numbers as bytes, all first bytes first, so that they pack well."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def pack(keys, counts):
+    """Rising keys and their counts as bytes."""
+    raw = planes(np.diff(keys, prepend=np.uint32(0)), 4) + planes(counts, 8)
+    return zlib.compress(raw, 1)
+
+
+def unpack(data, n):
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    steps, counts = raw[:4 * n].reshape(4, n), raw[4 * n:].reshape(8, n)
+    return (np.cumsum(np.ascontiguousarray(steps.T).view("<u4").ravel(), dtype=np.uint32),
+            np.ascontiguousarray(counts.T).view("<i8").ravel())
+
+
+def frequent_pairs(docs, often, least, total, most=1 << 22):
+    """(at): places in a bit map of the pairs of frequent words that may occur ``least`` times.
+
+    Pairs are counted by the upper 32 bits of their hash. A task packs what it has counted into
+    one row for each range of hashes; there are as many ranges as leave about ``most`` pairs to each, up to 65,536.
+    """
+    ranges = min(max(-(-total // most), 16), 1 << 16)
+    ranges = 1 << (ranges - 1).bit_length()
+    wide = 32 - ranges.bit_length() + 1
+
     def work(batches):
-        for lang, words, numbers in by_language(batches, often.value):
-            at = np.flatnonzero(neighbours(words, numbers))
-            code, n = np.unique(numbers[at] << 32 | numbers[at + 1], return_counts=True)
-            a, b = code >> 32, code & 0xFFFFFFFF
-            columns = [pa.array([words.names[i] for i in x.tolist()], pa.binary()).cast(pa.string()) for x in (a, b)]
-            h = pair_hash(words.hashes[a], words.hashes[b]).view(np.int64)
-            yield from rows_of(lang, [*columns, pa.array(h)], n, ["lang", "first", "second", "h", "n"])
+        keys, counts, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
 
-    found = docs.mapInArrow(work, "lang string, first string, second string, h long, n long")
-    return found.groupBy("lang", "first", "second").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
+        def flush():
+            k, n = summed(np.concatenate(keys), np.concatenate(counts))
+            cuts = np.searchsorted(k >> np.uint32(wide), np.arange(ranges + 1)) if ranges > 1 else np.array([0, len(k)])
+            used = np.flatnonzero(np.diff(cuts))
+            blobs = [pack(k[cuts[i]:cuts[i + 1]], n[cuts[i]:cuts[i + 1]]) for i in used.tolist()]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used, pa.int64()), pa.array(np.diff(cuts)[used], pa.int64()), pa.array(blobs, pa.binary())], ["range", "n", "pairs"])
 
+        for _, words, numbers in by_language(batches, often.value):
+            at = np.flatnonzero(neighbours(words, numbers))
+            h = pair_hash(words.hashes[numbers[at]], words.hashes[numbers[at + 1]]) >> np.uint64(32)
+            k, n = np.unique(h.astype(np.uint32), return_counts=True)
+            keys.append(k)
+            counts.append(n)
+            size += len(k)
+            if size > 2 * most:
+                k, n = summed(np.concatenate(keys), np.concatenate(counts))
+                keys, counts, size = [k], [n], len(k)
+                if size > most:
+                    yield flush()
+                    keys, counts, size = [k[:0]], [n[:0]], 0
+        yield flush()
+
+    def merge(batches):
+        met = {}
+
+        def tidy(i):
+            met[i] = [summed(np.concatenate([k for k, _ in met[i]]), np.concatenate([n for _, n in met[i]]))]
+            return len(met[i][0][0])
 
-def cut_suffixes(docs, often, pairs, longest):
-    """(lang, words, n): suffixes of three to ``longest`` words, each ended before its first
-    pair that the bit map ``pairs`` lacks, summed up by stretch."""
+        for batch in batches:
+            for i, n, data in zip(*[c.to_pylist() for c in batch.columns]):
+                met.setdefault(i, []).append(unpack(data, n))
+                if sum(len(k) for k, _ in met[i][1:]) > max(most, len(met[i][0][0])):
+                    tidy(i)
+        for i in met:
+            tidy(i)
+            k, n = met[i][0]
+            k = np.unique(k[n >= least].astype(np.int64) >> (32 - BITS))
+            for lo in range(0, len(k), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(k[lo:lo + (1 << 17)])], ["at"])
+
+    packed = docs.mapInArrow(work, "range long, n long, pairs binary")
+    return packed.repartition(ranges, "range").mapInArrow(merge, "at long")
+
+
+def cut_suffixes(docs, often, pairs, longest, most=1 << 20):
+    """(lang, words, n): suffixes of two to ``longest`` words, each ended before its first
+    pair that the bit map ``pairs`` lacks. A task sums up copies, ``most`` suffixes of a language at a time."""
     def work(batches):
+        held, names = {}, ["lang", "words", "n"]
+
+        def flush(lang):
+            words, grids, _ = held.pop(lang)
+            grid = np.concatenate(grids)
+            _, first, n = np.unique(grid.view(np.dtype((np.void, 4 * longest))).ravel(), return_index=True, return_counts=True)
+            grid = grid[first]
+            size = (grid >= 0).sum(1)
+            for lo in range(0, len(n), 1 << 16):
+                part, length = grid[lo:lo + (1 << 16)], size[lo:lo + (1 << 16)]
+                flat = pa.array([words.names[i] for i in part[part >= 0].tolist()], pa.binary()).cast(pa.string())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), flat)
+                yield from rows_of(lang, [lists], n[lo:lo + (1 << 16)], names)
+
         for lang, words, numbers in by_language(batches, often.value):
+            # Words that were numbered anew have other numbers.
+            for other in [x for x in held if held[x][0].stale]:
+                yield from flush(other)
             numbers = np.append(numbers, np.zeros(longest, np.int64))
             near = neighbours(words, numbers)
             at = np.flatnonzero(near)
-            h = words.hashes[numbers[at]], words.hashes[numbers[at + 1]]
-            near[at] = has(pairs.value, slot(pair_hash(*h)))
-            at = np.flatnonzero(near[:-1] & near[1:])
+            near[at] = has(pairs.value, slot(pair_hash(words.hashes[numbers[at]], words.hashes[numbers[at + 1]])))
+            at = np.flatnonzero(near)
             grid = np.full((len(at), longest), -1, np.int32)
             grid[:, 0], alive = numbers[at], np.ones(len(at), bool)
             for k in range(1, longest):
                 alive = alive & near[at + k - 1]
                 grid[alive, k] = numbers[at[alive] + k]
-            code, first, n = np.unique(grid.view(np.dtype((np.void, 4 * longest))).ravel(), return_index=True, return_counts=True)
-            grid = grid[first]
-            size = (grid >= 0).sum(1)
-            flat = pa.array([words.names[i] for i in grid[grid >= 0].tolist()], pa.binary()).cast(pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), flat)
-            yield from rows_of(lang, [lists], n, ["lang", "words", "n"])
+            mine = held.setdefault(lang, [words, [], 0])
+            mine[1].append(grid)
+            mine[2] += len(grid)
+            if mine[2] > most:
+                yield from flush(lang)
+        for lang in list(held):
+            yield from flush(lang)
 
     return docs.mapInArrow(work, "lang string, words array<string>, n long")
 
 
-def bit_map(spark, rows):
-    """Broadcast bit map of the hashes ``h`` of ``rows``. What the driver gets are parts of
+def bit_map(spark, places):
+    """Broadcast bit map of the numbers ``at`` of ``places``. What the driver gets are parts of
     fixed size, 2 ** BITS bits in all, however many rows there are."""
-    place = F.shiftrightunsigned("h", 64 - BITS)
-    parts = rows.select(place.alias("at")).groupBy((F.col("at") / PART).cast("int").alias("part")).agg(
+    parts = places.groupBy((F.col("at") / PART).cast("int").alias("part")).agg(
         F.bitmap_construct_agg(F.col("at") % PART).alias("bits")).collect()
     bits = np.zeros((1 << BITS) // 8, np.uint8)
     for row in parts:
@@ -180,37 +269,40 @@ def prefix_of(length):
     return F.slice("words", 1, length)
 
 
-def partition(suffixes, longest, budget, groups=4096):
-    """Vertical partitioning: ``suffixes`` with ``prefix``, the shortest that begins at most
-    ``budget`` of them (or 1 / ``groups`` of all, if that is more). A prefix of ``longest`` words
-    is a leaf, which has one row a stretch that holds it.
+def partition(suffixes, longest, budget, groups=1 << 16):
+    """Vertical partitioning: (suffixes with ``deep`` and ``prefix``, number of groups, counts of
+    extended prefixes). The prefix is the shortest, of two words or more, that begins at most
+    ``budget`` suffixes; one of ``longest`` words is a leaf, which has few rows a task.
 
     Of any length there are at most ``groups`` larger prefixes, which bounds the broadcasts.
     """
     total = suffixes.count()
     budget = max(budget, -(-total // groups))
-    open_rows, out = suffixes, suffixes.withColumn("_deep", F.lit(2))
+    open_rows, out, extended = suffixes, suffixes.withColumn("deep", F.lit(2)), []
     for length in range(2, longest):
-        sizes = open_rows.groupBy("lang", prefix_of(length).alias("_p")).agg(F.count("*").alias("rows"))
-        large = sizes.filter(F.col("rows") > budget).select("lang", "_p")
+        open_rows = open_rows.filter(F.size("words") >= length).withColumn("_p", prefix_of(length))
+        sizes = open_rows.groupBy("lang", "_p").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+        large = sizes.filter(F.col("rows") > budget)
         if large.isEmpty():
             break
-        marked = F.broadcast(large.withColumn("_large", F.lit(True)))
-        out = out.withColumn("_p", prefix_of(length)).join(marked, ["lang", "_p"], "left")
-        out = out.withColumn("_deep", F.when(F.col("_large"), length + 1).otherwise(F.col("_deep"))).drop("_p", "_large")
-        open_rows = open_rows.withColumn("_p", prefix_of(length)).join(F.broadcast(large), ["lang", "_p"], "left_semi").drop("_p")
-    return out.withColumn("prefix", F.expr("slice(words, 1, _deep)")).drop("_deep"), max(1, -(-total // budget))
+        extended.append(large.select("lang", F.col("_p").alias("words"), "n"))
+        large = F.broadcast(large.select("lang", "_p", F.lit(length + 1).alias("_deep")))
+        out = out.withColumn("_p", prefix_of(length)).join(large, ["lang", "_p"], "left")
+        out = out.withColumn("deep", F.coalesce("_deep", "deep")).drop("_p", "_deep")
+        open_rows = open_rows.join(large, ["lang", "_p"], "left_semi").drop("_p")
+    return out.withColumn("prefix", F.expr("slice(words, 1, deep)")), max(1, -(-total // budget)), extended
 
 
 class Tree:
-    """Nodes of a subtree from its suffixes in order. A level's open node is the one the
-    last suffix lies under; it closes when a suffix comes that does not."""
+    """Nodes of a subtree from its suffixes in order: those of ``least`` or more. A level's
+    open node is the one the last suffix lies under; it closes when a suffix comes that does not.
+    Nodes above a suffix's prefix (``deep`` words) are not the group's to count."""
 
-    def __init__(self, longest, shortest=3):
-        self.longest, self.shortest = longest, shortest
-        self.path, self.totals = (), []
+    def __init__(self, longest, least):
+        self.longest, self.least = longest, least
+        self.path, self.totals, self.deep = (), [], 0
 
-    def add(self, langs, lists, n):
+    def add(self, langs, lists, n, deep):
         """Closed nodes (lang, words, total) after some more suffixes."""
         if not len(n):
             return
@@ -223,54 +315,57 @@ class Tree:
         codes[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1] = flat.indices.to_numpy()[offsets[0]:offsets[-1]]
         new = np.ones(len(n), bool)
         new[1:] = codes[1:, 0] != codes[:-1, 0]
-        closed = []
-        ends = (langs[0].as_py(), *lists[0].as_py()), (langs[len(n) - 1].as_py(), *lists[len(n) - 1].as_py())
-        totals, last = [], []
+        head, tail = [(langs[i].as_py(), *lists[i].as_py()) for i in (0, len(n) - 1)]
+        closed, totals = [], []
         for depth in range(1, self.longest + 1):
             new[1:] |= codes[1:, depth] != codes[:-1, depth]
             begin = np.flatnonzero(new)
             total = np.add.reduceat(n, begin)
-            # The open node goes on where this batch begins under it, and else is closed.
+            # The open node goes on where these rows begin under it, and else is closed.
             if len(self.path) > depth:
-                if ends[0][:depth + 1] == self.path[:depth + 1]:
+                if head[:depth + 1] == self.path[:depth + 1]:
                     total[0] += self.totals[depth - 1]
-                elif depth >= self.shortest:
-                    closed.append((self.path[0], list(self.path[1:depth + 1]), int(self.totals[depth - 1])))
-            if depth >= self.shortest:
-                for i in np.flatnonzero(size[begin[:-1]] >= depth).tolist():
-                    closed.append((langs[int(begin[i])].as_py(), lists[int(begin[i])].as_py()[:depth], int(total[i])))
+                elif depth >= self.deep and self.totals[depth - 1] >= self.least:
+                    closed.append((self.path[0], list(self.path[1:depth + 1]), self.totals[depth - 1]))
+            shown = (size[begin] >= depth) & (deep[begin] <= depth) & (total >= self.least)
+            for i in np.flatnonzero(shown[:-1]).tolist():
+                closed.append((langs[int(begin[i])].as_py(), lists[int(begin[i])].as_py()[:depth], int(total[i])))
             totals.append(int(total[-1]))
-        self.path, self.totals = ends[1], totals
+        self.path, self.totals, self.deep = tail, totals, int(deep[-1])
         yield from closed
 
     def rest(self):
-        for depth in range(self.shortest, len(self.path)):
-            yield self.path[0], list(self.path[1:depth + 1]), self.totals[depth - 1]
+        for depth in range(max(self.deep, 1), len(self.path)):
+            if self.totals[depth - 1] >= self.least:
+                yield self.path[0], list(self.path[1:depth + 1]), self.totals[depth - 1]
 
 
 def subtrees(suffixes, longest, budget, least):
-    """(lang, words, n) of the phrases of three words or more that occur ``least`` times."""
-    dealt, groups = partition(suffixes, longest, budget)
-    schema = "lang string, words array<string>, n long"
+    """(lang, words, n) of the phrases of two words or more that occur ``least`` times."""
+    dealt, groups, extended = partition(suffixes, longest, budget)
+    kinds = {"lang": pa.string(), "words": pa.list_(pa.string()), "n": pa.int64()}
 
     def work(batches):
-        tree = Tree(longest)
+        tree = Tree(longest, least)
 
         def shown(nodes):
-            nodes = [x for x in nodes if x[2] >= least]
-            kinds = (pa.string(), pa.list_(pa.string()), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in nodes], kind) for i, kind in enumerate(kinds)], ["lang", "words", "n"])
+            nodes = list(nodes)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in nodes], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
         for batch in batches:
-            yield shown(tree.add(batch.column(0), batch.column(1), batch.column(2).to_numpy()))
+            lang, words, n, deep = batch.columns
+            yield shown(tree.add(lang, words, n.to_numpy(), deep.to_numpy()))
         yield shown(tree.rest())
 
     spread = max(groups, suffixes.sparkSession.sparkContext.defaultParallelism)
     dealt = dealt.repartition(spread, "lang", "prefix").sortWithinPartitions("lang", "words")
-    return dealt.select("lang", "words", "n").mapInArrow(work, schema)
+    found = dealt.select("lang", "words", "n", "deep").mapInArrow(work, "lang string, words array<string>, n long")
+    for more in extended:
+        found = found.unionByName(more.filter(F.col("n") >= least))
+    return found
 
 
-def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=100, budget=1 << 20, folder=None):
+def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=100, budget=1 << 18, folder=None):
     """(counts, sizes): ``counts`` has lang, phrase (space-joined), size (words) and f of
     every phrase of 1 to ``longest`` words that occurs ``least`` times inside pieces, overlaps
     included; ``sizes`` has lang and n, all its words. Null texts are empty, null
@@ -282,12 +377,12 @@ def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=10
     rows = rows.filter(F.length("_text") > 0)
     words = shelf.put("words", count_words(rows))
     common = words.filter(F.col("n") >= least)
-    often = bit_map(spark, common)
-    pairs = shelf.put("pairs", count_pairs(rows, often).filter(F.col("n") >= least))
-    suffixes = shelf.put("suffixes", cut_suffixes(rows, often, bit_map(spark, pairs), longest))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = bit_map(spark, common.select(F.shiftrightunsigned("h", 64 - BITS).alias("at")))
+    pairs = bit_map(spark, frequent_pairs(rows, often, least, total))
+    suffixes = shelf.put("suffixes", cut_suffixes(rows, often, pairs, longest))
     deep = subtrees(suffixes, longest, budget, least)
     counts = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))
-    counts = counts.unionByName(pairs.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), F.lit(2).alias("size"), F.col("n").alias("f")))
     counts = counts.unionByName(deep.select("lang", F.array_join("words", " ").alias("phrase"), F.size("words").alias("size"), F.col("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return shelf.put("counts", counts), shelf.put("sizes", sizes)
@@ -317,7 +412,7 @@ def score_phrases(counts, sizes):
         "lang", "phrase", *[f"_cut.{c}" for c in ("a", "l", "r", "n", "score")], F.col("_gone").isNull().alias("kept"))
 
 
-def collocations(docs, text_col="text", lang_col="lang", longest=5, least=100, top=2000, budget=1 << 20, folder=None):
+def collocations(docs, text_col="text", lang_col="lang", longest=5, least=100, top=2000, budget=1 << 18, folder=None):
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, by falling
     score and a, then by phrase. Edge cases as in :func:`frequent_phrases`."""
     scored = score_phrases(*frequent_phrases(docs, text_col, lang_col, longest, least, budget, folder)).filter("kept")

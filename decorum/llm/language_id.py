@@ -137,9 +137,14 @@ def sample_windows(docs, learn, id_col, text_col, lang_col, per_label, sample, p
     a label and ``sample`` at most in all (the k-th of every label before the next of any).
     """
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    slim = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_label"), F.xxhash64(id_col).alias("_hash"))
+    slim = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_label"))
+    slim = slim.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_id"), 1))
+    # Hashes below a share that leaves about four times ``per_label`` rows of a label: what is
+    # ranked does not grow with the table.
+    sizes = slim.groupBy("_label").agg((F.lit(4.0 * per_label) / F.count("*")).alias("_share"))
+    some = slim.join(sizes, "_label").filter(F.col("_hash") < F.col("_share") * float(1 << 63)).drop("_share").distinct()
     turn = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
-    picked = slim.distinct().withColumn("_turn", turn).filter(F.col("_turn") <= per_label)
+    picked = some.withColumn("_turn", turn).filter(F.col("_turn") <= per_label)
     picked = picked.orderBy("_turn", "_hash", "_label", "_id").limit(sample).select("_id", "_label")
     # At most ``sample`` rows are broadcast, so no text is shuffled.
     texts = rows.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_label"), F.col(text_col).alias("_text"))

@@ -194,7 +194,7 @@ def mined(docs, **how):
     return set(got)
 
 
-@pytest.mark.parametrize("budget", [1 << 20, 3])
+@pytest.mark.parametrize("budget", [1 << 18, 3])
 def test_phrases_as_counting_all_gives(spark, docs_of, odd, budget):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcd") + rng.choice(["", "", ",", "\t", "!\n"]) for _ in range(rng.randrange(60))) for _ in range(60)]
@@ -207,36 +207,67 @@ def test_phrases_as_counting_all_gives(spark, docs_of, odd, budget):
 
 
 def test_prefixes_are_extended_to_the_budget(spark):
-    rows = [("en", list(p), 1) for p in {tuple(random.Random(i).choice("ab") for _ in range(3 + i % 3)) for i in range(400)}]
+    rows = [("en", list(p), 2) for p in {tuple(random.Random(i).choice("ab") for _ in range(2 + i % 4)) for i in range(400)}]
     suffixes = spark.createDataFrame(rows, "lang string, words array<string>, n long")
-    dealt, groups = collocations.partition(suffixes, 5, 4)
+    dealt, groups, extended = collocations.partition(suffixes, 5, 4)
     got = dealt.collect()
     assert len(got) == len(rows) and groups == -(-len(rows) // 4)
     size = collections.Counter(tuple(r.prefix) for r in got)
     for r in got:
-        assert r.words[:len(r.prefix)] == r.prefix
+        assert r.words[:len(r.prefix)] == r.prefix and r.deep >= len(r.prefix)
         assert len(r.prefix) == 5 or len(r.words) == len(r.prefix) or size[tuple(r.prefix)] <= 4
+    met = collections.Counter(tuple(w[:k]) for _, w, _ in rows for k in range(2, len(w) + 1))
+    assert {tuple(r.words): r.n for e in extended for r in e.collect()} == {p: 2 * n for p, n in met.items() if n > 4 and len(p) < 5}
 
 
 def test_subtree_counts_do_not_depend_on_batches():
     import pyarrow as pa
 
     rng = random.Random(2)
-    counts = collections.Counter((rng.choice("xy"), *[rng.choice("abc") for _ in range(rng.randrange(3, 6))]) for _ in range(300))
+    counts = collections.Counter((rng.choice("xy"), *[rng.choice("abc") for _ in range(rng.randrange(2, 6))]) for _ in range(300))
     rows = sorted(counts.items())
+    # "a b" and "a b c" are extended.
+    deep = {p: 4 if p[1:4] == ("a", "b", "c") else 3 if p[1:3] == ("a", "b") else 2 for p, _ in rows}
     want = collections.Counter()
     for path, n in rows:
-        for depth in range(3, len(path)):
-            want[path[:depth + 1]] += n
+        for depth in range(2, len(path)):
+            if depth >= deep[path]:
+                want[path[:depth + 1]] += n
+    want = {p: n for p, n in want.items() if n >= 2}
     for step in (1, 2, 7, 1000):
-        tree, got = collocations.Tree(5), []
+        tree, got = collocations.Tree(5, 2), []
         for lo in range(0, len(rows), step):
             part = rows[lo:lo + step]
-            got += tree.add(pa.array([p[0] for p, _ in part]), pa.array([list(p[1:]) for p, _ in part]), np.array([n for _, n in part]))
+            got += tree.add(pa.array([p[0] for p, _ in part]), pa.array([list(p[1:]) for p, _ in part]),
+                            np.array([n for _, n in part]), np.array([deep[p] for p, _ in part]))
         got += tree.rest()
         assert len(got) == len(want) and {(lang, *words): n for lang, words, n in got} == want
 
 
+def test_pair_counts_come_back():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        keys = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint32))
+        counts = rng.integers(1, 1 << 40, len(keys))
+        back = collocations.unpack(collocations.pack(keys, counts), len(keys))
+        assert (back[0] == keys).all() and (back[1] == counts).all()
+
+
+def test_small_buffers_count_alike(spark, docs_of):
+    docs = docs_of([(i, " ".join(random.Random(i).choice("abc") for _ in range(200))) for i in range(30)])
+    rows = docs.select(F.lit("en").alias("_lang"), F.col("text").alias("_text"))
+    full = spark.sparkContext.broadcast(np.full((1 << collocations.BITS) // 8, 255, np.uint8))
+    want = sorted(r.at for r in collocations.frequent_pairs(rows, full, 400, 6000).collect())
+    assert 0 < len(want) < 9
+    assert sorted(r.at for r in collocations.frequent_pairs(rows, full, 400, 6000, most=2).collect()) == want
+
+    def sums(most):
+        cut = collocations.cut_suffixes(rows, full, full, 5, most).groupBy("words").agg(F.sum("n").alias("n"))
+        return {tuple(r.words): r.n for r in cut.collect()}
+
+    assert sums(10) == sums(1 << 20)
+
+
 def test_no_phrases(spark, docs_of):
     assert mined(docs_of([])) == set() == mined(docs_of([(1, None), (2, "one two")]))
 
