@@ -1,16 +1,15 @@
 """Collocations: phrases whose words occur together more often than apart, counted by
 vertical partitioning of suffixes.
 
-Every word begins a suffix of at most ``longest`` words inside its piece of text. Only those
-are kept that can hold a phrase met ``least`` times: words are counted first, then the hashes of
-pairs of frequent words, and a suffix ends at its first rare pair. What is left is written
-once, copies summed up by task. Prefixes are then extended while more suffixes begin with one
-than the memory budget allows, and all prefixes are dealt to groups of about that budget.
-Each group is independent: a task reads it in order, builds the subtree level by level, cut at
-``longest`` words, and a node's count is the total of its leaves. A prefix that was extended
-has its count from the partitioning.
-
-Which words and pairs are frequent reaches the tasks as a bit map of fixed size. A bit may be
+Every word begins a suffix of at most ``longest`` words inside its piece of text. Its prefixes
+are taken in turn: words are counted first, then, by hash, the longer prefixes. A prefix that occurs
+less than ``least`` times ends its suffixes; one that occurs more often than the memory budget
+allows is extended by a word. The prefixes that are left are dealt to groups of about that
+budget. Each group is independent: a task gathers its suffixes, copies summed up, sorts them and
+builds the subtree level by level, cut at ``longest`` words; a node's count is the total of
+its leaves. Nodes above an extended prefix have leaves in several groups and are summed up at the end.
+
+Which words and prefixes are frequent reaches the tasks as bit maps of fixed size. A bit may be
 shared, so now and then a rare one passes; it is counted like any other and dropped at the end.
 """
 
@@ -128,12 +127,6 @@ def count_words(docs):
     return found.groupBy("lang", "word").agg(F.first("h").alias("h"), F.sum("n").alias("n"))
 
 
-def neighbours(words, numbers):
-    """Of every place but the last: is it followed by a word, both perhaps frequent?"""
-    often = words.often[numbers]
-    return often[:-1] & often[1:]
-
-
 def planes(numbers, width):
     """Numbers as bytes, all first bytes first, so that they pack well."""
     return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
@@ -152,38 +145,68 @@ def unpack(data, n):
             np.ascontiguousarray(counts.T).view("<i8").ravel())
 
 
-def frequent_pairs(docs, often, least, total, most=1 << 22):
-    """(at): places in a bit map of the pairs of frequent words that may occur ``least`` times.
-
-    Pairs are counted by the upper 32 bits of their hash. A task packs what it has counted into
-    one row for each range of hashes; there are as many ranges as leave about ``most`` pairs to each, up to 65,536.
+def runs(words, numbers, longest, pairs=None, longer=None):
+    """(k, places, hashes) for k = 2 to ``longest``: where a suffix may have k words, and the hash of
+    these k. Places are left out when the bit map ``pairs`` lacks their last pair or the bit map
+    ``longer`` lacks their three words or more."""
+    numbers = np.append(numbers, np.zeros(longest, np.int64))
+    often = words.often[numbers]
+    near = often[:-1] & often[1:]
+    at = np.flatnonzero(near)
+    of_pair = np.zeros(len(near), np.uint64)
+    of_pair[at] = pair_hash(words.hashes[numbers[at]], words.hashes[numbers[at + 1]])
+    if pairs is not None:
+        near[at] = has(pairs, slot(of_pair[at]))
+        at = np.flatnonzero(near)
+    h = of_pair[at]
+    for k in range(2, longest + 1):
+        if k > 2:
+            on = near[at + k - 2]
+            at, h = at[on], h[on]
+            h = pair_hash(h, words.hashes[numbers[at + k - 1]])
+            if longer is not None:
+                on = has(longer, slot(h))
+                at, h = at[on], h[on]
+        yield k, at, h
+
+
+def ranges_of(total, most):
+    """Number of ranges that leave about ``most`` of ``total`` to each: a power of two, 16 to 65,536."""
+    return 1 << (min(max(-(-total // most), 16), 1 << 16) - 1).bit_length()
+
+
+def count_runs(docs, often, pairs, lengths, least, total, most, room=1 << 22):
+    """(at, large): places in a bit map of the runs of words, of some ``lengths``, that may occur ``least``
+    times; ``large`` is the key of a run that may occur more than ``most`` times (else null).
+
+    Runs are counted by their key, the upper 32 bits of their hash. A task packs what it has
+    counted into one row for each range of keys and holds ``room`` keys at a time.
     """
-    ranges = min(max(-(-total // most), 16), 1 << 16)
-    ranges = 1 << (ranges - 1).bit_length()
-    wide = 32 - ranges.bit_length() + 1
+    ranges = ranges_of(total, room)
+    wide = np.uint32(32 - ranges.bit_length() + 1)
 
     def work(batches):
         keys, counts, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
 
         def flush():
             k, n = summed(np.concatenate(keys), np.concatenate(counts))
-            cuts = np.searchsorted(k >> np.uint32(wide), np.arange(ranges + 1)) if ranges > 1 else np.array([0, len(k)])
+            cuts = np.append(np.searchsorted(k >> wide, np.arange(ranges)), len(k))
             used = np.flatnonzero(np.diff(cuts))
             blobs = [pack(k[cuts[i]:cuts[i + 1]], n[cuts[i]:cuts[i + 1]]) for i in used.tolist()]
             return pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pa.array(np.diff(cuts)[used], pa.int64()), pa.array(blobs, pa.binary())], ["range", "n", "pairs"])
+                [pa.array(used, pa.int64()), pa.array(np.diff(cuts)[used], pa.int64()), pa.array(blobs, pa.binary())], ["range", "n", "keys"])
 
         for _, words, numbers in by_language(batches, often.value):
-            at = np.flatnonzero(neighbours(words, numbers))
-            h = pair_hash(words.hashes[numbers[at]], words.hashes[numbers[at + 1]]) >> np.uint64(32)
-            k, n = np.unique(h.astype(np.uint32), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            size += len(k)
-            if size > 2 * most:
+            for length, _, h in runs(words, numbers, max(lengths), pairs and pairs.value):
+                if length in lengths:
+                    k, n = np.unique((h >> np.uint64(32)).astype(np.uint32), return_counts=True)
+                    keys.append(k)
+                    counts.append(n)
+                    size += len(k)
+            if size > 2 * room:
                 k, n = summed(np.concatenate(keys), np.concatenate(counts))
                 keys, counts, size = [k], [n], len(k)
-                if size > most:
+                if size > room:
                     yield flush()
                     keys, counts, size = [k[:0]], [n[:0]], 0
         yield flush()
@@ -193,65 +216,149 @@ def frequent_pairs(docs, often, least, total, most=1 << 22):
 
         def tidy(i):
             met[i] = [summed(np.concatenate([k for k, _ in met[i]]), np.concatenate([n for _, n in met[i]]))]
-            return len(met[i][0][0])
 
         for batch in batches:
             for i, n, data in zip(*[c.to_pylist() for c in batch.columns]):
                 met.setdefault(i, []).append(unpack(data, n))
-                if sum(len(k) for k, _ in met[i][1:]) > max(most, len(met[i][0][0])):
+                if sum(len(k) for k, _ in met[i][1:]) > max(room, len(met[i][0][0])):
                     tidy(i)
         for i in met:
             tidy(i)
             k, n = met[i][0]
-            k = np.unique(k[n >= least].astype(np.int64) >> (32 - BITS))
+            k, n = k[n >= least].astype(np.int64), n[n >= least]
             for lo in range(0, len(k), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(k[lo:lo + (1 << 17)])], ["at"])
+                part = k[lo:lo + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(part >> (32 - BITS)), pa.array(part, mask=n[lo:lo + (1 << 17)] <= most)], ["at", "large"])
 
-    packed = docs.mapInArrow(work, "range long, n long, pairs binary")
-    return packed.repartition(ranges, "range").mapInArrow(merge, "at long")
+    packed = docs.mapInArrow(work, "range long, n long, keys binary")
+    return packed.repartition(ranges, "range").mapInArrow(merge, "at long, large long")
 
 
-def cut_suffixes(docs, often, pairs, longest, most=1 << 20):
-    """(lang, words, n): suffixes of two to ``longest`` words, each ended before its first
-    pair that the bit map ``pairs`` lacks. A task sums up copies, ``most`` suffixes of a language at a time."""
+def cut_suffixes(docs, often, pairs, longer, large, longest, ranges, most=1 << 20):
+    """(range, lang, names, grid, n): suffixes of two to ``longest`` words, copies summed up, ``most`` of a
+    language at a time, packed by the range of their prefix. That is the shortest whose key is not among the
+    sorted keys ``large``. ``names`` are the words of a row, ``grid`` and ``n`` packed numbers."""
     def work(batches):
-        held, names = {}, ["lang", "words", "n"]
+        held = {}
 
         def flush(lang):
-            words, grids, _ = held.pop(lang)
-            grid = np.concatenate(grids)
+            words, grids, prefixes, _ = held.pop(lang)
+            grid, prefix = np.concatenate(grids), np.concatenate(prefixes)
             _, first, n = np.unique(grid.view(np.dtype((np.void, 4 * longest))).ravel(), return_index=True, return_counts=True)
-            grid = grid[first]
-            size = (grid >= 0).sum(1)
-            for lo in range(0, len(n), 1 << 16):
-                part, length = grid[lo:lo + (1 << 16)], size[lo:lo + (1 << 16)]
-                flat = pa.array([words.names[i] for i in part[part >= 0].tolist()], pa.binary()).cast(pa.string())
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), flat)
-                yield from rows_of(lang, [lists], n[lo:lo + (1 << 16)], names)
+            place = (prefix[first] & np.uint64(ranges - 1)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            place, first, n = place[order], first[order], n[order]
+            cuts = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                used, local = np.unique(grid[first[lo:hi]], return_inverse=True)
+                # Number -1 stands behind the last word and comes first.
+                local = local.reshape(-1, longest) - (used[0] < 0)
+                names = [words.names[i].decode("utf-8", "surrogatepass") for i in used[used >= 0].tolist()]
+                packed = [zlib.compress(planes(x.ravel(), w), 1) for x, w in ((local.astype(np.int32), 4), (n[lo:hi], 8))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place[lo]]), pa.array([lang]), pa.array([names], pa.list_(pa.string())), *[pa.array([x], pa.binary()) for x in packed]],
+                    ["range", "lang", "names", "grid", "n"])
 
         for lang, words, numbers in by_language(batches, often.value):
             # Words that were numbered anew have other numbers.
             for other in [x for x in held if held[x][0].stale]:
                 yield from flush(other)
-            numbers = np.append(numbers, np.zeros(longest, np.int64))
-            near = neighbours(words, numbers)
-            at = np.flatnonzero(near)
-            near[at] = has(pairs.value, slot(pair_hash(words.hashes[numbers[at]], words.hashes[numbers[at + 1]])))
-            at = np.flatnonzero(near)
-            grid = np.full((len(at), longest), -1, np.int32)
-            grid[:, 0], alive = numbers[at], np.ones(len(at), bool)
-            for k in range(1, longest):
-                alive = alive & near[at + k - 1]
-                grid[alive, k] = numbers[at[alive] + k]
-            mine = held.setdefault(lang, [words, [], 0])
-            mine[1].append(grid)
-            mine[2] += len(grid)
-            if mine[2] > most:
+            mine, open_at = np.append(numbers, np.zeros(longest, np.int64)), None
+            for k, at, h in runs(words, numbers, longest, pairs.value, longer.value):
+                if k == 2:
+                    grid = np.full((len(at), longest), -1, np.int32)
+                    grid[:, 0], prefix, row = mine[at], h, np.full(len(mine), -1)
+                    row[at] = np.arange(len(at))
+                    open_at = np.ones(len(at), bool)
+                here = row[at]
+                grid[here, k - 1] = mine[at + k - 1]
+                # A prefix that is still too large is extended, where the suffix goes on.
+                prefix[here[open_at[here]]] = h[open_at[here]]
+                key, keys = (h >> np.uint64(32)).astype(np.int64), large.value
+                if len(keys):
+                    open_at[here] &= keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                else:
+                    open_at[:] = False
+            some = held.setdefault(lang, [words, [], [], 0])
+            some[1].append(grid)
+            some[2].append(prefix)
+            some[3] += len(grid)
+            if some[3] > most:
                 yield from flush(lang)
         for lang in list(held):
-            yield from flush(lang)
+            if held[lang][3]:
+                yield from flush(lang)
 
-    return docs.mapInArrow(work, "lang string, words array<string>, n long")
+    return docs.mapInArrow(work, "range long, lang string, names array<string>, grid binary, n binary")
+
+
+def subtree(grid, n, longest):
+    """(first row, depth, total) of all nodes of two words or more of the sorted suffixes ``grid``, level by level."""
+    new, size = np.ones(len(grid), bool), (grid >= 0).sum(1)
+    new[1:] = grid[1:, 0] != grid[:-1, 0]
+    for depth in range(2, longest + 1):
+        new[1:] |= grid[1:, depth - 1] != grid[:-1, depth - 1]
+        begin = np.flatnonzero(new)
+        total, whole = np.add.reduceat(n, begin), size[begin] >= depth
+        yield begin[whole], depth, total[whole]
+
+
+class Group:
+    """Suffixes of a group, copies summed up now and then."""
+
+    def __init__(self, longest):
+        self.longest, self.number, self.names = longest, {}, []
+        self.grids, self.counts, self.size, self.kept = [], [], 0, 0
+
+    def add(self, names, grid, n):
+        at = np.full(len(names) + 1, -1, np.int64)
+        for i, name in enumerate(names):
+            if name not in self.number:
+                self.number[name] = len(self.names)
+                self.names.append(name)
+            at[i] = self.number[name]
+        raw = [np.frombuffer(zlib.decompress(x), np.uint8) for x in (grid, n)]
+        local, counts = [np.ascontiguousarray(x.reshape(w, -1).T).view(f"<i{w}").ravel() for x, w in zip(raw, (4, 8))]
+        self.grids.append(at[local.reshape(-1, self.longest)])
+        self.counts.append(counts)
+        self.size += len(counts)
+        if self.size > 2 * self.kept + (1 << 18):
+            self.tidy()
+
+    def tidy(self):
+        grid, n = np.concatenate(self.grids), np.concatenate(self.counts)
+        order = np.lexsort(grid.T[::-1])
+        grid = grid[order]
+        begin = np.flatnonzero(np.append(True, (grid[1:] != grid[:-1]).any(1)))
+        self.grids, self.counts = [grid[begin]], [np.add.reduceat(n[order], begin)]
+        self.size = self.kept = len(begin)
+
+    def nodes(self):
+        self.tidy()
+        return subtree(self.grids[0], self.counts[0], self.longest)
+
+
+def subtrees(suffixes, longest, ranges, least, parted):
+    """(lang, words, n) of the phrases of two words or more that occur ``least`` times. Where prefixes
+    were extended (``parted``), a node's count may be the sum of several groups'."""
+    names, kinds = ["lang", "words", "n"], (pa.string(), pa.list_(pa.string()), pa.int64())
+
+    def work(batches):
+        groups = {}
+        for batch in batches:
+            for place, lang, *rest in zip(*[c.to_pylist() for c in batch.columns]):
+                groups.setdefault((place, lang), Group(longest)).add(*rest)
+        for (_, lang), group in groups.items():
+            for begin, depth, total in group.nodes():
+                shown = total >= (1 if parted else least)
+                rows = group.grids[0][begin[shown], :depth]
+                out = [lang] * len(rows), [[group.names[i] for i in row] for row in rows.tolist()], total[shown]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds)], names)
+
+    found = suffixes.repartition(ranges, "range").mapInArrow(work, "lang string, words array<string>, n long")
+    if parted:
+        found = found.groupBy("lang", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return found
 
 
 def bit_map(spark, places):
@@ -265,107 +372,7 @@ def bit_map(spark, places):
     return spark.sparkContext.broadcast(bits)
 
 
-def prefix_of(length):
-    return F.slice("words", 1, length)
-
-
-def partition(suffixes, longest, budget, groups=1 << 16):
-    """Vertical partitioning: (suffixes with ``deep`` and ``prefix``, number of groups, counts of
-    extended prefixes). The prefix is the shortest, of two words or more, that begins at most
-    ``budget`` suffixes; one of ``longest`` words is a leaf, which has few rows a task.
-
-    Of any length there are at most ``groups`` larger prefixes, which bounds the broadcasts.
-    """
-    total = suffixes.count()
-    budget = max(budget, -(-total // groups))
-    open_rows, out, extended = suffixes, suffixes.withColumn("deep", F.lit(2)), []
-    for length in range(2, longest):
-        open_rows = open_rows.filter(F.size("words") >= length).withColumn("_p", prefix_of(length))
-        sizes = open_rows.groupBy("lang", "_p").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
-        large = sizes.filter(F.col("rows") > budget)
-        if large.isEmpty():
-            break
-        extended.append(large.select("lang", F.col("_p").alias("words"), "n"))
-        large = F.broadcast(large.select("lang", "_p", F.lit(length + 1).alias("_deep")))
-        out = out.withColumn("_p", prefix_of(length)).join(large, ["lang", "_p"], "left")
-        out = out.withColumn("deep", F.coalesce("_deep", "deep")).drop("_p", "_deep")
-        open_rows = open_rows.join(large, ["lang", "_p"], "left_semi").drop("_p")
-    return out.withColumn("prefix", F.expr("slice(words, 1, deep)")), max(1, -(-total // budget)), extended
-
-
-class Tree:
-    """Nodes of a subtree from its suffixes in order: those of ``least`` or more. A level's
-    open node is the one the last suffix lies under; it closes when a suffix comes that does not.
-    Nodes above a suffix's prefix (``deep`` words) are not the group's to count."""
-
-    def __init__(self, longest, least):
-        self.longest, self.least = longest, least
-        self.path, self.totals, self.deep = (), [], 0
-
-    def add(self, langs, lists, n, deep):
-        """Closed nodes (lang, words, total) after some more suffixes."""
-        if not len(n):
-            return
-        offsets = lists.offsets.to_numpy()
-        size = np.diff(offsets)
-        flat = lists.values.dictionary_encode()
-        codes = np.full((len(n), self.longest + 1), -1, np.int64)
-        codes[:, 0] = langs.dictionary_encode().indices.to_numpy()
-        row = np.repeat(np.arange(len(n)), size)
-        codes[row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1] = flat.indices.to_numpy()[offsets[0]:offsets[-1]]
-        new = np.ones(len(n), bool)
-        new[1:] = codes[1:, 0] != codes[:-1, 0]
-        head, tail = [(langs[i].as_py(), *lists[i].as_py()) for i in (0, len(n) - 1)]
-        closed, totals = [], []
-        for depth in range(1, self.longest + 1):
-            new[1:] |= codes[1:, depth] != codes[:-1, depth]
-            begin = np.flatnonzero(new)
-            total = np.add.reduceat(n, begin)
-            # The open node goes on where these rows begin under it, and else is closed.
-            if len(self.path) > depth:
-                if head[:depth + 1] == self.path[:depth + 1]:
-                    total[0] += self.totals[depth - 1]
-                elif depth >= self.deep and self.totals[depth - 1] >= self.least:
-                    closed.append((self.path[0], list(self.path[1:depth + 1]), self.totals[depth - 1]))
-            shown = (size[begin] >= depth) & (deep[begin] <= depth) & (total >= self.least)
-            for i in np.flatnonzero(shown[:-1]).tolist():
-                closed.append((langs[int(begin[i])].as_py(), lists[int(begin[i])].as_py()[:depth], int(total[i])))
-            totals.append(int(total[-1]))
-        self.path, self.totals, self.deep = tail, totals, int(deep[-1])
-        yield from closed
-
-    def rest(self):
-        for depth in range(max(self.deep, 1), len(self.path)):
-            if self.totals[depth - 1] >= self.least:
-                yield self.path[0], list(self.path[1:depth + 1]), self.totals[depth - 1]
-
-
-def subtrees(suffixes, longest, budget, least):
-    """(lang, words, n) of the phrases of two words or more that occur ``least`` times."""
-    dealt, groups, extended = partition(suffixes, longest, budget)
-    kinds = {"lang": pa.string(), "words": pa.list_(pa.string()), "n": pa.int64()}
-
-    def work(batches):
-        tree = Tree(longest, least)
-
-        def shown(nodes):
-            nodes = list(nodes)
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in nodes], kind) for i, kind in enumerate(kinds.values())], list(kinds))
-
-        for batch in batches:
-            lang, words, n, deep = batch.columns
-            yield shown(tree.add(lang, words, n.to_numpy(), deep.to_numpy()))
-        yield shown(tree.rest())
-
-    spread = max(groups, suffixes.sparkSession.sparkContext.defaultParallelism)
-    dealt = dealt.repartition(spread, "lang", "prefix").sortWithinPartitions("lang", "words")
-    found = dealt.select("lang", "words", "n", "deep").mapInArrow(work, "lang string, words array<string>, n long")
-    for more in extended:
-        found = found.unionByName(more.filter(F.col("n") >= least))
-    return found
-
-
-def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=100, budget=1 << 18, folder=None):
+def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=100, budget=1 << 20, folder=None):
     """(counts, sizes): ``counts`` has lang, phrase (space-joined), size (words) and f of
     every phrase of 1 to ``longest`` words that occurs ``least`` times inside pieces, overlaps
     included; ``sizes`` has lang and n, all its words. Null texts are empty, null
@@ -378,10 +385,16 @@ def frequent_phrases(docs, text_col="text", lang_col="lang", longest=5, least=10
     words = shelf.put("words", count_words(rows))
     common = words.filter(F.col("n") >= least)
     total = words.agg(F.sum("n")).first()[0] or 0
+    # At most 65,536 prefixes of a length are larger than this.
+    most = max(budget, -(-total // (1 << 16)))
     often = bit_map(spark, common.select(F.shiftrightunsigned("h", 64 - BITS).alias("at")))
-    pairs = bit_map(spark, frequent_pairs(rows, often, least, total))
-    suffixes = shelf.put("suffixes", cut_suffixes(rows, often, pairs, longest))
-    deep = subtrees(suffixes, longest, budget, least)
+    two = shelf.put("pairs", count_runs(rows, often, None, (2,), least, total, most))
+    pairs = bit_map(spark, two)
+    more = shelf.put("runs", count_runs(rows, often, pairs, tuple(range(3, longest + 1)), least, total, most))
+    large = np.sort(np.array([r.large for t in (two, more) for r in t.select("large").dropna().collect()], np.int64))
+    ranges = ranges_of(total, budget)
+    suffixes = cut_suffixes(rows, often, pairs, bit_map(spark, more), spark.sparkContext.broadcast(large), longest, ranges)
+    deep = subtrees(suffixes, longest, ranges, least, len(large) > 0)
     counts = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))
     counts = counts.unionByName(deep.select("lang", F.array_join("words", " ").alias("phrase"), F.size("words").alias("size"), F.col("n").alias("f")))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
@@ -412,7 +425,7 @@ def score_phrases(counts, sizes):
         "lang", "phrase", *[f"_cut.{c}" for c in ("a", "l", "r", "n", "score")], F.col("_gone").isNull().alias("kept"))
 
 
-def collocations(docs, text_col="text", lang_col="lang", longest=5, least=100, top=2000, budget=1 << 18, folder=None):
+def collocations(docs, text_col="text", lang_col="lang", longest=5, least=100, top=2000, budget=1 << 20, folder=None):
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score, by falling
     score and a, then by phrase. Edge cases as in :func:`frequent_phrases`."""
     scored = score_phrases(*frequent_phrases(docs, text_col, lang_col, longest, least, budget, folder)).filter("kept")

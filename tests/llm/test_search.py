@@ -194,7 +194,7 @@ def mined(docs, **how):
     return set(got)
 
 
-@pytest.mark.parametrize("budget", [1 << 18, 3])
+@pytest.mark.parametrize("budget", [1 << 20, 40])
 def test_phrases_as_counting_all_gives(spark, docs_of, odd, budget):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcd") + rng.choice(["", "", ",", "\t", "!\n"]) for _ in range(rng.randrange(60))) for _ in range(60)]
@@ -206,42 +206,59 @@ def test_phrases_as_counting_all_gives(spark, docs_of, odd, budget):
     assert got == phrases(rows, 5, 40) and len(got) > 60
 
 
-def test_prefixes_are_extended_to_the_budget(spark):
-    rows = [("en", list(p), 2) for p in {tuple(random.Random(i).choice("ab") for _ in range(2 + i % 4)) for i in range(400)}]
-    suffixes = spark.createDataFrame(rows, "lang string, words array<string>, n long")
-    dealt, groups, extended = collocations.partition(suffixes, 5, 4)
-    got = dealt.collect()
-    assert len(got) == len(rows) and groups == -(-len(rows) // 4)
-    size = collections.Counter(tuple(r.prefix) for r in got)
-    for r in got:
-        assert r.words[:len(r.prefix)] == r.prefix and r.deep >= len(r.prefix)
-        assert len(r.prefix) == 5 or len(r.words) == len(r.prefix) or size[tuple(r.prefix)] <= 4
-    met = collections.Counter(tuple(w[:k]) for _, w, _ in rows for k in range(2, len(w) + 1))
-    assert {tuple(r.words): r.n for e in extended for r in e.collect()} == {p: 2 * n for p, n in met.items() if n > 4 and len(p) < 5}
-
-
-def test_subtree_counts_do_not_depend_on_batches():
-    import pyarrow as pa
-
+def letters_table(docs_of):
+    rng = random.Random(1)
+    docs = docs_of([(i, " ".join(rng.choice("abc") for _ in range(200))) for i in range(30)])
+    return docs.select(F.lit("en").alias("_lang"), F.col("text").alias("_text"))
+
+
+def full_map(spark):
+    return spark.sparkContext.broadcast(np.full((1 << collocations.BITS) // 8, 255, np.uint8))
+
+
+def unpacked(rows):
+    """{range: Counter of suffixes} of packed suffixes."""
+    out = collections.defaultdict(collections.Counter)
+    for r in rows:
+        group = collocations.Group(5)
+        group.add(r.names, r.grid, r.n)
+        group.tidy()
+        for row, n in zip(group.grids[0].tolist(), group.counts[0].tolist()):
+            out[r.range][tuple(group.names[i] for i in row if i >= 0)] += n
+    return out
+
+
+@pytest.mark.parametrize("most", [10, 1 << 20])
+def test_prefixes_are_extended_where_they_are_large(spark, docs_of, most):
+    rows, full = letters_table(docs_of), full_map(spark)
+    runs = collocations.count_runs(rows, full, full, (2, 3, 4, 5), 1, 6000, 150).collect()
+    met = collections.Counter(tuple(t[i:i + k]) for r in rows.collect() for t in [r["_text"].split()] for i in range(200) for k in range(2, 6) if i + k <= 200)
+    large = {p for p, n in met.items() if n > 150}
+    assert len({r.large for r in runs if r.large is not None}) == len(large) > 9
+    keys = spark.sparkContext.broadcast(np.sort(np.array([r.large for r in runs if r.large is not None])))
+    got = unpacked(collocations.cut_suffixes(rows, full, full, full, keys, 5, 64, most).collect())
+    place = {}
+    for i, suffixes in got.items():
+        for w in suffixes:
+            prefix = next((w[:k] for k in range(2, len(w)) if w[:k] not in large), w)
+            assert place.setdefault(prefix, i) == i
+    assert len({place[p] for p in place if p[:2] == ("a", "b")}) > 1
+    whole = sum(got.values(), collections.Counter())
+    for p, n in met.items():
+        assert sum(m for w, m in whole.items() if w[:len(p)] == p) == n
+
+
+def test_subtree_totals(spark, docs_of):
     rng = random.Random(2)
-    counts = collections.Counter((rng.choice("xy"), *[rng.choice("abc") for _ in range(rng.randrange(2, 6))]) for _ in range(300))
-    rows = sorted(counts.items())
-    # "a b" and "a b c" are extended.
-    deep = {p: 4 if p[1:4] == ("a", "b", "c") else 3 if p[1:3] == ("a", "b") else 2 for p, _ in rows}
+    counts = collections.Counter(tuple(rng.choice("abc") for _ in range(rng.randrange(2, 6))) for _ in range(300))
     want = collections.Counter()
-    for path, n in rows:
-        for depth in range(2, len(path)):
-            if depth >= deep[path]:
-                want[path[:depth + 1]] += n
-    want = {p: n for p, n in want.items() if n >= 2}
-    for step in (1, 2, 7, 1000):
-        tree, got = collocations.Tree(5, 2), []
-        for lo in range(0, len(rows), step):
-            part = rows[lo:lo + step]
-            got += tree.add(pa.array([p[0] for p, _ in part]), pa.array([list(p[1:]) for p, _ in part]),
-                            np.array([n for _, n in part]), np.array([deep[p] for p, _ in part]))
-        got += tree.rest()
-        assert len(got) == len(want) and {(lang, *words): n for lang, words, n in got} == want
+    for path, n in counts.items():
+        for depth in range(2, len(path) + 1):
+            want[path[:depth]] += n
+    rows = np.array([[ord(c) for c in p] + [-1] * (5 - len(p)) for p in sorted(counts)])
+    got = {tuple(map(chr, rows[i, :depth])): n for begin, depth, total in collocations.subtree(rows, np.array([counts[p] for p in sorted(counts)]), 5)
+           for i, n in zip(begin.tolist(), total.tolist())}
+    assert got == want
 
 
 def test_pair_counts_come_back():
@@ -254,18 +271,12 @@ def test_pair_counts_come_back():
 
 
 def test_small_buffers_count_alike(spark, docs_of):
-    docs = docs_of([(i, " ".join(random.Random(i).choice("abc") for _ in range(200))) for i in range(30)])
-    rows = docs.select(F.lit("en").alias("_lang"), F.col("text").alias("_text"))
-    full = spark.sparkContext.broadcast(np.full((1 << collocations.BITS) // 8, 255, np.uint8))
-    want = sorted(r.at for r in collocations.frequent_pairs(rows, full, 400, 6000).collect())
-    assert 0 < len(want) < 9
-    assert sorted(r.at for r in collocations.frequent_pairs(rows, full, 400, 6000, most=2).collect()) == want
+    rows, full = letters_table(docs_of), full_map(spark)
 
-    def sums(most):
-        cut = collocations.cut_suffixes(rows, full, full, 5, most).groupBy("words").agg(F.sum("n").alias("n"))
-        return {tuple(r.words): r.n for r in cut.collect()}
+    def frequent(room):
+        return sorted(r.at for r in collocations.count_runs(rows, full, None, (2,), 660, 6000, 1 << 20, room).collect())
 
-    assert sums(10) == sums(1 << 20)
+    assert 0 < len(frequent(1 << 22)) < 9 and frequent(400) == frequent(1 << 22)
 
 
 def test_no_phrases(spark, docs_of):
@@ -279,5 +290,5 @@ def test_a_full_bit_map_changes_nothing(spark, docs_of, monkeypatch):
     full = collocations.Words("en", np.zeros(1, np.uint8))
     full.number([b"a b"])
     assert full.often.tolist() == [False, True, True]
-    monkeypatch.setattr(collocations, "bit_map", lambda spark, rows: spark.sparkContext.broadcast(np.full((1 << collocations.BITS) // 8, 255, np.uint8)))
+    monkeypatch.setattr(collocations, "bit_map", lambda spark, places: full_map(spark))
     assert mined(docs, least=4) == want
