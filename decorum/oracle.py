@@ -290,6 +290,8 @@ def statements():
     split = ("CASE WHEN ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.2 "
              "THEN 'val' ELSE 'train' END")
     known = "(SELECT c.text FROM conversations c)"
+    groups = ", ".join(hits("x", some) for some in L.STANDIN_LABELS.values())
+    words = f"CASE WHEN greatest({groups}) > 0 THEN 1::DOUBLE - 1::DOUBLE / (1 + greatest({groups})) ELSE 0.001 END"
     return {
         "nfkd_text": one_step("nfkd"),
         "homoglyph_fold": one_step("homoglyphs"),
@@ -365,6 +367,18 @@ def statements():
             true AS stored_alike, count(*) FILTER (side = 'train') AS n_train, true AS minimum
             FROM (SELECT {split} AS side FROM {LABELLED}
                   WHERE NOT {missing('comment_text')} AND regexp_replace(comment_text, {STRIP}) <> '')""",
+        "model_predictions": f"""WITH r AS (SELECT {split} AS split, toxic, {words} AS score
+                FROM (SELECT doc_id, regexp_replace(lower(comment_text), {STRIP}) AS x, toxic FROM {LABELLED}
+                      WHERE NOT {missing('comment_text')} AND regexp_replace(comment_text, {STRIP}) <> ''))
+            SELECT split, count(*) AS n, sum(toxic)::BIGINT AS toxic, 0::BIGINT AS errors, true AS blended,
+            round((SELECT avg(CASE WHEN p.score > q.score THEN 1.0::DOUBLE WHEN p.score = q.score THEN 0.5 ELSE 0 END)
+                FROM r p JOIN r q ON p.toxic = 1 AND q.toxic = 0 AND p.split = r.split AND q.split = r.split), 6) AS auc_of_words,
+            CASE WHEN sum(toxic) >= 5 THEN true END AS better FROM r GROUP BY split""",
+        "scorer_errors": f"""WITH {docs}, e AS (SELECT doc_id, normalized_comment AS x, ml_score, length(normalized_comment) AS n FROM p)
+            SELECT doc_id, CASE WHEN n % 7 = 0 THEN 'length ' || n END AS error,
+            CASE WHEN n % 7 <> 0 THEN (n % 100) / 100.0::DOUBLE END AS llm_confidence,
+            CASE WHEN n % 7 <> 0 THEN round(ml_score * 0.3::DOUBLE + (n % 100) / 100.0::DOUBLE * 0.7::DOUBLE, 6) END AS hybrid_score,
+            {band('CASE WHEN n % 7 <> 0 THEN ml_score * 0.3::DOUBLE + (n % 100) / 100.0::DOUBLE * 0.7::DOUBLE END')} AS risk_level FROM e""",
         "csv_round_trip": f"""SELECT toxic::VARCHAR AS toxic, count(*) AS n, sum(length(comment_text))::BIGINT AS chars,
             sum(('0x' || substr(md5(comment_text), 1, 8))::BIGINT)::BIGINT AS "check" FROM {LABELLED} GROUP BY 1""",
         "written_set": f"""SELECT toxic, count(*) AS n,

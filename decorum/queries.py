@@ -14,7 +14,7 @@ from decorum.operators import (
     cleaning, features, metrics, privacy, reports, reuse, sampling, vocabulary,
 )
 from decorum.operators.policy import map_policy, policy_table
-from decorum.plans import classify
+from decorum.plans import classify, textmodel
 from decorum.plans.normalize import normalize
 from decorum.plans.predict import PREDICTION, blend, predict, score_texts
 from decorum.session import shared_folder, spread
@@ -266,6 +266,56 @@ def lr_checks(spark, folder):
     return held.select("*", side["n_train"].alias("n_train"), side["minimum"].alias("minimum"))
 
 
+def model_predictions(spark, folder):
+    """T8-T10 with fitted models: both are trained on the training side, all labelled documents
+    are predicted, and each side is evaluated. Figures of the models depend on the training, so
+    what is returned of them are facts; DuckDB computes the counts and the word lists' AUC."""
+    rows = cleaning.prepare(_labelled(spark, folder)).select(
+        "doc_id", F.col("comment_text").alias("text"), F.col("toxic").alias("label"))
+    train, val = sampling.train_val_split(rows)
+    ml = classify.train_classifier(train)
+    # The text model reads normalized texts, so it learns from such.
+    text = textmodel.train_text_model(normalize(dealt(train, train)).withColumnRenamed("label", "toxic"), col="normalized")
+    scored, _ = predict(dealt(rows.drop("label"), rows), id_col="doc_id", ml=ml, scorer=textmodel.text_model_scorer(spark, text))
+    sides = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
+    words = S.lexicon_scorer(F.col("text"))["score"].alias("by_words")
+    path = f"{folder_for(spark, 'predicted')}/rows"
+    kept = scored.select("doc_id", "error", *SCORES, "is_toxic", "llm_label").join(sides.select("doc_id", "label", "split", words), "doc_id")
+    kept.write.parquet(path)
+    kept = spark.read.parquet(path)
+    blended = F.abs(F.col("hybrid_score") - 0.3 * F.col("ml_score") - 0.7 * F.col("llm_confidence")) < 1e-9
+    out = None
+    for split in ("train", "val"):
+        mine = kept.filter(F.col("split") == split)
+        area = {c: metrics.auc(mine, "label", c).scalar() for c in ("by_words", "ml_score", "llm_confidence", "hybrid_score")}
+        right = metrics.accuracy(mine.select("label", (F.col("ml_score") > 0.5).cast("int").alias("pred"))).scalar()
+        row = mine.agg(
+            F.count("*").alias("n"), F.sum("label").alias("toxic"), F.count("error").alias("errors"),
+            F.bool_and(blended & F.col("ml_score").between(0, 1) & F.col("llm_confidence").between(0, 1)
+                       & (F.col("is_toxic") == (F.col("hybrid_score") > 0.5)) & (F.col("llm_label") == "toxic")).alias("blended"))
+        better = (area["llm_confidence"] > area["by_words"]) & (area["hybrid_score"] > 0.5) & (right > 0.5)
+        row = row.select(F.lit(split).alias("split"), "*", F.round(area["by_words"], 6).alias("auc_of_words"),
+                         F.when(F.col("toxic") >= 5, better).alias("better"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def scorer_errors(spark, folder):
+    """a classifier that fails on normalized texts of certain lengths; each such text is an error
+    of its own row, and all others have their result."""
+    def load():
+        def classify(text):
+            if len(text) % 7 == 0:
+                raise ValueError(f"length {len(text)}")
+            return "toxic", (len(text) % 100) / 100
+
+        return classify
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored, _ = predict(docs, id_col="doc_id", scorer=S.batch_scorer(load))
+    return rounded(scored, ["hybrid_score"]).select("doc_id", "error", "llm_confidence", "hybrid_score", "risk_level")
+
+
 def csv_round_trip(spark, folder):
     path = f"{folder_for(spark, 'csv')}/comments"
     write_dataset(_labelled(spark, folder).select("comment_text", F.col("toxic").cast("string")), path, "csv")
@@ -526,6 +576,8 @@ QUERIES = {
     "classification_report": classification_report,
     "lr_predictions": lr_predictions,
     "lr_checks": lr_checks,
+    "model_predictions": model_predictions,
+    "scorer_errors": scorer_errors,
     "csv_round_trip": csv_round_trip,
     "written_set": written_set,
     "write_times": write_times,
