@@ -153,6 +153,9 @@ FIRST_NAMES = """
     Scott Sofia Stephen Steven Susan Thomas Timothy William
 """.split()
 
+# Titles that stand before a name.
+NAME_TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof"]
+
 # What every match of a recognizer contains; quick to look for.
 PII_HINTS = {
     "EMAIL_ADDRESS": "@",

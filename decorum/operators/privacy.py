@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from decorum import lexicon
 from decorum.functions.privacy import count_entity, mask_entity, mask_names, name_tokens
+from decorum.operators.reuse import text_key
 from decorum.operators.skew import join_unique
 
 
@@ -21,15 +22,16 @@ def mask_pii(df, col="text", out="masked", entities=None):
     return df
 
 
-def mask_person(df, col, names=None, id_col="id", in_row=5_000):
+def mask_person(df, col, names=None, id_col=None, in_row=5_000):
     """Names from the table ``names`` (column ``name``; default
-    ``lexicon.FIRST_NAMES``), with the capitalised words that follow them; stands in for a
-    trained recognizer. ``names`` may also be a function from Column to Column: a
-    recognizer of the caller's own.
+    ``lexicon.FIRST_NAMES``), with the capitalised words that follow them. ``names`` may also be a
+    function from Column to Column: a recognizer of the caller's own. ``operators.names``
+    learns names from texts.
 
-    Up to ``in_row`` names become literals and are masked row by row, on streams too. A
-    larger table meets the distinct capitalised words of each text in a join, in which
-    frequent words are salted; the result is the same.
+    Up to ``in_row`` names become literals (they are collected while the plan is built) and are masked
+    row by row, on streams too. A larger table meets the distinct capitalised words of each distinct text in a
+    join, in which frequent words and frequent texts are salted; the result is the same. A stream
+    cannot take it: give such a stream fewer names. ``id_col`` is not used any more.
     """
     if callable(names):
         return df.withColumn(col, names(F.col(col)))
@@ -42,14 +44,16 @@ def mask_person(df, col, names=None, id_col="id", in_row=5_000):
     if len(known) <= in_row:
         found = F.filter(name_tokens(F.col(col)), lambda t: t.isin(known)) if known else F.array().cast("array<string>")
         return df.withColumn(col, mask_names(F.col(col), F.sort_array(found)))
-    tokens = df.select(F.col(id_col).alias("_id"), F.explode(name_tokens(F.col(col))).alias("name"))
-    found = join_unique(tokens, names, "name", F.col("_id")).groupBy("_id")
+    if df.isStreaming:
+        raise ValueError(f"a stream takes at most {in_row} names")
+    # Texts, not rows, are the key: ids may be null or repeat.
+    keyed = df.withColumn("_key", text_key(F.col(col)))
+    tokens = keyed.select("_key", F.explode(name_tokens(F.col(col))).alias("name")).distinct()
+    found = join_unique(tokens, names, "name", F.col("_key")).groupBy("_key")
     found = found.agg(F.sort_array(F.collect_set("name")).alias("_names"))
     met = F.coalesce("_names", F.array().cast("array<string>"))
-    return (
-        df.join(found, F.col(id_col) == F.col("_id"), "left")
-        .withColumn(col, mask_names(F.col(col), met)).drop("_names", "_id")
-    )
+    marked = join_unique(keyed.withColumn("_row", F.monotonically_increasing_id()), found, "_key", F.col("_row"), how="left")
+    return marked.withColumn(col, mask_names(F.col(col), met)).select(*df.columns)
 
 
 def pii_summary(df, col="text"):

@@ -314,6 +314,8 @@ def statements():
         "vocab_unsafe_words": f"SELECT word, n FROM {WORDS} WHERE word NOT IN {in_list(L.SAFE_WORDS)}",
         "mask_pii": f"SELECT doc_id, {masked('text')} AS masked FROM documents",
         "mask_after_normalize": f"WITH {chain('documents', 'doc_id')} SELECT doc_id, {masked('x')} AS masked FROM s9",
+        "names_learned": """SELECT doc_id, concat_ws(chr(10), text, ['my friend <PERSON> said so', 'we met <PERSON> yesterday',
+            'then they asked <PERSON> politely', 'greet Dr. <PERSON> kindly'][((doc_id // 2) % 4 + 1)::INT]) AS text FROM documents""",
         "pii_summary": pii(),
         "clean_comments": f"""SELECT doc_id, regexp_replace(lower(comment_text), {STRIP}) AS comment_text, toxic,
             {', '.join(f'0 AS {c}' for c in L.EXTRA_LABELS)} FROM {LABELLED}

@@ -13,6 +13,7 @@ from decorum.functions.privacy import name_tokens
 from decorum.operators import (
     cleaning, features, metrics, privacy, reports, reuse, sampling, vocabulary,
 )
+from decorum.operators.names import learn_names, mask_learned
 from decorum.operators.policy import map_policy, policy_table
 from decorum.plans import classify, textmodel
 from decorum.plans.normalize import normalize
@@ -115,6 +116,26 @@ def mask_names(spark, folder):
     return privacy.mask_person(_docs(spark, folder), "text", names, "doc_id")
 
 
+#: Sentences around a planted name, with the same ones in the DuckDB statement.
+PLANTED = ["my friend {} said so", "we met {} yesterday", "then they asked {} politely", "greet Dr. {} kindly"]
+
+
+def names_learned(spark, folder):
+    """Names in no list. Every document gets a sentence with a name: a listed first name, or one
+    made of a nation's, which no list holds. All are to be found, and nothing else."""
+    docs = _docs(spark, folder)
+    nations = table(spark, folder, "nation").select(F.collect_list(F.struct("n_nationkey", "n_name")).alias("l"))
+    nations = nations.select(F.transform(F.array_sort("l"), lambda x: F.initcap(F.translate(F.lower(x["n_name"]), "_0123456789", "zabcdefghij"))).alias("l")).scalar()
+    first = F.array(*[F.lit(n) for n in lexicon.FIRST_NAMES])
+    name = F.when(F.col("doc_id") % 2 == 0, F.get(first, (F.col("doc_id") % len(lexicon.FIRST_NAMES)).cast("int")))
+    name = name.otherwise(F.get(nations, (F.col("doc_id") % F.size(nations)).cast("int")))
+    texts = [F.format_string(p.replace("{}", "%s"), name) for p in PLANTED]
+    sentence = F.get(F.array(*texts), F.pmod(F.floor(F.col("doc_id") / 2), F.lit(len(PLANTED))).cast("int"))
+    planted = docs.select("doc_id", F.concat_ws("\n", "text", sentence).alias("text"))
+    rules = learn_names(planted, "text", folder_for(spark, "names"))
+    return mask_learned(planted, "text", rules)
+
+
 # ------------------------------------------------------------- preparation
 
 def _labelled(spark, folder):
@@ -555,6 +576,7 @@ QUERIES = {
     "mask_pii": mask_pii_texts,
     "mask_after_normalize": mask_after_normalize,
     "mask_names": mask_names,
+    "names_learned": names_learned,
     "pii_summary": pii_summary,
     "clean_comments": clean_comments,
     "cleaning_counts": cleaning_counts,
