@@ -1,5 +1,6 @@
 """Audit pages and reports."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from decorum import lexicon
@@ -8,10 +9,28 @@ from decorum.plans.normalize import STEPS, normalize_steps
 
 
 def recent_audit(df, n=lexicon.RECENT_ROWS):
-    """L1: the newest ``n`` rows, ties by id."""
+    """L1: the newest ``n`` rows, ties by id; rows without a time come last. ``newest_days`` spares
+    the older days of a stored log."""
     if n < 0:
         raise ValueError("n must not be negative")
-    return df.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
+    return df.orderBy(F.desc_nulls_last("timestamp"), F.desc("id")).limit(n)
+
+
+def newest_days(log, n=lexicon.RECENT_ROWS, days=None):
+    """L1: the days of ``log`` that hold its newest ``n`` rows; older days' files are not read.
+
+    ``days`` has the rows (n) by log_date, such as ``read_summary``; without it they are counted, which
+    reads no column of the log. Rows without a time belong to no day and come after all others.
+    """
+    if days is None:
+        days = log.groupBy("log_date").agg(F.count("*").alias("n"))
+    # A row a day: few enough for one task.
+    per_day = days.groupBy("log_date").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.desc_nulls_last("log_date"))) - F.col("n")
+    wanted = per_day.withColumn("before", before).filter(F.col("before") < n)
+    oldest = wanted.agg(F.min("log_date").alias("day"), F.bool_or(F.col("log_date").isNull()).alias("timeless"))
+    has_timeless = oldest.select(F.coalesce("timeless", F.lit(False))).scalar()
+    return log.filter((F.col("log_date") >= oldest.select("day").scalar()) | (F.col("log_date").isNull() & has_timeless))
 
 
 def iso_time(col):

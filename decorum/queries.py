@@ -462,6 +462,32 @@ def audit_recent(spark, folder):
     return rounded(reports.recent_audit(_audit(spark, folder)))
 
 
+def _audit_log(spark, folder, batches=3):
+    """A written audit log of several batches, the last of which is written twice, and the batches' sums."""
+    path = folder_for(spark, "audit-log")
+    kept = f"{path}/scored"
+    predict(_arrivals(spark, folder), id_col="event_id", order_col="ts")[0].write.parquet(kept)
+    scored = spark.read.parquet(kept)
+    for batch in [*range(batches), batches - 1]:
+        mine = scored.filter(F.pmod(F.xxhash64("event_id"), F.lit(batches)) == batch)
+        audit.append_audit(mine, f"{path}/log", batch, F.col("ts"), F.col("event_id"), summary=f"{path}/sums")
+    return path
+
+
+def audit_newest(spark, folder):
+    """L1 over a stored log: the newest rows, from the newest days only."""
+    path = _audit_log(spark, folder)
+    days = audit.read_summary(spark, f"{path}/sums")
+    log = audit.read_audit(spark, f"{path}/log").drop("batch_id")
+    return rounded(reports.recent_audit(reports.newest_days(log, days=days)))
+
+
+def risk_summary_kept(spark, folder):
+    """A8, kept up batch by batch."""
+    kept = audit.read_summary(spark, f"{_audit_log(spark, folder)}/sums")
+    return rounded(kept, ["avg_ml", "avg_llm", "avg_hybrid"])
+
+
 def audit_view(spark, folder):
     return rounded(reports.audit_view(_audit(spark, folder)))
 
@@ -512,17 +538,18 @@ def _finish(writer):
     query.awaitTermination()
 
 
-def _answers(spark, folder):
+def _answers(spark, folder, **how):
     base = folder_for(spark, "answers")
     _finish(stream.answer_stream(
         _arrival_stream(spark, folder), f"{base}/results", f"{base}/answers", f"{base}/state",
-        id_col="event_id",
+        id_col="event_id", **{k: f"{base}/{v}" for k, v in how.items()},
     ))
-    return spark.read.parquet(f"{base}/answers")
+    return base
 
 
 def stream_scored(spark, folder):
-    return rounded(_answers(spark, folder)).select("event_id", "masked_comment", "hybrid_score", "risk_level")
+    answers = spark.read.parquet(f"{_answers(spark, folder)}/answers")
+    return rounded(answers).select("event_id", "masked_comment", "hybrid_score", "risk_level")
 
 
 def stream_dedup(spark, folder):
@@ -533,26 +560,18 @@ def stream_dedup(spark, folder):
 
 
 def stream_misses(spark, folder):
-    hits = stream.stream_hits(_answers(spark, folder).withColumnRenamed("event_id", "id"))
-    return hits.select(_utc_text("window_start"), "arrivals", "misses", "hits")
+    answers = spark.read.parquet(f"{_answers(spark, folder)}/answers")
+    return stream.stream_hits(answers, id_col="event_id").select(_utc_text("window_start"), "arrivals", "misses", "hits")
 
 
 def stream_risk_windows(spark, folder):
-    base = folder_for(spark, "windows")
-    # One input file arrives as one piece: deal its comments out before scoring.
-    arrivals = _arrival_stream(spark, folder).repartition(spark.sparkContext.defaultParallelism)
-    counts = stream.stream_stats(stream.score_stream(arrivals))
-    _finish(stream.write_updates(counts, f"{base}/counts", f"{base}/state"))
-    newest = stream.latest(spark.read.parquet(f"{base}/counts"), ["window_start", "risk_level"])
-    return newest.select(_utc_text("window_start"), "risk_level", "n")
+    base = _answers(spark, folder, counts="counts")
+    return stream.window_counts(spark, f"{base}/counts").select(
+        _utc_text("window_start"), "risk_level", F.col("arrivals").alias("n"))
 
 
 def stream_audit(spark, folder):
-    base = folder_for(spark, "stream-audit")
-    _finish(stream.answer_stream(
-        _arrival_stream(spark, folder), f"{base}/results", f"{base}/answers", f"{base}/state",
-        id_col="event_id", audit=f"{base}/log",
-    ))
+    base = _answers(spark, folder, audit="log")
     return audit.read_audit(spark, f"{base}/log").groupBy("risk_level").agg(F.count("*").alias("n"))
 
 
@@ -619,6 +638,8 @@ QUERIES = {
     "audit_display": audit_display,
     "risk_summary": risk_summary,
     "risk_rollup": risk_rollup,
+    "audit_newest": audit_newest,
+    "risk_summary_kept": risk_summary_kept,
     "audit_written": audit_written,
     "stream_scored": stream_scored,
     "stream_dedup": stream_dedup,

@@ -64,12 +64,36 @@ def audit_rows(predictions, at=None, row_id=None):
     )
 
 
-def append_audit(predictions, path, batch_id=None, at=None, row_id=None, files_per_day=1):
-    """Append the computed predictions as one batch, ``files_per_day`` files for each day."""
+def append_audit(predictions, path, batch_id=None, at=None, row_id=None, files_per_day=1, summary=None):
+    """Append the computed predictions as one batch, ``files_per_day`` files for each day. With
+    ``summary`` the batch's sums are written there: see ``summarize``."""
     batch = batch_id if batch_id is not None else f"run-{uuid.uuid4().hex}"
     rows = audit_rows(predictions, at, row_id)
     rows = rows.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
     rows.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch_id={batch}")
+    if summary:
+        summarize(predictions.sparkSession, path, summary, batch)
+
+
+SUMMED = {"avg_ml": "ml_score", "avg_llm": "llm_confidence", "avg_hybrid": "hybrid_score"}
+
+
+def summarize(spark, path, summary, batch):
+    """The sums and counts of one batch by day, risk and policy, from its own folder only. They replace
+    those of an earlier try."""
+    rows = spark.read.schema(audit_schema()).option("basePath", f"{path}/batch_id={batch}").parquet(f"{path}/batch_id={batch}")
+    sums = rows.groupBy("log_date", "risk_level", "policy_violation").agg(
+        F.count("*").alias("n"),
+        *[x for name, c in SUMMED.items() for x in (F.sum(c).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n"))])
+    sums.write.mode("overwrite").parquet(f"{summary}/batch_id={batch}")
+
+
+def read_summary(spark, summary):
+    """Rows and mean scores by day, risk and policy, as ``risk_summary`` gives them from the
+    whole log; only the batches' sums are read."""
+    sums = spark.read.parquet(summary)
+    return sums.groupBy("log_date", "risk_level", "policy_violation").agg(
+        F.sum("n").alias("n"), *[(F.sum(f"{name}_sum") / F.sum(f"{name}_n")).alias(name) for name in SUMMED])
 
 
 def read_audit(spark, path):

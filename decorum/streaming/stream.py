@@ -7,8 +7,9 @@ from pyspark.storagelevel import StorageLevel
 from decorum.operators.cleaning import split_valid
 from decorum.operators.reuse import distinct_texts, join_unique, successes, text_key, with_key
 from decorum.plans.predict import score_texts
-from decorum.sources.audit import append_audit
 from decorum.session import utc_timestamp
+from decorum.sources.audit import append_audit
+from decorum.sources.results import Results
 
 
 def with_event_time(sdf, col="ts"):
@@ -24,38 +25,24 @@ def score_stream(sdf, col="text", **scoring):
 
 
 def first_sightings(sdf, seen, checkpoint, col="text", id_col="id", ts="ts"):
-    """R2: write the first sighting of each text to the table ``seen``, however late it
-    arrives. Of the arrivals of one micro-batch the earliest counts.
-
-    ``seen`` has one folder per micro-batch, which a replay replaces, cut by the first
-    digit of the key; only the keys are read again.
-    """
-    schema = sdf.select(id_col, ts).schema.add("text_key", "string")
+    """R2: write the first sighting of each text to the table ``seen`` (see ``Results``), however late it
+    arrives. Of the arrivals of one micro-batch the earliest counts."""
+    schema = T.StructType([*sdf.select(id_col, ts).schema.fields, T.StructField("text_key", T.StringType())])
 
     def keep(batch, batch_id):
+        table = Results(batch.sparkSession, seen, schema)
         ok = with_key(split_valid(batch, col)[0], col).drop(col)
         row = F.struct(F.col(ts), F.col(id_col))
         firsts = ok.groupBy("text_key").agg(F.min(row).alias("_row")).select("text_key", "_row.*")
-        known = earlier(batch.sparkSession, seen, schema, batch_id).select("text_key")
-        write_batch(firsts.join(known, "text_key", "left_anti"), seen, batch_id)
+        firsts = firsts.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            table.add(firsts.join(table.of(firsts).select("text_key"), "text_key", "left_anti"), batch_id)
+        finally:
+            firsts.unpersist()
 
     return sdf.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-def earlier(spark, path, schema, batch_id):
-    """Rows that earlier micro-batches wrote with ``write_batch``."""
-    whole = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType()), T.StructField("digit", T.StringType())])
-    none = spark.createDataFrame([], whole).drop("batch_id", "digit")
-    none.write.mode("ignore").parquet(f"{path}/batch_id=-1/digit=-")
-    return spark.read.schema(whole).parquet(path).filter(F.col("batch_id") < batch_id)
-
-
-def write_batch(df, path, batch_id):
-    """One folder per micro-batch, cut by the first digit of the key."""
-    df.withColumn("digit", F.substring("text_key", 1, 1)).repartition("digit").write.mode("overwrite").partitionBy(
-        "digit").parquet(f"{path}/batch_id={batch_id}")
-
-
 def dedup_stream(sdf, ts="ts", col="text", keep_for="1 day"):
     """R2, bounded variant: the first sighting of each text within ``keep_for`` of event
     time, which bounds the state; only hashes are kept. Rows that arrive later than
@@ -64,18 +51,17 @@ def dedup_stream(sdf, ts="ts", col="text", keep_for="1 day"):
     return keyed.withWatermark(ts, keep_for).dropDuplicatesWithinWatermark(["text_key"])
 
 
-def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", audit=None, at=None, **scoring):
+def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", audit=None, at=None, counts=None,
+                  ts="ts", window="1 hour", **scoring):
     """R2: answer every comment, scoring only texts never scored before.
 
-    Results live in the table ``results`` (one row per text), answers in ``answers``.
-    Both get one folder per micro-batch, which a replay replaces: a batch reads only
-    results of earlier batches. A text that failed is answered with its error, but is no
+    Results live in the table ``results`` (see ``Results``), of which a batch reads the rows of its own
+    keys. Answers get one folder per micro-batch in ``answers``, which a replay replaces; they carry
+    ``scored_in``, the batch that scored the text. A text that failed is answered with its error, but is no
     result: it is scored again when it comes again.
 
-    Of ``results`` a batch first reads the keys, and only in the folders of the digits its
-    own keys begin with; the wide columns are read for its own keys. ``answers`` carry
-    ``scored_in``, the batch that scored the text. With ``audit`` the newly scored texts are
-    also appended to that audit table (``at``: see ``audit_rows``).
+    With ``audit`` the newly scored texts are also appended to that audit table (``at``: see ``audit_rows``).
+    With ``counts`` the batch's share of the counts by time ``window`` of ``ts`` and risk level is written there: see ``window_counts``.
     """
     spark = sdf.sparkSession
 
@@ -85,36 +71,40 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
     schema = scorer(spark.createDataFrame([], f"text_key string, {col} string")).schema
 
     def answer(batch, batch_id):
+        spark = batch.sparkSession
+        table = Results(spark, results, schema)
         ok = with_key(split_valid(batch, col)[0], col).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             texts = distinct_texts(ok, col)
-            # At most sixteen values.
-            digits = [r.d for r in texts.select(F.substring("text_key", 1, 1).alias("d")).distinct().collect()]
-            stored = earlier(batch.sparkSession, results, schema, batch_id).filter(F.col("digit").isin(digits))
-            fresh = scorer(texts.join(stored.select("text_key"), "text_key", "left_anti"))
-            fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                write_batch(successes(fresh), results, batch_id)
-                if audit:
-                    append_audit(fresh, audit, batch_id, at)
-                known = stored.join(texts.select("text_key"), "text_key", "left_semi").drop("digit")
-                new = fresh.withColumn("batch_id", F.lit(batch_id).cast("long"))
-                both = known.unionByName(new.select(known.columns)).withColumnRenamed("batch_id", "scored_in")
-                answered = join_unique(ok.drop(col), both, "text_key", F.col(id_col))
-                answered.write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
-            finally:
-                fresh.unpersist()
+            new = texts.join(table.of(texts).select("text_key"), "text_key", "left_anti")
+            # Written, so that what is stored of it does not change it.
+            scored = f"{results}-scored/batch_id={batch_id}"
+            scorer(new).write.mode("overwrite").parquet(scored)
+            fresh = spark.read.schema(schema).parquet(scored)
+            table.add(successes(fresh), batch_id)
+            stored = table.of(texts)
+            if audit:
+                append_audit(stored.filter(F.col("scored_in") == batch_id), audit, batch_id, at)
+            failed = fresh.filter(F.col("error").isNotNull()).withColumn("scored_in", F.lit(batch_id).cast("long"))
+            answered = join_unique(ok.drop(col), stored.unionByName(failed), "text_key", F.col(id_col))
+            answered.write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
+            if counts:
+                mine = spark.read.parquet(f"{answers}/batch_id={batch_id}").withColumn("batch_id", F.lit(batch_id).cast("long"))
+                share = stream_hits(mine, ts, window, id_col, ["risk_level"])
+                share.write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
         finally:
             ok.unpersist()
 
     return sdf.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
 
 
-def compact(spark, source, target):
-    """Rewrite a table of many micro-batch folders as one folder, for a stream that starts
-    again on ``target``. Later batches have higher numbers than the one folder's."""
-    table = spark.read.parquet(source)
-    table.drop("batch_id").repartition("digit").write.partitionBy("digit").parquet(f"{target}/batch_id=-1")
+def window_counts(spark, counts, by=("window_start", "risk_level")):
+    """Arrivals, misses and hits by time window and risk level, from the shares of all batches.
+
+    A share is replaced when its batch is run again. A late row adds to its window whenever it
+    comes; no answer is read twice."""
+    shares = spark.read.parquet(counts)
+    return shares.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("arrivals", "misses", "hits")])
 
 
 def audit_stream(scored, path, checkpoint, at=None):
@@ -126,50 +116,15 @@ def audit_stream(scored, path, checkpoint, at=None):
     )
 
 
-def stream_hits(answers, ts="ts", window="1 hour"):
+def stream_hits(answers, ts="ts", window="1 hour", id_col="id", by=()):
     """Per time window of the answers of ``answer_stream`` the arrivals, the misses (the
-    first arrival of a text in the batch that scored it) and the hits (all others)."""
+    first arrival of a text in the batch that scored it) and the hits (all others). A text's misses are of
+    one batch, so the counts of batches add up."""
     answers = with_event_time(answers, ts)
-    arrival = F.struct(F.col(ts), F.col("id"))
+    arrival = F.struct(F.col(ts), F.col(id_col))
     first = answers.filter(F.col("batch_id") == F.col("scored_in")).groupBy("text_key").agg(F.min(arrival).alias("_first"))
-    marked = join_unique(answers, first, "text_key", F.col("id"), how="left")
+    marked = join_unique(answers, first, "text_key", F.col(id_col), how="left")
     miss = F.coalesce((F.col("_first") == arrival) & (F.col("batch_id") == F.col("scored_in")), F.lit(False))
-    return marked.groupBy(F.window(ts, window)).agg(
+    return marked.groupBy(F.window(ts, window), *by).agg(
         F.count("*").alias("arrivals"), F.count_if(miss).alias("misses"), F.count_if(~miss).alias("hits")
-    ).select(F.col("window.start").alias("window_start"), "arrivals", "misses", "hits")
-
-
-def stream_stats(scored, ts="ts", window="1 hour", late="1 hour"):
-    """Comments per time window and risk level; rows later than ``late`` are
-    dropped. ``scored`` is the output of ``score_stream``."""
-    timed = with_event_time(scored, ts).withWatermark(ts, late)
-    return timed.groupBy(F.window(ts, window), "risk_level").agg(F.count("*").alias("n")).select(
-        F.col("window.start").alias("window_start"), "risk_level", "n"
-    )
-
-
-def stream_misses(sdf, ts="ts", window="1 hour", keep_for="1 day", col="text"):
-    """First sightings per time window (cache misses; all other arrivals hit)."""
-    firsts = dedup_stream(sdf, ts, col, keep_for)
-    return firsts.groupBy(F.window(ts, window)).agg(F.count("*").alias("misses")).select(
-        F.col("window.start").alias("window_start"), "misses"
-    )
-
-
-def write_updates(sdf, path, checkpoint):
-    """Keep every version of an aggregate's rows, one folder per micro-batch."""
-
-    def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return (
-        sdf.writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-    )
-
-
-def latest(df, keys):
-    """The newest version of each row written by ``write_updates``."""
-    rest = [c for c in df.columns if c not in (*keys, "batch_id")]
-    newest = F.max(F.struct("batch_id", *rest)).alias("row")
-    return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"row.{c}").alias(c) for c in rest])
+    ).select(F.col("window.start").alias("window_start"), *by, "arrivals", "misses", "hits")

@@ -14,6 +14,8 @@ from decorum.plans.predict import PREDICTION, predict, predict_rows
 from decorum.session import shared_folder, utc_timestamp
 from decorum.sources import audit
 from decorum.sources.comments import read_comment_stream
+from decorum.operators import reports
+from decorum.sources.results import compact
 from decorum.streaming import stream
 
 
@@ -200,7 +202,7 @@ def test_a_failed_text_is_scored_again(spark, comments, feed, tmp_path):
     assert audit.read_audit(spark, f"{base}/log").count() == 4
     # The same feed with a scorer that works answers the text that failed, and only that one is scored.
     run(stream.answer_stream(feed, f"{base}/results", f"{base}/answers2", f"{base}/state2"))
-    stream.compact(spark, f"{base}/results", f"{base}/results2")
+    compact(spark, f"{base}/results", f"{base}/results2")
     assert spark.read.parquet(f"{base}/results2").select("text_key").distinct().count() == 5
 
 
@@ -232,13 +234,11 @@ def test_stream_audit_logs_first_sightings(spark, feed, tmp_path):
     assert audit.read_audit(spark, str(tmp_path / "log")).count() == 5
 
 
-def test_stream_windows_and_late_rows(spark, tmp_path):
-    at = dt.datetime(2024, 1, 1)
+def test_late_rows_count_in_their_windows(spark, tmp_path):
+    at = dt.datetime(2024, 1, 10)
     batches = [[(1, "You are an idiot", at), (2, "fine", at + dt.timedelta(minutes=59))],
-               [(3, "fine", at + dt.timedelta(hours=5))],
-               [(4, "fine", at + dt.timedelta(hours=5, minutes=1))],
-               # A batch drops rows by the watermark known before the batch ahead of it.
-               [(5, "far too late", at), (6, "fine", at + dt.timedelta(hours=5, minutes=2))]]
+               [(3, "fine", at + dt.timedelta(hours=5)), (4, "fine", at + dt.timedelta(days=3))],
+               [(5, "days too late", at), (6, "fine", at - dt.timedelta(days=5)), (7, "days too late", at - dt.timedelta(hours=1))]]
     folder = tmp_path / "in"
     folder.mkdir()
     for n, rows in enumerate(batches):
@@ -247,15 +247,78 @@ def test_stream_windows_and_late_rows(spark, tmp_path):
         (data,) = part.glob("*.parquet")
         place(data, folder, n)
     feed = read_comment_stream(spark, str(folder), "id long, text string, ts timestamp_ntz", files_per_batch=1)
-    counts = stream.stream_stats(stream.score_stream(feed))
-    run(stream.write_updates(counts, str(tmp_path / "out"), str(tmp_path / "state")))
-    newest = stream.latest(spark.read.parquet(str(tmp_path / "out")), ["window_start", "risk_level"])
-    got = {(r.window_start.hour, r.risk_level): r.n for r in newest.collect()}
-    assert got == {(0, "MEDIUM"): 1, (0, "LOW"): 1, (5, "LOW"): 3}
-    misses = stream.stream_misses(feed)
-    run(stream.write_updates(misses, str(tmp_path / "out2"), str(tmp_path / "state2")))
-    seen = stream.latest(spark.read.parquet(str(tmp_path / "out2")), ["window_start"])
-    assert {r.window_start.hour: r.misses for r in seen.collect()}[0] == 3
+    base = str(tmp_path)
+    run(stream.answer_stream(feed, f"{base}/results", f"{base}/answers", f"{base}/state", counts=f"{base}/counts"))
+    got = {(r.window_start.day, r.window_start.hour, r.risk_level): (r.arrivals, r.misses, r.hits)
+           for r in stream.window_counts(spark, f"{base}/counts").collect()}
+    assert got == {(10, 0, "MEDIUM"): (1, 1, 0), (10, 0, "LOW"): (2, 1, 1), (10, 5, "LOW"): (1, 0, 1), (13, 0, "LOW"): (1, 0, 1),
+                   (5, 0, "LOW"): (1, 0, 1), (9, 23, "LOW"): (1, 1, 0)}
+    whole = stream.stream_hits(spark.read.parquet(f"{base}/answers"), by=["risk_level"])
+    assert sorted(map(str, whole.collect())) == sorted(map(str, stream.window_counts(spark, f"{base}/counts").select(whole.columns).collect()))
+    # A batch that is run again, on an empty checkpoint, changes neither results nor counts of its number.
+    again = stream.answer_stream(feed, f"{base}/results", f"{base}/answers", f"{base}/state2", counts=f"{base}/counts")
+    run(again)
+    assert spark.read.parquet(f"{base}/results").count() == 3
+    assert {(r.window_start.day, r.window_start.hour, r.risk_level): (r.arrivals, r.misses, r.hits)
+            for r in stream.window_counts(spark, f"{base}/counts").collect()} == got
+
+
+def test_results_are_looked_up_without_a_shuffle_of_them(spark, tmp_path):
+    from decorum.sources import results
+
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("text_key"), "id")
+    table = results.Results(spark, str(tmp_path / "r"), rows.schema)
+    table.add(rows.filter("id < 3000"), 0)
+    table.add(rows.filter("id >= 3000"), 1)
+    assert table.read().count() == 5000 and table.of(rows.filter("id % 2 = 0")).count() == 2500
+
+    def plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    few = table.of(rows.filter("id IN (7, 4000, 9999)"))
+    assert sorted((r.id, r.scored_in) for r in few.collect()) == [(7, 0), (4000, 1)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        many = plan(table.of(rows.filter("id < 4000")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # One exchange, of the keys.
+    assert many.split("Initial Plan")[0].count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in many
+    compact(spark, str(tmp_path / "r"), str(tmp_path / "r2"))
+    # Few keys read their buckets only: all other files may be unreadable.
+    wanted = {r.b for r in spark.createDataFrame([(7,), (4000,)], "id long").select(
+        F.pmod(F.hash(F.sha2(F.col("id").cast("string"), 256)), F.lit(64)).alias("b")).collect()}
+    for file in (tmp_path / "r").glob("*.parquet"):
+        if int(file.name.split("_")[1][:5]) not in wanted:
+            file.write_bytes(b"junk" * 100)
+            (tmp_path / "r" / f".{file.name}.crc").unlink(missing_ok=True)
+    assert sorted(r.id for r in table.of(rows.filter("id IN (7, 4000)")).collect()) == [7, 4000]
+    assert len(list((tmp_path / "r2").glob("*.parquet"))) <= 64
+    assert results.Results(spark, str(tmp_path / "r2"), rows.schema).read().count() == 5000
+
+
+def test_newest_rows_read_the_newest_days_only(spark, tmp_path):
+    path, sums = str(tmp_path / "log"), str(tmp_path / "sums")
+    rows = spark.range(600).select(
+        F.concat(F.lit("t"), "id").alias("comment"), F.lit("m").alias("masked_comment"), F.lit(0.1).alias("ml_score"),
+        F.when(F.col("id") % 3 > 0, F.col("id") / 600).alias("llm_confidence"), F.lit(0.3).alias("hybrid_score"), F.lit("LOW").alias("risk_level"),
+        F.when(F.col("id") % 50 > 0, F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, cast(id as int))")).alias("ts"), "id")
+    for batch in (0, 1, 1):
+        audit.append_audit(rows.filter(F.col("id") % 2 == batch), path, batch, F.col("ts"), F.col("id"), summary=sums)
+    log = audit.read_audit(spark, path)
+    want = reports.risk_summary(log)
+    got = audit.read_summary(spark, sums).select(want.columns)
+    show = lambda df: sorted(str([x if not isinstance(x, float) else round(x, 9) for x in r]) for r in df.collect())
+    assert show(got) == show(want)
+    for n in (0, 1, 20, 50, 588, 589, 600, 700):
+        for days in (None, audit.read_summary(spark, sums)):
+            some = reports.recent_audit(reports.newest_days(log, n, days), n)
+            assert [r.id for r in some.collect()] == [r.id for r in reports.recent_audit(log, n).collect()]
+    newest = reports.newest_days(log, 50, got)
+    assert newest.select(F.input_file_name()).distinct().count() <= 6
+    assert "PartitionFilters: [(" in newest._jdf.queryExecution().executedPlan().toString() or "log_date" in newest._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
 
 
 class Unset:
