@@ -383,6 +383,9 @@ def statements():
             {band('CASE WHEN n % 7 <> 0 THEN ml_score * 0.3::DOUBLE + (n % 100) / 100.0::DOUBLE * 0.7::DOUBLE END')} AS risk_level FROM e""",
         "csv_round_trip": f"""SELECT toxic::VARCHAR AS toxic, count(*) AS n, sum(length(comment_text))::BIGINT AS chars,
             sum(('0x' || substr(md5(comment_text), 1, 8))::BIGINT)::BIGINT AS "check" FROM {LABELLED} GROUP BY 1""",
+        "csv_rejects": """SELECT CASE WHEN doc_id % 10 = 3 THEN 'surplus fields' WHEN doc_id % 10 = 6 THEN 'missing fields' ELSE 'read' END AS kind,
+            count(*) AS n, sum(length(regexp_replace(text, '["\n]', ' ', 'g'))
+                + CASE WHEN doc_id % 10 = 3 THEN 10 WHEN doc_id % 10 = 6 THEN 2 ELSE 0 END)::BIGINT AS chars FROM documents GROUP BY 1""",
         "written_set": f"""SELECT toxic, count(*) AS n,
             sum(length(lower(regexp_replace(comment_text, {STRIP}))))::BIGINT AS chars FROM {LABELLED}
             WHERE NOT {missing('comment_text')} AND regexp_replace(comment_text, {STRIP}) <> '' GROUP BY 1""",

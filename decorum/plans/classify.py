@@ -8,6 +8,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -82,6 +83,25 @@ def ml_score(df, model, col="text", out="ml_score", pred=None):
     return scored.select(*keep, *added)
 
 
+def steepest(df, model):
+    """The largest entry of the training objective's gradient on (text, label), the penalty and the
+    intercept included: nothing at the minimum. One distributed sum of vectors."""
+    lr = model.stages[-1]
+    weight = class_weights(df.select("label")).select("label", "weight")
+    # Two rows.
+    by_label = {r.label: r.weight for r in weight.collect()}
+    rows = model.transform(df.select("text", "label"))
+    miss = vector_to_array("probability")[1] - F.col("label")
+    w = F.when(F.col("label") == 1, by_label.get(1, 1.0)).otherwise(by_label.get(0, 1.0))
+    rows = rows.select("features", (miss * w).alias("miss"), w.alias("w"))
+    # A sum of vectors takes weights of one sign.
+    sums = rows.agg(Summarizer.sum(F.col("features"), F.greatest("miss", F.lit(0.0))).alias("over"),
+                    Summarizer.sum(F.col("features"), F.greatest(-F.col("miss"), F.lit(0.0))).alias("under"),
+                    F.sum("miss").alias("miss"), F.sum("w").alias("w")).first()
+    slope = (sums.over.toArray() - sums.under.toArray()) / sums.w + lr.getRegParam() * lr.coefficients.toArray()
+    return float(max(abs(slope).max(initial=0.0), abs(sums.miss / sums.w)))
+
+
 def evaluate(df, model):
     """(label, pred) pairs for the metrics."""
     return ml_score(df, model, pred="pred").select("label", "pred")

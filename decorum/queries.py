@@ -20,7 +20,7 @@ from decorum.plans.normalize import normalize
 from decorum.plans.predict import PREDICTION, blend, predict, score_texts
 from decorum.session import shared_folder, spread
 from decorum.sources import audit
-from decorum.sources.comments import comment_schema, read_comment_stream, read_comments, write_dataset
+from decorum.sources.comments import comment_schema, read_checked, read_comment_stream, read_comments, write_dataset
 from decorum.streaming import stream
 
 SCORES = ["ml_score", "llm_confidence", "hybrid_score"]
@@ -261,11 +261,15 @@ def lr_predictions(spark, folder):
     return classify.ml_score(val, model, pred="pred").select("doc_id", "label", "ml_score", "pred")
 
 
+#: The optimizer stops at about this slope; it begins at some hundredths.
+STEEPEST = 2e-4
+
+
 def lr_checks(spark, folder):
     """What must hold of the classifier on any data: rows on either side, and that scores
-    are probabilities, decisions follow from them, the fit is a minimum (the mean weighted
-    residual of the training rows is nothing, since the intercept is not penalized), and a
-    stored model scores alike."""
+    are probabilities, decisions follow from them, the fit is a minimum (no entry of the
+    gradient, over all coefficients and the intercept, is larger than ``STEEPEST``), and a
+    stored model scores alike. DuckDB computes the rows only; the rest must be true."""
     rows = cleaning.prepare(_labelled(spark, folder)).select(
         "doc_id", F.col("comment_text").alias("text"), F.col("toxic").alias("label"))
     train, val = sampling.train_val_split(rows)
@@ -280,11 +284,9 @@ def lr_checks(spark, folder):
         F.bool_and((F.col("ml_score") > 0) & (F.col("ml_score") < 1)).alias("probabilities"),
         F.bool_and((F.col("pred") == 1) == (F.col("ml_score") > 0.5)).alias("decided"),
         F.bool_and(F.abs(F.col("ml_score") - F.col("stored")) < 1e-9).alias("stored_alike"))
-    fitted = classify.ml_score(train, model)
-    side = fitted.agg(F.count("*").alias("n_train"), F.avg(F.when(F.col("label") == 1, 1 - F.col("ml_score"))).alias("up"),
-                      F.avg(F.when(F.col("label") == 0, F.col("ml_score"))).alias("down"))
-    side = side.select(F.struct("n_train", (F.abs(F.col("up") - F.col("down")) < 1e-3).alias("minimum"))).scalar()
-    return held.select("*", side["n_train"].alias("n_train"), side["minimum"].alias("minimum"))
+    minimum = classify.steepest(train, model) < STEEPEST
+    n_train = train.agg(F.count("*")).scalar()
+    return held.select("*", n_train.alias("n_train"), F.lit(minimum).alias("minimum"))
 
 
 def model_predictions(spark, folder):
@@ -346,6 +348,22 @@ def csv_round_trip(spark, folder):
         F.sum(F.conv(F.substring(F.md5("comment_text"), 1, 8), 16, 10).cast("long")).alias("check"))
 
 
+def csv_rejects(spark, folder):
+    """Lines that are no comments. Of a well-formed file's rows, some get a surplus field, some
+    lose one; what is read and what is rejected are all rows."""
+    path = f"{folder_for(spark, 'csv-rejects')}/comments"
+    quoted = F.concat(F.lit('"'), F.regexp_replace("text", '["\n]', " "), F.lit('"'))
+    line = F.when(F.col("doc_id") % 10 == 3, F.concat_ws(",", quoted, F.lit("0"), F.lit("extra"))) \
+        .when(F.col("doc_id") % 10 == 6, quoted).otherwise(F.concat_ws(",", quoted, (F.col("doc_id") % 2).cast("string")))
+    lines = table(spark, folder, "documents").select(line.alias("value"))
+    head = spark.range(1).select(F.lit("comment_text,toxic").alias("value"))
+    head.unionByName(lines).coalesce(1).write.text(path)
+    good, bad = read_checked(spark, path, comment_schema(labels=False))
+    kinds = good.select(F.lit("read").alias("kind"), "comment_text").unionByName(
+        bad.select(F.col("reason").alias("kind"), F.col("line").alias("comment_text")))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("comment_text")).alias("chars"))
+
+
 def written_set(spark, folder):
     path = f"{folder_for(spark, 'cleaned')}/set"
     write_dataset(cleaning.prepare(_labelled(spark, folder)), path)
@@ -620,6 +638,7 @@ QUERIES = {
     "model_predictions": model_predictions,
     "scorer_errors": scorer_errors,
     "csv_round_trip": csv_round_trip,
+    "csv_rejects": csv_rejects,
     "written_set": written_set,
     "write_times": write_times,
     "mask_strict": mask_strict,

@@ -299,6 +299,33 @@ def test_results_are_looked_up_without_a_shuffle_of_them(spark, tmp_path):
     assert results.Results(spark, str(tmp_path / "r2"), rows.schema).read().count() == 5000
 
 
+def test_no_csv_record_is_lost(spark, tmp_path):
+    from decorum.sources.comments import comment_schema, read_checked
+
+    (tmp_path / "in.csv").write_text('comment_text,toxic\n"fine, ""quoted"" text",1\nplain,0\n"two\nlines",1\n'
+                                     'too,1,many\n"also, too",1,many,"x,y"\nfew\n,\n"never closed,0\nlast,1\n')
+    good, bad = read_checked(spark, str(tmp_path / "in.csv"), comment_schema(labels=False))
+    assert {(r.comment_text, r.toxic) for r in good.collect()} == {('fine, "quoted" text', "1"), ("plain", "0"), ("two\nlines", "1"), (None, None)}
+    got = {(r.line.strip(), r.reason) for r in bad.collect()}
+    assert got == {("too,1,many", "surplus fields"), ('"also, too",1,many,"x,y"', "surplus fields"), ("few", "missing fields"),
+                   ('"never closed,0\nlast,1', "unclosed quote")}
+    lines, broken = read_checked(spark, str(tmp_path / "in.csv"), comment_schema(labels=False), multiline=False)
+    assert ("last", "1") in {(r.comment_text, r.toxic) for r in lines.collect()}
+    assert '"never closed,0' in {r.line for r in broken.collect() if r.reason == "unclosed quote"}
+    numbers = comment_schema(labels=False)
+    numbers["toxic"].dataType = __import__("pyspark").sql.types.IntegerType()
+    (tmp_path / "n.csv").write_text("comment_text,toxic\na,1\nb,no\n")
+    good, bad = read_checked(spark, str(tmp_path / "n.csv"), numbers)
+    assert [(r.comment_text, r.toxic) for r in good.collect()] == [("a", 1)] and [tuple(r) for r in bad.collect()] == [("b,no", "other type")]
+
+
+def test_the_slope_is_that_of_the_objective(spark, corpus):
+    model = classify.train_classifier(corpus, min_df=1)
+    assert classify.steepest(corpus, model) < 1e-4
+    early = classify.train_classifier(corpus, min_df=1, max_iter=1)
+    assert classify.steepest(corpus, early) > 1e-3
+
+
 def test_newest_rows_read_the_newest_days_only(spark, tmp_path):
     path, sums = str(tmp_path / "log"), str(tmp_path / "sums")
     rows = spark.range(600).select(
