@@ -1,14 +1,12 @@
 """The nine rewriting steps that undo spelling tricks, as Column functions.
 
-All but the first step are JVM expressions; the first falls back to Python only
-for rows that hold a character without a simple decomposition.
+All steps are JVM expressions.
 """
 
 import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from decorum import lexicon
@@ -50,14 +48,77 @@ def _decompositions():
     return by_mark, *bodies
 
 
-def _nfkd_udf():
-    # Nested, so that workers get the function itself and need no import of this package.
-    @F.pandas_udf("string")
-    def nfkd_batch(texts: pd.Series) -> pd.Series:
-        import unicodedata
-        return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+def _once(value, body):
+    """``body`` of an expression that it uses more than once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _paged(table):
+    """A function from a code point's Column to its entry in ``table`` (strings by code point; null
+    without one). Two arrays that Spark folds to constants: the page of 64 code points, and the entries."""
+    pages = sorted({code >> 6 for code in table})
+    number = {page: i for i, page in enumerate(pages)}
+    last = pages[-1] + 1
+    index = F.split(F.lit(",".join(str(number.get(p, -1)) for p in range(last))), ",").cast("array<int>")
+    entries = F.split(F.lit("\ufdd0".join(table.get((p << 6) + i, "") for p in pages for i in range(64))), "\ufdd0", -1)
+
+    def entry(code):
+        page = F.get(index, F.shiftright(code, 6))
+        return F.when(page >= 0, F.nullif(F.get(entries, page * 64 + code.bitwiseAND(63)), F.lit("")))
+
+    return entry
+
+
+@lru_cache(maxsize=1)
+def _tables():
+    """(decompositions, combining classes) by code point, from the Unicode tables."""
+    parts, classes = {}, {}
+    for code in (*range(0x80, 0xAC00), *range(0xE000, 0x110000)):
+        char = chr(code)
+        decomposed = unicodedata.normalize("NFKD", char)
+        if decomposed != char:
+            parts[code] = decomposed
+        if unicodedata.combining(char):
+            classes[code] = str(unicodedata.combining(char))
+    return parts, classes
+
 
-    return nfkd_batch
+_CHARS = "(?s)."
+# The letters of Korean syllables: firsts, middles, lasts (none first).
+_KOREAN = [[chr(start + i) for i in range(n)] for start, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27))]
+
+
+def _decompose(col):
+    """NFKD of any text: every character is replaced by its parts, and marks that follow each
+    other are put in the order of their combining classes."""
+    parts, classes = _tables()
+    of_char, class_of = _paged(parts), _paged(classes)
+    firsts, middles, lasts = (F.lit("".join(x)) for x in _KOREAN)
+
+    def one(char):
+        def by_code(code):
+            at = code - 0xAC00
+            syllable = F.concat(
+                F.substring(firsts, (at / 588).cast("int") + 1, F.lit(1)), F.substring(middles, (at % 588 / 28).cast("int") + 1, F.lit(1)),
+                F.when(at % 28 > 0, F.substring(lasts, at % 28, F.lit(1))).otherwise(""))
+            return F.when(code < 0x80, char).when(at.between(0, 11171), syllable).otherwise(F.coalesce(of_char(code), char))
+
+        return _once(F.ascii(char), by_code)
+
+    marks = "".join(rf"\x{{{code:x}}}" for code in classes)
+    run = f"[{marks}]{{2,}}"
+
+    def ordered(marks):
+        placed = F.transform(F.regexp_extract_all(marks, F.lit(_CHARS), 0), lambda c, i: F.struct(
+            class_of(F.ascii(c)).cast("int").alias("class"), i.alias("at"), c.alias("char")))
+        return F.array_join(F.transform(F.array_sort(placed), lambda p: p["char"]), "")
+
+    def reordered(text):
+        runs = F.transform(F.regexp_extract_all(text, F.lit(run), 0), ordered)
+        pieces = F.zip_with(F.split(text, run, -1), runs, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(text.rlike(run), F.array_join(pieces, "")).otherwise(text)
+
+    return _once(F.array_join(F.transform(F.regexp_extract_all(col, F.lit(_CHARS), 0), one), ""), reordered)
 
 
 def nfkd(col):
@@ -66,8 +127,8 @@ def nfkd(col):
     ASCII rows pass through. Rows in which only accented Latin-1 letters decompose (beside any
     quotes, dashes, ideographs, emoji, ...) are decomposed by built-in functions: append
     its mark to each such letter, then drop to the base letters in one ``translate``.
-    Only rows with other changing characters or combining marks hand their text to a
-    Python worker; for all others it receives a null.
+    Only rows with other changing characters or combining marks are taken apart by character, with
+    tables by code point, the arithmetic of Korean syllables and the order of marks.
     """
     by_mark, common, changing = _decompositions()
     pairs = [pair for group in by_mark.values() for pair in group]
@@ -78,12 +139,7 @@ def nfkd(col):
         simple = F.regexp_replace(simple, f"[{letters}]", "$0" + mark)
     simple = F.translate(simple, accented, plain)
     hard = col.rlike(f"{_NON_ASCII}(?<![{accented}{common}])(?<=[{changing}])")
-    decomposed = _nfkd_udf()(F.when(hard, col))
-    return (
-        F.when(~col.rlike(_NON_ASCII), col)
-        .when(decomposed.isNotNull(), decomposed)
-        .otherwise(simple)
-    )
+    return F.when(~col.rlike(_NON_ASCII), col).when(hard, _decompose(col)).otherwise(simple)
 
 
 # ------------------------------------------------------- N2-N5: character steps

@@ -183,6 +183,25 @@ def test_nfkd_of_every_character(spark, apply):
     assert got == [unicodedata.normalize("NFKD", t) for t in texts]
 
 
+def test_nfkd_orders_marks(spark, apply):
+    import unicodedata
+
+    rng = __import__("random").Random(6)
+    marks = [chr(c) for c in range(0x300, 0x30000) if unicodedata.combining(chr(c))]
+    odd = [chr(c) for c in (0xAC00, 0xAC01, 0xD7A3, 0x1E69, 0x0344, 0x1F600, 0x1D160, 0x2FA1D, 0xFB2C, 0x41, 0x20, 0xA, 0xFDFA)]
+    texts = ["".join(rng.choice(odd if rng.random() < 0.4 else marks) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    texts += ["q\u0307\u0323", "é\u0323", "한국어 텍스트", "x" * 50_000 + "ﬁ\u0301\u0323", None, ""]
+    got = apply(T.nfkd, texts)
+    assert got == [t if t is None else unicodedata.normalize("NFKD", t) for t in texts]
+
+
+def test_normalize_runs_no_python(spark):
+    from decorum.plans.normalize import normalize
+
+    plan = normalize(spark.createDataFrame([("wait…",)], "text string"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas"))
+
+
 def test_everyday_characters_stay_on_the_jvm(spark):
     plain = ["“quoted” – dashed", "привет мир", "漢字かな", "emoji 🎉", "naïve café — “oui”"]
     other = ["мой", "한국", "wait…", "e\u0301", "ﬁ", "ﾊﾝ"]
