@@ -298,11 +298,13 @@ def model_predictions(spark, folder):
     train, val = sampling.train_val_split(rows)
     ml = classify.train_classifier(train)
     # The text model reads normalized texts, so it learns from such.
-    text = textmodel.train_text_model(normalize(dealt(train, train)).withColumnRenamed("label", "toxic"), col="normalized")
+    base = folder_for(spark, "predicted")
+    normalize(dealt(train, train), guard=True).select("normalized", F.col("label").alias("toxic")).write.parquet(f"{base}/normalized")
+    text = textmodel.train_text_model(spark.read.parquet(f"{base}/normalized"), col="normalized")
     scored, _ = predict(dealt(rows.drop("label"), rows), id_col="doc_id", ml=ml, scorer=textmodel.text_model_scorer(spark, text))
     sides = train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("val")))
     words = S.lexicon_scorer(F.col("text"))["score"].alias("by_words")
-    path = f"{folder_for(spark, 'predicted')}/rows"
+    path = f"{base}/rows"
     kept = scored.select("doc_id", "error", *SCORES, "is_toxic", "llm_label").join(sides.select("doc_id", "label", "split", words), "doc_id")
     kept.write.parquet(path)
     kept = spark.read.parquet(path)
