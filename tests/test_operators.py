@@ -330,3 +330,30 @@ def test_metrics(spark):
     assert weights == {0: pytest.approx(5 / 6), 1: pytest.approx(5 / 4)}
     never = spark.createDataFrame([(1, 0), (0, 0)], "label int, pred int")
     assert {r["class"]: r.precision for r in metrics.classification_report(never).collect()}["1"] == 0.0
+
+
+@pytest.mark.parametrize("k, min_df, spare, room", [(3, 1, 20, 5), (10, 2, 20, 1 << 20), (10, 3, 0, 40), (200, 1, 20, 20), (1, 1, 20, 1)])
+def test_top_terms_equal_the_plain_count(spark, k, min_df, spare, room, monkeypatch):
+    """Many stretches with different leaders, ties, a hot term, nulls; ``spare=0`` takes the way for too many winners."""
+    rows = [(i, ["hot"] * (i % 3) + [f"t{i * j % 37}" for j in range(i % 11)] + ([None] if i % 5 == 0 else [])) for i in range(300)]
+    df = spark.createDataFrame([*rows, (300, None), (301, [])], "doc_id long, terms array<string>").repartition(7, "doc_id")
+    tf, docs = Counter(), Counter()
+    for _, terms in rows:
+        terms = [t for t in terms if t is not None]
+        tf.update(terms)
+        docs.update(set(terms))
+    want = sorted(((t, n, docs[t]) for t, n in tf.items() if docs[t] >= min_df), key=lambda r: (-r[1], r[0]))[:k]
+    cut = features.local_sums
+    monkeypatch.setattr(features, "local_sums", lambda d, c, n: cut(d, c, n, room))
+    assert [tuple(r) for r in features.top_terms(df, k=k, min_df=min_df, spare=spare).collect()] == want
+    assert features.top_terms(df.limit(0), k=k, min_df=min_df).collect() == []
+
+
+def test_top_terms_send_few_rows(spark):
+    """Only leaders and possible winners are shuffled, not every term there is."""
+    rows = [(i, [f"often{j}" for j in range(20)] + [f"once{i}_{j}" for j in range(50)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(8, "doc_id")
+    local = features.local_sums(df, "terms", 20).collect()
+    assert len(local) == 20_000 + 20 * len({r.node for r in local})
+    assert sum(r.top for r in local) == 20 * len({r.node for r in local})
+    assert {r.term for r in features.top_terms(df, k=20, min_df=2).collect()} == {f"often{j}" for j in range(20)}
