@@ -5,13 +5,16 @@ by its own figures: density of stop words, length and density of links; what
 lies in menus, footers, sidebars, notices, adverts, forms or comments is decided
 by its container. The page itself and its article are no such containers, whatever
 their names; inside them a container that is named in passing only leaves its long
-blocks to their figures. Short and middling blocks stay open. In the second pass an
-open block takes the label of its nearest decided neighbours, those in its own
-section first.
+blocks to their figures. A form around the whole page is none. Short and middling blocks
+stay open. Neighbouring open blocks outside an article, or in a container that is named
+in passing, are judged together, as one block; on pages in a language without known stop
+words by links, length and ends of sentences. In the second pass an open block takes the
+label of its nearest decided neighbours, those in its own section first.
 """
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -32,7 +35,9 @@ section summary table tbody td tfoot th thead tr ul
 """.split())
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas textarea select button title audio video".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BAD_TAGS = frozenset("nav aside footer form menu dialog search fieldset".split())
+BAD_TAGS = frozenset("nav aside footer menu dialog search fieldset".split())
+#: Parts of a page, which a form to fill in has not.
+PARTS = frozenset("article main nav header footer h1".split())
 SECTIONS = frozenset("article main section body aside nav footer".split())
 #: Words in a class, id or role that name a container of anything but the article.
 BAD_NAMES = frozenset("""
@@ -46,6 +51,13 @@ complementary contentinfo dialog
 DISCUSSION = frozenset("""
 related recommended recommendations comment comments commentlist disqus reply replies respond
 """.split())
+#: What may as well be the subject of a part of an article.
+TOPICS = frozenset("social form share sharing menu side search follow register".split())
+#: With these a container of related things is a list of them; "related-work" is none.
+LISTS = frozenset("""
+related recommended recommendations post posts article articles story stories link links content contents news item items
+list video videos product products read reading reads page pages topic topics box wrap wrapper container section widget
+""".split())
 #: Words in a name that tells how a page is laid out, not what a container holds.
 STATES = frozenset("no not with without has open closed enabled disabled".split())
 ROOTS = frozenset("html body main article".split())
@@ -58,6 +70,9 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+#: Scripts that write a word with a sign or two.
+WIDE = re.compile("[\u2e80-\ud7a3\uf900-\ufaff\U00020000-\U0003ffff]")
+SENTENCE = re.compile("[.!?\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4]")
 
 GOOD, BAD, OPEN = 1, 0, None
 #: How sure it is that a container holds something else than the article.
@@ -65,19 +80,28 @@ HINTED, NAMED, SURE = 1, 2, 3
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "section", "inside", "heading")
+    __slots__ = ("text", "linked", "bad", "section", "inside", "heading", "form")
 
     def __init__(self, text, linked, element):
-        self.text, self.linked = text, linked
+        self.text, self.linked, self.form = text, linked, element.form
         self.heading = element.tag in ("h2", "h3", "h4", "h5", "h6")
         self.bad, self.section, self.inside = element.bad, element.section, element.inside
 
 
 class Element:
-    __slots__ = ("tag", "bad", "section", "inside")
+    __slots__ = ("tag", "bad", "section", "inside", "form")
+
+    def __init__(self, tag, bad, section, inside, form):
+        self.tag, self.bad, self.section, self.inside, self.form = tag, bad, section, inside, form
+
+
+class Form:
+    """What stands in a form: characters outside of links and containers with bad names, parts
+    of a page, an article."""
+    __slots__ = ("size", "parts", "article")
 
-    def __init__(self, tag, bad, section, inside):
-        self.tag, self.bad, self.section, self.inside = tag, bad, section, inside
+    def __init__(self):
+        self.size, self.parts, self.article = 0, False, False
 
 
 def names_bad(tag, attributes, inside):
@@ -102,17 +126,25 @@ def names_bad(tag, attributes, inside):
             if not parts or STATES.intersection(parts):
                 continue
             ends = BAD_NAMES.intersection((parts[0], parts[-1]))
-            if ends:
+            if not ends:
+                continue
+            if inside and ends <= TOPICS or ends <= LISTS and not LISTS.issuperset(parts):
+                level = max(level, HINTED)
+            else:
                 level = max(level, SURE if ends & DISCUSSION else NAMED if len(parts) == 1 else HINTED)
     return level
 
 
 def blocks(page):
     """Blocks of a page in order. White space inside a block is one blank, character
-    references are decoded, and unfinished markup at the end is dropped."""
+    references are decoded, and unfinished markup at the end is dropped. A form is no part
+    of the article unless it is around the page: around its article, or around parts of the
+    page and most of its text."""
     out, pieces, linked = [], [], 0
-    stack = [Element("", 0, 0, False)]
-    sections, in_link, at, skip_to = 0, False, 0, None
+    stack = [Element("", 0, 0, False, None)]
+    sections, in_link, at = 0, False, 0
+    # Tags that are open, so that an end without a start does not search the stack.
+    still = Counter()
 
     def add(raw):
         nonlocal linked
@@ -155,25 +187,101 @@ def blocks(page):
         elif tag in BLOCKS:
             close()
             if ending:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        del stack[depth:]
+                while still[tag]:
+                    last = stack.pop().tag
+                    still[last] -= 1
+                    if last == tag:
                         break
             elif tag not in EMPTY and tag != "p":
                 # Paragraphs are often left open, so they are no containers.
                 top = stack[-1]
                 inside = top.inside or tag in ("article", "main")
-                section = top.section
+                section, form = top.section, top.form
+                if form and tag in PARTS:
+                    form.parts = True
+                    form.article = form.article or tag in ("article", "main")
+                if tag == "form" and form is None:
+                    form = Form()
                 # The article inside a container with a bad name is the article.
                 above = 0 if top.bad < SURE and tag in ("article", "main") else top.bad
                 bad = max(above, names_bad(tag, attributes, top.inside))
-                if tag in SECTIONS or bad != top.bad:
+                if tag in SECTIONS or bad != top.bad or form is not top.form:
                     sections += 1
                     section = sections
-                stack.append(Element(tag, bad, section, inside))
+                stack.append(Element(tag, bad, section, inside, form))
+                still[tag] += 1
             if tag != "p" or not ending:
                 in_link = False
     close()
+    total = 0
+    for block in out:
+        if block.bad <= HINTED:
+            total += len(block.text) - block.linked
+            if block.form:
+                block.form.size += len(block.text) - block.linked
+    for block in out:
+        form = block.form
+        if form and not form.article and not (form.parts and 2 * form.size > total):
+            block.bad = SURE
+    return out
+
+
+def stops(text):
+    """(stop words, words) of a text."""
+    found = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in found), len(found)
+
+
+def runs(found, wanted):
+    """Lists of neighbouring blocks with a mark in ``wanted``, by place. Inside an article a
+    run stays in its section."""
+    out = []
+    for i, mark in enumerate(wanted):
+        if mark:
+            joined = out and out[-1][-1] == i - 1 and (not found[i].inside or found[i].section == found[i - 1].section)
+            out[-1].append(i) if joined else out.append([i])
+    return out
+
+
+def judge_runs(found, labels, short=70, long=200, links=0.2, high=0.15):
+    """Labels after neighbouring blocks have been judged together: in containers that are named
+    in passing, and on a page without a good block in an article among all blocks outside of
+    containers with bad names. A run of ``long`` characters that is dense in stop words is
+    good; if none is, the densest one of ``short`` characters. A page that is nowhere dense has
+    a language without known stop words: there blocks that end sentences count by length."""
+    plain = [b.bad <= HINTED and b.linked <= links * len(b.text) for b in found]
+    hinted = [ok and b.inside and b.bad == HINTED for ok, b in zip(plain, found)]
+    alone = not any(label == GOOD and b.inside or b.inside and b.bad == 0 for label, b in zip(labels, found))
+    if not any(hinted) and not alone:
+        return labels
+    counts = [stops(b.text) if ok else (0, 0) for ok, b in zip(plain, found)]
+    known = sum(c[0] for c in counts) >= high * sum(c[1] for c in counts)
+
+    def length(i):
+        return len(found[i].text) + (0 if known else 2 * len(WIDE.findall(found[i].text)))
+
+    def size(run):
+        return sum(length(i) for i in run if known or SENTENCE.search(found[i].text))
+
+    def density(run):
+        return sum(counts[i][0] for i in run) / max(sum(counts[i][1] for i in run), 1)
+
+    out = list(labels)
+    outside = [alone and ok and not b.inside and not b.bad and (not known or label is not BAD) and
+               (len(b.text) >= short or not b.linked) for ok, b, label in zip(plain, found, labels)]
+    for run in runs(found, hinted) + runs(found, outside):
+        if size(run) >= long and (not known or density(run) >= high):
+            # What is short at the ends of a container named in passing stays with its name.
+            full = [i for i in run if length(i) >= short]
+            first = next((i for i in run if i in full[:1] or found[i].heading or not hinted[i]), run[0])
+            last = full[-1] if full and hinted[run[0]] else run[-1]
+            for i in range(first, last + 1):
+                out[i] = GOOD
+    if alone and GOOD not in out:
+        dense = [r for r in runs(found, outside) if size(r) >= short and (not known or density(r) >= high)
+                 and any(SENTENCE.search(found[i].text) for i in r)]
+        for i in max(dense, key=lambda r: (density(r), size(r)), default=()):
+            out[i] = GOOD
     return out
 
 
@@ -188,8 +296,8 @@ def first_pass(block, short=70, long=200, links=0.2, low=0.05, high=0.15):
         return BAD
     if size < short:
         return OPEN if not block.linked or block.inside else BAD
-    found = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in found) / max(len(found), 1)
+    common, all_words = stops(block.text)
+    density = common / max(all_words, 1)
     if density >= high and size >= long:
         return GOOD
     if block.bad:
@@ -239,7 +347,7 @@ def inherit(labels, sections, inside, headings):
 def main_text(page):
     """The article of a page: its good blocks, joined by empty lines."""
     found = blocks(page or "")
-    labels = inherit([first_pass(b) for b in found], [b.section for b in found],
+    labels = inherit(judge_runs(found, [first_pass(b) for b in found]), [b.section for b in found],
                      [b.inside for b in found], [b.heading for b in found])
     return "\n\n".join(b.text for b, label in zip(found, labels) if label)
 

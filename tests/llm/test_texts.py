@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -99,6 +100,58 @@ def test_names_of_containers_still_count(rest):
     assert html_extract.main_text("<article><p>" + LONG + "<div class='newsletter'><p>" + LONG + "</div></article>") == LONG.strip()
 
 
+ENGLISH = "The house was sold to the mayor of the town in the spring and it has been empty since then, as all of the neighbours say."
+ITALIAN = "Il gatto dormiva sopra una vecchia sedia quando arrivarono i ragazzi dalla scuola; nessuno parlava, tutti guardavano fuori."
+JAPANESE = "昨日の午後、町の中心部で大きな祭りが開かれ、多くの人々が集まりました。子供たちは踊り、大人たちは歌を歌いながら楽しんでいました。"
+#: Around the main text, and what is no part of it.
+BODIES = ["{0}", "<div id=content>{0}</div>", "<article>{0}</article>", "<main><div class='long-form'>{0}</div></main>",
+          "<form id=aspnetForm><header><a href=/>Home</a></header><article>{0}</article></form>",
+          "<article><section id='related-work'>{0}</section></article>", "<article><section class=social>{0}</section></article>",
+          "<form method=post><nav><a href=/>Top</a></nav><h1 hidden>x</h1><div>{0}</div></form>", "<div><section>{0}</section></div>"]
+REST = ["<nav><ul><li><a href=/>Home</a><li><a href=/n>News of the day</a></ul></nav>", "<footer><p>{0}</p></footer>", "<div class=ad>{0}</div>",
+        "<aside><p>{0}<p>{0}</aside>", "<section id=comments><p>{0}<p>{0}</section>", "<div class='related-posts'><p>{0}<p>{0}</div>",
+        "<div class=cookie-notice>{0}</div>", "<form><p>{0}</p><input name=q></form>", "<script>'<p>{0}</p>'</script>", "<!-- {0} -->",
+        "<div><a href=1>{0}</a></div>", "<div class=newsletter><p>{0}</p></div>", "<div hidden><p>{0}</p></div>"]
+
+
+def test_main_text_of_random_pages():
+    """Pages put together from parts that are known to be the article or not."""
+    rng = random.Random(3)
+    for _ in range(600):
+        text = rng.choice([ENGLISH, ITALIAN, JAPANESE])
+        main = [f"{text} {text * rng.randrange(3)}{k}" for k in range(rng.randrange(3, 9))]
+        body = rng.choice(BODIES).format("".join(f"<p>{p}{rng.choice(['', '</p>'])}" for p in main))
+        around = [x.format(f"{text} {rng.random()}") for x in rng.sample(REST, rng.randrange(5))]
+        at = rng.randrange(len(around) + 1)
+        page = "<html><body class='no-sidebar'>" + "".join(around[:at]) + body + "".join(around[at:]) + "</body></html>"
+        assert html_extract.main_text(page) == "\n\n".join(" ".join(p.split()) for p in main), page
+
+
+def test_pages_of_little_text():
+    extract = html_extract.main_text
+    assert extract(f"<nav><a href=/>Home</a></nav><div><p>{ENGLISH}</p></div><div>Copyright</div>").startswith(ENGLISH)
+    assert extract("<form><h1>Log in</h1><p>Name</p><input><p>Password of the user</p></form>") == ""
+    assert extract("".join(f"<div>Item {k}</div>" for k in range(200))) == ""
+    assert extract("<article><p>Short.</article><div><p>" + ENGLISH * 3 + "</div>").startswith("Short.")
+    assert extract(f"<article><p>{LONG}<section class=social><p>Share this with the friends of the house</p></section></article>") == LONG.strip()
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "</article>" * 100_000, "<div class='" * 50_000, "<a '>" * 100_001, "<p>" * 200_000, "<form><nav>" * 50_000,
+    "<script>" * 100_000, "</div>" * 100_000, "<div class=long-form>x</div>" * 50_000, "&#x" * 200_000])
+def test_hostile_pages_take_no_longer_than_long_ones(page):
+    before = time.process_time()
+    html_extract.main_text(page)
+    html_extract.main_text("<main>" + page)
+    assert time.process_time() - before < 20
+
+
+def test_a_very_long_page_is_kept_whole():
+    parts = [f"{ENGLISH} {k}" for k in range(40_000)]
+    for page in ("<article>{0}</article>", "<div>{0}</div>"):
+        assert html_extract.main_text(page.format("".join(f"<p>{p}" for p in parts))) == "\n\n".join(parts)
+
+
 def test_open_blocks_take_the_label_of_their_neighbours():
     good, bad, unsure = html_extract.GOOD, html_extract.BAD, html_extract.OPEN
     same = html_extract.inherit([good, unsure, unsure, good, unsure, bad], [0] * 6, [False] * 6, [False] * 6)
