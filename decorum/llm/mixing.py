@@ -18,35 +18,69 @@ from pyspark.sql import functions as F
 from decorum.llm.store import Shelf
 
 WEIGHTS = (5, 2, 1)
+#: Buckets of quotients up to the mean of the last ones that win, and numbers of items ranked at once.
+BUCKETS = 1 << 14
+RANGE = 1 << 16
 
 
-def sainte_lague(table, group, item, weight, seats, name):
+def sainte_lague(table, group, item, weight, seats, name, shelf=None):
     """Deal the seats of each group to its items: the column ``name`` is the number
     of an item's quotients weight / (2k - 1) among the group's highest.
 
     ``seats`` is the group's number of seats, the same in all rows of a group. An
     item's seats differ from its exact share by no more than share * (items + 1) / 2 + 1/2, so
-    only the quotients near that share are ranked, about five for each item. Ties
-    go to the lower item. Groups without weight get no seats.
+    only the quotients near that share are looked at, about five for each item. Ties
+    go to the lower item (a number). Groups without weight get no seats.
+
+    Nothing ranks the quotients of a group. A histogram tells the bucket of the last
+    quotient that wins, the values in that bucket its value. The items that tie there
+    are counted in ranges of ``RANGE`` numbers, and one such range is ranked. With that
+    value and the last item that wins by it, each row knows its seats. ``table`` is read
+    several times. Null groups get no seats.
     """
-    whole = Window.partitionBy(group)
-    total, items = F.sum(weight).over(whole), F.count("*").over(whole)
-    part = F.when(total > 0, F.col(weight) / total).otherwise(0.0)
-    exact, slack = F.col("_part") * F.col(seats), F.col("_part") * (F.col("_items") + 1) / 2 + 1
-    near = (table.withColumn("_part", part).withColumn("_items", items).filter("_part > 0")
-            .withColumn("_sure", F.greatest(F.floor(exact - slack), F.lit(0)))
-            .withColumn("_most", F.ceil(exact + slack)))
-    # The sum stands before the explode, which would repeat its rows.
-    near = near.withColumn("_all_sure", F.sum("_sure").over(whole))
-    quotients = near.select(group, item, seats, "_sure", "_all_sure",
-                            F.col(weight).alias("_weight"),
-                            F.explode(F.sequence(F.col("_sure") + 1, F.col("_most"))).alias("_k"))
-    best = Window.partitionBy(group).orderBy((F.col("_weight") / (2 * F.col("_k") - 1)).desc(), item, "_k")
-    won = quotients.withColumn("_place", F.row_number().over(best)).groupBy(
-        F.col(group).alias("_won_group"), F.col(item).alias("_won_item")).agg(
-        (F.first("_sure") + F.sum((F.col("_place") <= F.col(seats) - F.col("_all_sure")).cast("long"))).alias("_won"))
-    mine = F.col(group).eqNullSafe(F.col("_won_group")) & F.col(item).eqNullSafe(F.col("_won_item"))
-    return table.join(won, mine, "left").select(*table.columns, F.coalesce("_won", F.lit(0)).alias(name))
+    shelf = shelf or Shelf(table.sparkSession, "seats")
+    whole = shelf.put("totals", table.groupBy(group).agg(
+        F.sum(weight).alias("_total"), F.count("*").alias("_items"), F.first(seats).alias("_all")))
+    part = F.col(weight) / F.col("_total")
+    exact, slack = part * F.col("_all"), part * (F.col("_items") + 1) / 2 + 1
+    sure, most = F.greatest(F.floor(exact - slack), F.lit(0)), F.ceil(exact + slack)
+    known = whole.filter("_total > 0")
+    near = table.filter(F.col(weight) > 0).join(known, group).select(
+        group, F.col(item).alias("_item"), F.col(weight).alias("_w"), sure.alias("_sure"), most.alias("_most"),
+        (2 * F.col("_all") / F.col("_total")).alias("_scale"))
+    quotient = F.col("_w") / (2 * F.col("_k") - 1)
+    quotients = near.select(group, "_w", "_scale", F.explode(F.sequence(F.col("_sure") + 1, F.col("_most"))).alias("_k")).select(
+        group, quotient.alias("_q"), F.least(F.floor(quotient * F.col("_scale") * BUCKETS), F.lit(64 * BUCKETS)).alias("_bucket"))
+
+    def reach(counts, key, need, descending):
+        """Per group the first ``key`` in order at which ``need`` rows are reached, and what is left for it."""
+        order = F.col(key).desc() if descending else F.col(key).asc()
+        upto = F.sum("_n").over(Window.partitionBy(group).orderBy(order))
+        at = F.struct((-F.col(key) if descending else F.col(key)).alias("at"), (F.col(need) - F.col("_upto") + F.col("_n")).alias("left"))
+        met = counts.withColumn("_upto", upto).filter(F.col("_upto") >= F.col(need)).groupBy(group).agg(F.min(at).alias("_at"))
+        return met.select(group, (-F.col("_at.at") if descending else F.col("_at.at")).alias(key), F.col("_at.left").alias("_left"))
+
+    need = near.groupBy(group).agg(F.sum("_sure").alias("_given")).join(known, group).select(
+        group, (F.col("_all") - F.col("_given")).alias("_need")).filter("_need > 0")
+    counts = quotients.groupBy(group, "_bucket").agg(F.count("*").alias("_n")).join(need, group)
+    edge = shelf.put("edge", reach(counts, "_bucket", "_need", True).withColumnRenamed("_left", "_need"))
+    values = quotients.join(edge, [group, "_bucket"]).groupBy(group, "_q").agg(F.count("*").alias("_n"), F.first("_need").alias("_need"))
+    last = shelf.put("last", reach(values, "_q", "_need", True).withColumnRenamed("_left", "_need"))
+    # An item's quotients differ, so it ties with one of them at most.
+    ties = near.join(last, group).filter(F.exists(F.sequence(F.col("_sure") + 1, F.col("_most")),
+                                                  lambda k: F.col("_w") / (2 * k - 1) == F.col("_q"))).withColumn(
+        "_range", F.floor(F.col("_item") / RANGE))
+    ranges = ties.groupBy(group, "_range").agg(F.count("*").alias("_n"), F.first("_need").alias("_need"))
+    ranges = shelf.put("ranges", reach(ranges, "_range", "_need", False))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_item"))
+    final = ties.join(ranges, [group, "_range"]).withColumn("_place", place).filter("_place = _left").select(
+        group, F.col("_q").alias("_last"), F.col("_item").alias("_last_item"))
+    cuts = shelf.put("cuts", known.join(need.select(group, "_need"), group, "left").join(final, group, "left"))
+    mine = F.filter(F.sequence(F.col("_sure") + 1, F.col("_most")), lambda k: (
+        (F.col(weight) / (2 * k - 1) > F.col("_last")) | ((F.col(weight) / (2 * k - 1) == F.col("_last")) & (F.col(item) <= F.col("_last_item")))))
+    won = F.when(F.col("_need").isNull(), 0).when(F.col("_last").isNull(), F.col("_most") - F.col("_sure")).otherwise(F.size(mine))
+    dealt = table.join(cuts, group, "left").withColumn("_sure", sure).withColumn("_most", most)
+    return dealt.select(*table.columns, F.when((F.col("_total") > 0) & (F.col(weight) > 0), F.col("_sure") + won).otherwise(0).cast("long").alias(name))
 
 
 def targets(sizes, ceiling=3.0, weights=WEIGHTS):
@@ -108,9 +142,9 @@ def plan(docs, id_col="doc_id", text_col="text", source_col="source", size=None,
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
         F.coalesce(count, F.lit(0)).cast("long").alias("_size"), draw(F.lit(seed), F.col(id_col)).alias("_draw")))
     per_source = slim.groupBy("_source").agg(F.sum("_size").alias("_size"))
-    aims = targets(per_source, ceiling, weights).withColumn("_all", F.lit(0)).withColumn(
-        "_total", F.round(F.sum("_target").over(Window.partitionBy(F.lit(0))) / block).cast("long"))
-    aims = sainte_lague(aims, "_all", "_rank", "_target", "_total", "_seats")
+    aims = shelf.put("aims", targets(per_source, ceiling, weights).withColumn("_mix", F.lit(0)).withColumn(
+        "_blocks", F.round(F.sum("_target").over(Window.partitionBy(F.lit(0))) / block).cast("long")))
+    aims = sainte_lague(aims, "_mix", "_rank", "_target", "_blocks", "_seats", shelf)
     aims = shelf.put("targets", aims.select("_source", F.col("_size").alias("_source_size"), "_target", "_seats",
                                             F.ceil(F.greatest("_size", F.lit(1)) / shard_words).alias("_shards"), "_rank"))
     # One row per source; spread over the rows by whichever join fits its size.
@@ -119,7 +153,7 @@ def plan(docs, id_col="doc_id", text_col="text", source_col="source", size=None,
     dealt = shelf.put("dealt", dealt)
     shards = dealt.groupBy("_rank", "_shard").agg(F.sum("_size").alias("_words")).join(
         aims.select("_rank", "_seats", "_source_size", "_target"), "_rank")
-    shards = sainte_lague(shards, "_rank", "_shard", "_words", "_seats", "_quota")
+    shards = sainte_lague(shelf.put("words", shards), "_rank", "_shard", "_words", "_seats", "_quota", shelf)
     blocks = F.greatest(F.round(F.col("_words") / block), F.lit(1)).cast("long")
     shards = shelf.put("shards", shards.withColumn("_blocks", blocks).select(
         "_rank", "_shard", "_words", "_blocks", "_source_size", "_target",

@@ -1,6 +1,7 @@
 """Chats, pages, token counts, quality, language model, mixing and decontamination."""
 
 import collections
+import heapq
 import math
 import random
 import re
@@ -396,6 +397,27 @@ def test_sainte_lague_against_one_seat_at_a_time(spark, seed):
     assert got == wanted
 
 
+@pytest.mark.parametrize("weights", ["alike", "equal", "mixed"])
+def test_seats_of_many_shards(spark, weights, monkeypatch):
+    """10^5 items of one group, dealt one seat at a time with a heap; equal weights tie everywhere."""
+    rng = random.Random(5)
+    pick = {"alike": lambda: 262_144 + rng.randrange(-900, 900), "equal": lambda: 1000, "mixed": lambda: rng.randrange(3) and int(rng.paretovariate(1) * 100)}[weights]
+    size = [pick() for _ in range(100_000)]
+    seats = 333_331
+    monkeypatch.setattr(mixing, "RANGE", 1000)
+    df = spark.createDataFrame([(1, i, w, seats) for i, w in enumerate(size)] + [(2, 7, 5, 3), (3, 1, 0, 9), (None, 1, 1, 1)], "g int, i long, w long, s long")
+    got = {(r.g, r.i): r.won for r in mixing.sainte_lague(df, "g", "i", "w", "s", "won").collect()}
+    won = [0] * len(size)
+    heap = [(-w / 1, i) for i, w in enumerate(size) if w]
+    heapq.heapify(heap)
+    for _ in range(seats):
+        i = heap[0][1]
+        won[i] += 1
+        heapq.heapreplace(heap, (-size[i] / (2 * won[i] + 1), i))
+    assert [got[1, i] for i in range(len(size))] == won
+    assert (got[2, 7], got[3, 1], got[None, 1]) == (3, 0, 0)
+
+
 # Decontamination
 
 def plain_leaks(text, items, window):
