@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -463,3 +464,37 @@ def test_leaks_of_empty_tables(spark, docs_of, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.drop_leaks(docs_of(odd), none).count() == len(odd)
     assert decontaminate.find_leaks(docs_of([]), none).count() == 0
+
+
+def test_tables_of_a_benchmark_are_small(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=200))) for i in range(2_000)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    tables = list(decontaminate.build(items, 10))
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    tracemalloc.start()
+    patterns = decontaminate.Patterns(tables)
+    held = tracemalloc.get_traced_memory()[1] + sum(len(d) for _, d in tables)
+    tracemalloc.stop()
+    print(f"{size} bytes of items: {built} to build, {held} to search")
+    # 64 MB of items stay within 1 GB; small sets have tables of a fixed size and a vocabulary.
+    assert built < 15 * size + 20_000_000 and held < 10 * size + 10_000_000
+    text = "x " + " ".join(items[7][1].split()[20:40]) + " y"
+    counts, hits, found = patterns.search([text, None, items[3][1]])
+    assert counts.tolist() == [22, 0, 200] and hits[0].sum() == 20 and hits[2].all() and found == [{"7"}, set(), {"3"}]
+
+
+def test_patterns_whose_keys_collide(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(6)]
+    items = [(str(i), " ".join(rng.choices(vocabulary, k=rng.choice([2, 5, 12])))) for i in range(60)]
+    monkeypatch.setattr(decontaminate, "pattern_keys", lambda ids, last, length, bits: decontaminate.block_slots(ids, last, bits))
+    patterns = decontaminate.Patterns(decontaminate.build(items, 5))
+    for _ in range(20):
+        text = " ".join(rng.choices(vocabulary, k=80))
+        hit, found = plain_leaks(text, items, 5)
+        _, hits, names = patterns.search([text])
+        assert hits[0].tolist() == hit and names[0] == found
