@@ -357,3 +357,16 @@ def test_top_terms_send_few_rows(spark):
     assert len(local) == 20_000 + 20 * len({r.node for r in local})
     assert sum(r.top for r in local) == 20 * len({r.node for r in local})
     assert {r.term for r in features.top_terms(df, k=20, min_df=2).collect()} == {f"often{j}" for j in range(20)}
+
+
+def test_local_sums_count_small_pieces(spark):
+    """A batch of any size is counted in pieces, so a stretch ends within a batch too."""
+    rows = [(i, [f"t{i * j % 101}" for j in range(i % 40)]) for i in range(500)] + [(500, None)]
+    df = spark.createDataFrame(rows, "doc_id long, terms array<string>").coalesce(1)
+
+    def counts(**how):
+        local = features.local_sums(df, "terms", 20, **how)
+        return {r.term: (r.tf, r.df) for r in local.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).collect()}
+
+    assert counts(piece=64) == counts(piece=1) == counts()
+    assert features.local_sums(df, "terms", 20, room=50, piece=64).select("node").distinct().count() > 1
