@@ -64,12 +64,16 @@ def audit_rows(predictions, at=None, row_id=None):
     )
 
 
-def append_audit(predictions, path, batch_id=None, at=None, row_id=None, files_per_day=1, summary=None):
-    """Append the computed predictions as one batch, ``files_per_day`` files for each day. With
-    ``summary`` the batch's sums are written there: see ``summarize``."""
+def append_audit(predictions, path, batch_id=None, at=None, row_id=None, files_per_day=None, summary=None):
+    """Append the computed predictions as one batch, ``files_per_day`` files for each day, or as many as
+    adaptive execution takes for a day's size: one for a small day, and no task writes all rows of a
+    large one. With ``summary`` the batch's sums are written there: see ``summarize``."""
     batch = batch_id if batch_id is not None else f"run-{uuid.uuid4().hex}"
     rows = audit_rows(predictions, at, row_id)
-    rows = rows.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
+    if files_per_day:
+        rows = rows.repartition("log_date", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
+    else:
+        rows = rows.hint("rebalance", F.col("log_date"))
     rows.write.mode("overwrite").partitionBy("log_date").parquet(f"{path}/batch_id={batch}")
     if summary:
         summarize(predictions.sparkSession, path, summary, batch)
