@@ -11,6 +11,9 @@ from decorum.session import utc_timestamp
 from decorum.sources.audit import append_audit
 from decorum.sources.results import Results
 
+#: The texts of a result. Answers go without them; ``read_answers`` joins them.
+TEXTS = ["comment", "masked_comment", "normalized_comment"]
+
 
 def with_event_time(sdf, col="ts"):
     """A watermark needs an instant, not a zone-less time."""
@@ -60,6 +63,10 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
     ``scored_in``, the batch that scored the text. A text that failed is answered with its error, but is no
     result: it is scored again when it comes again.
 
+    However often a text arrives, it is written once: answers have its key and its scores, and ``read_answers``
+    gives them with the texts (those of failed ones lie in ``<answers>-failed``, once a batch). Arrivals that bring
+    their ``text_key`` are not hashed again.
+
     With ``audit`` the newly scored texts are also appended to that audit table (``at``: see ``audit_rows``).
     With ``counts`` the batch's share of the counts by time ``window`` of ``ts`` and risk level is written there: see ``window_counts``.
     """
@@ -73,31 +80,48 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
     def answer(batch, batch_id):
         spark = batch.sparkSession
         table = Results(spark, results, schema)
-        ok = with_key(split_valid(batch, col)[0], col).persist(StorageLevel.MEMORY_AND_DISK)
+        ok = with_key(split_valid(batch, col)[0], col)
+        rows = ok.drop(col).persist(StorageLevel.MEMORY_AND_DISK)
+        keys = rows.select("text_key").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            texts = distinct_texts(ok, col)
-            new = texts.join(table.of(texts).select("text_key"), "text_key", "left_anti")
+            new = distinct_texts(ok, col).join(table.of(keys).select("text_key"), "text_key", "left_anti")
             # Written, so that what is stored of it does not change it.
             scored = f"{results}-scored/batch_id={batch_id}"
             scorer(new).write.mode("overwrite").parquet(scored)
             fresh = spark.read.schema(schema).parquet(scored)
             table.add(successes(fresh), batch_id)
-            stored = table.of(texts)
+            stored = table.of(keys)
             if audit:
                 append_audit(stored.filter(F.col("scored_in") == batch_id), audit, batch_id, at)
             failed = fresh.filter(F.col("error").isNotNull()).withColumn("scored_in", F.lit(batch_id).cast("long"))
-            answered = join_unique(ok.drop(col), stored.unionByName(failed), "text_key", F.col(id_col))
+            failed.select("text_key", *TEXTS).write.mode("overwrite").parquet(f"{answers}-failed/batch_id={batch_id}")
+            found = stored.unionByName(failed).drop(*TEXTS)
+            answered = join_unique(rows, found, "text_key", F.col(id_col))
             answered.write.mode("overwrite").parquet(f"{answers}/batch_id={batch_id}")
             if counts:
                 mine = spark.read.parquet(f"{answers}/batch_id={batch_id}").withColumn("batch_id", F.lit(batch_id).cast("long"))
                 share = stream_hits(mine, ts, window, id_col, ["risk_level"])
                 share.write.mode("overwrite").parquet(f"{counts}/batch_id={batch_id}")
         finally:
-            ok.unpersist()
+            keys.unpersist()
+            rows.unpersist()
 
     return sdf.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
 
 
+def read_answers(spark, answers, results, id_col="id"):
+    """R2: the answers of all batches, each with its ``TEXTS``: those of its result, or for a failed text those of
+    its batch."""
+    kinds = ", ".join(f"{c} string" for c in ["text_key", *TEXTS])
+    texts = spark.read.schema(kinds).parquet(results).withColumn("batch_id", F.lit(None).cast("long"))
+    failed = spark.read.schema(f"{kinds}, batch_id long").parquet(f"{answers}-failed")
+    place = F.concat_ws(":", "text_key", "batch_id")
+    texts = texts.unionByName(failed).select(place.alias("_place"), *TEXTS)
+    failed_in = F.when(F.col("error").isNotNull(), F.col("batch_id"))
+    rows = spark.read.parquet(answers).withColumn("_place", F.concat_ws(":", "text_key", failed_in))
+    return join_unique(rows, texts, "_place", F.col(id_col)).drop("_place")
+
+
 def window_counts(spark, counts, by=("window_start", "risk_level")):
     """Arrivals, misses and hits by time window and risk level, from the shares of all batches.
 

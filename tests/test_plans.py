@@ -373,3 +373,56 @@ def test_utc_timestamp_ignores_the_session_zone(spark):
         assert got[0] == got[1] == 1710037800000000
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_answers_hold_no_texts(spark, comments, feed, tmp_path):
+    """A text lies once with its result, or once a batch if it failed, however often it arrives."""
+    base = str(tmp_path)
+    run(stream.answer_stream(feed, f"{base}/results", f"{base}/answers", f"{base}/state", scorer=fragile()))
+    assert not {"text", *stream.TEXTS} & set(spark.read.parquet(f"{base}/answers").columns)
+    assert spark.read.parquet(f"{base}/answers-failed").count() == 1
+    cols = ["id", "comment", "masked_comment", "normalized_comment", "hybrid_score", "error"]
+    got = stream.read_answers(spark, f"{base}/answers", f"{base}/results").select(cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, predict(comments, scorer=fragile())[0].select(cols).collect()))
+
+
+def test_keyed_rows_are_valid_by_their_key(spark):
+    from decorum.operators.cleaning import split_valid
+    from decorum.operators.reuse import with_key
+
+    keyed = with_key(spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "id int, text string"))
+    ok, rejected = split_valid(keyed)
+    assert [r.id for r in ok.collect()] == [1] and sorted(r.id for r in rejected.collect()) == [2, 3]
+    assert "trim" not in ok.drop("text")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_large_day_has_many_files(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(
+        "id", F.md5(F.col("id").cast("string")).alias("comment"), F.md5(F.col("id").cast("string")).alias("masked_comment"), F.lit(0.1).alias("ml_score"),
+        F.lit(0.2).alias("llm_confidence"), F.lit(0.3).alias("hybrid_score"), F.lit("LOW").alias("risk_level"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        audit.append_audit(rows, str(tmp_path / "log"), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    log = audit.read_audit(spark, str(tmp_path / "log"))
+    assert log.count() == log.select("id").distinct().count() == 20_000
+    assert log.select(F.input_file_name()).distinct().count() >= 4
+
+
+def test_csv_of_many_files(spark, tmp_path, monkeypatch):
+    """No task writes or reads all lines."""
+    from decorum import queries
+
+    texts = [f"text {i}, \"quoted\"\nnext" if i % 7 else None for i in range(4_000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(queries, "folder_for", lambda spark, purpose: str(tmp_path / purpose))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.kind: (r.n, r.chars) for r in queries.csv_rejects(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "csv-rejects" / "comments").glob("part-*"))
+    assert len(files) > 1 and all(f.read_text().startswith("comment_text,toxic\n") for f in files if f.stat().st_size)
+    assert sum(n for n, _ in got.values()) == sum(t is not None or i % 10 != 6 for i, t in enumerate(texts))
+    assert got["surplus fields"][0] == sum(t is not None and i % 10 == 3 for i, t in enumerate(texts))
