@@ -210,3 +210,55 @@ def test_everyday_characters_stay_on_the_jvm(spark):
     accented = "".join(c for group in by_mark.values() for c, _ in group)
     hard = F.col("text").rlike(f"[^\\x00-\\x7F](?<![{accented}{common}])(?<=[{changing}])")
     assert [r.h for r in df.select(hard.alias("h")).collect()] == [False] * len(plain) + [True] * len(other)
+
+
+def test_folded_words_by_table_are_those_of_the_rule(spark, apply):
+    from decorum import lexicon
+
+    words, safe = ["naïve", "asshole", "hell", "shit"], ["shell", "hist"]
+    found = T._replacements(tuple(words), tuple(safe), True, True, False)
+    assert found["hall"] == "hell" and found["thsi"] == "shit" and not {"hell", "shell", "hist"} & set(found)
+    rng = __import__("random").Random(9)
+    others = ["".join(rng.choice("abehilostuvßï") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts = sorted(set(found)) + ["loashse", "naive", "naïv", "helß", "(hall)!", "HALL", "..", "a hall..b hall.", "shti", "hhell"] + others
+    rule = lambda c: F.coalesce(F.when(T.in_gate(c), F.coalesce(T.anagram_word(c, words, safe), T.near_word(c, words, safe))), c)
+    bare = [t for t in texts if t == t.strip(lexicon.WORD_TRIM) and t == t.lower() and " " not in t]
+    assert apply(lambda c: T.fold_words(c, words, safe), bare) == apply(rule, bare)
+    assert apply(lambda c: T.fold_words(c, words, safe), ["(hall)! ", "HALL", "..", "a hall..b  hall.\tok"]) == ["hell", "hell", "..", "a hall..b hell ok"]
+
+
+def test_words_are_counted_as_python_does(apply):
+    import re
+
+    from decorum.functions import scores as S
+
+    texts = ["", "a", "ab", "a b", "a bc", "ab, c_d -ef!", "naïve e\u0301te", "x\U00010400y \U00010400", "“so” … it’s", "kill, killer kill", "KILL", "a\nkill\tdie", "_kill kill_ 1kill"]
+    assert apply(S.word_count, texts) == [len(re.findall(r"\w\w+", t)) for t in texts]
+    hits = apply(lambda c: S.lexicon_hits(c, ["kill", "killer", "die"]), texts)
+    assert hits == [len(re.findall(r"(?<!\w)(?:killer|kill|die)(?!\w)", t, re.I)) for t in texts]
+
+
+def test_one_look_tells_whether_any_pattern_matches(spark):
+    import re
+
+    from decorum import lexicon
+    from decorum.functions.patterns import has_any, to_java
+
+    rng = __import__("random").Random(4)
+    pieces = ["f", "u", "c", "k", "ss", "h", "i", "!", "1", "@", "a", "t", "d", "e", " ", ".", "_", "o", "l", "n", "g", "x", "\u00df", "\U00010400"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    texts += ["fcuk", "a fcuk!", "xfcuk", "fcukx", "f u c k", "x@sshole", "@sshole", "asihto", "sihts"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for patterns in (lexicon.SLUR_PATTERNS, lexicon.TRANSPOSITION_PATTERNS):
+        patterns = [p for p, _ in patterns]
+        one_by_one = F.lit(False)
+        for p in patterns:
+            one_by_one = one_by_one | F.col("text").rlike(to_java(p))
+        rows = df.select("text", has_any(F.col("text"), patterns).alias("any"), one_by_one.alias("each")).collect()
+        assert [r.any for r in rows] == [r.each for r in rows] and len({r.any for r in rows}) == 2
+        assert all(r.any == any(re.search(p, r.text, re.I) for p in patterns) for r in rows if r.text.isascii())
+
+
+def test_only_blank_ends_are_trimmed(spark, apply):
+    texts = ["", " ", "a", " a", "a\u3000", "\x1f a b \u2028", None, "a b"]
+    assert apply(T.strip_blanks, texts) == [t if t is None else t.strip() for t in texts]
