@@ -18,15 +18,13 @@ documents meet their counts in a shuffle, since the vocabulary grows with the co
 
 import base64
 import math
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from decorum.llm.attention import WIDTH, Attention, Scorer, train
-from decorum.llm.simhash import words
 from decorum.llm.store import Shelf, stretches
 from decorum.llm.token_counts import PIECES
 
@@ -64,7 +62,7 @@ class Subwords:
         counts = []
         for lo in range(0, len(real), 2000):
             part = real[lo:lo + 2000]
-            ids = np.array(self.coder.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in part)), np.int64)
+            ids = np.array(self.coder.encode_ordinary((b" " + b" ".join(part)).decode("utf-8", "replace")), np.int64)
             begin = np.flatnonzero(self.opens[ids])
             flat.append(ids)
             counts.append(np.diff(begin, append=len(ids)))
@@ -76,25 +74,27 @@ class Subwords:
         return out, length
 
 
-def gather(docs, text_col):
-    """(word, n): word counts by task."""
-    def work(batches):
-        counts, ends = Counter(), 0
+def split(texts):
+    """(number of words of each text, the words one after the other) of an Arrow column:
+    as :func:`decorum.llm.simhash.words`, A-Z lower-cased and cut at ASCII white space."""
+    lines = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    # White space at either end of a text leaves an empty word there.
+    flat = lines.flatten().cast(pa.large_binary())
+    real = pc.not_equal(flat, pa.scalar(b"", pa.large_binary()))
+    kept = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    bounds = lines.offsets.to_numpy().astype(np.int64)
+    return np.diff(kept[bounds - bounds[0]]), flat.filter(real)
 
-        def flush():
-            nonlocal counts, ends
-            if ends:
-                counts[END] = ends
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-            counts, ends = Counter(), 0
 
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words(text.as_py()))
-                ends += 1
-                if len(counts) > 400_000:
-                    yield from flush()
-        yield from flush()
+def gather(docs, text_col):
+    """(word, n): word counts by stretch of texts."""
+    def work(batches):
+        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(0), 1 << 24)):
+            seen = split(batch.column(0).slice(at, end - at))[1].value_counts()
+            word, n = seen.flatten()
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([word.cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([end - at], pa.int64())])],
+                ["word", "n"])
 
     return docs.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInArrow(work, "word binary, n long")
 
@@ -157,11 +157,7 @@ def cut_windows(docs, path, shared, text_col, classes, share, rounds, some=256):
     def work(batches):
         of = shared.value
         subwords = Subwords(path)
-        lexicon = Lexicon(subwords, of, np.zeros(len(of)), {})
-        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(0), 1 << 20)):
-            if len(lexicon.words) > 300_000:
-                lexicon = Lexicon(subwords, of, np.zeros(len(of)), {})
-            n, number = lexicon.number(batch.column(0)[at:end].to_pylist())
+        for _, _, _, lexicon, n, number in numbered(batches, 0, subwords, of, np.zeros(len(of)), {}):
             length = lexicon.length[number]
             stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]
             rows = windows_of(stream, np.add.reduceat(length, np.cumsum(n) - n), classes)
@@ -313,13 +309,14 @@ class Lexicon(dict):
 
     def number(self, texts):
         """(words of each text, the number of every word), with the end of a text as its last word."""
-        lines = [words(t) for t in texts]
-        for w in lines:
-            w.append(END)
-        n = np.array([len(w) for w in lines], np.int64)
-        number = np.fromiter(map(self.__getitem__, chain.from_iterable(lines)), np.int64, n.sum())
+        n, flat = split(texts)
+        coded = flat.dictionary_encode()
+        # Every distinct word is looked up once.
+        known = np.fromiter(map(self.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+        number = np.full(len(flat) + len(n), self[END], np.int64)
+        number[np.arange(len(flat)) + np.repeat(np.arange(len(n)), n)] = known[coded.indices.to_numpy()]
         self.learn()
-        return n, number
+        return n + 1, number
 
     def learn(self):
         """Look up the words met since the last call."""
@@ -343,6 +340,22 @@ def mix(seen, total, p):
     return np.logaddexp(memory, p * math.log(10) + math.log(1 - MEMORY)) / math.log(10)
 
 
+def numbered(batches, column, subwords, of, part, frequent, group=4):
+    """(batch, first, last + 1, lexicon, words of each text, numbers of the words) of stretches
+    of texts. A group of them is numbered at once, which looks up fewer words."""
+    lexicon = Lexicon(subwords, of, part, frequent)
+    for batch in batches:
+        spans = list(stretches(batch.column(column), 1 << 20))
+        for some in (spans[i:i + group] for i in range(0, len(spans), group)):
+            if len(lexicon.words) > 300_000:
+                lexicon = Lexicon(subwords, of, part, frequent)
+            first, last = some[0][0], some[-1][1]
+            n, number = lexicon.number(batch.column(column).slice(first, last - first))
+            ends = np.append(0, np.cumsum(n))
+            for at, end in some:
+                yield batch, at, end, lexicon, n[at - first:end - first], number[ends[at - first]:ends[end - first]]
+
+
 def spread_runs(begins, lengths):
     """Positions begins[i], begins[i] + 1, ... of each run, one after the other."""
     total = np.cumsum(lengths)
@@ -369,11 +382,7 @@ def score(docs, path, learn, id_col="doc_id", text_col="text", share=1, rounds=3
     def work(batches):
         frequent, of, part, classes, flat = shared.value
         subwords, scorer = Subwords(path), Scorer(Attention(classes, SIZE, flat))
-        lexicon = Lexicon(subwords, of, part, frequent)
-        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(1), 1 << 20)):
-            if len(lexicon.words) > 300_000:
-                lexicon = Lexicon(subwords, of, part, frequent)
-            n, number = lexicon.number(batch.column(1)[at:end].to_pylist())
+        for batch, at, _, lexicon, n, number in numbered(batches, 1, subwords, of, part, frequent):
             begin = np.cumsum(n) - n
             length = lexicon.length[number]
             stream = lexicon.classes[spread_runs(lexicon.begin[number], length)]

@@ -10,10 +10,11 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from decorum.llm import attention, chat_format, decontaminate, html_extract, lm_score, mixing, quality_crf, token_counts
+from decorum.llm import attention, chat_format, decontaminate, html_extract, lm_score, mixing, quality_crf, simhash, token_counts
 from decorum.llm.queries import ranks, vocabulary
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -333,6 +334,52 @@ def test_every_token_of_a_training_text_is_trained_on(docs_of, spark, tmp_path):
     assert (windows[:, 1:] < lm_score.CLASSES).sum() == ids and (windows[:, 0] == lm_score.CLASSES).sum() == len(rows)
 
 
+def test_words_are_split_in_arrow_and_looked_up_once():
+    rng = random.Random(4)
+    texts = ["", " ", "\n\t x", "a  B\x0b\x0cc\x1cD ", "x\xa0Y É\x85 Z", "日本\u3000語 A", "a\x00b \x1f c"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0aBZÉ日\x00") for _ in range(rng.randrange(30))) for _ in range(300)]
+    wanted = [simhash.words(t) for t in texts]
+    column = pa.array(["before it", *texts, "after it"]).slice(1, len(texts))
+    n, flat = lm_score.split(column)
+    assert n.tolist() == [len(ws) for ws in wanted] and flat.to_pylist() == [w for ws in wanted for w in ws]
+
+    class Counted(lm_score.Lexicon):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    coder = lm_score.Subwords(ranks)
+    lexicon = Counted(coder, np.zeros(coder.size + 1, np.int64), np.zeros(coder.size + 1), {})
+    n, number = lexicon.number(column)
+    assert n.tolist() == [len(ws) + 1 for ws in wanted]
+    assert [lexicon.words[i] for i in number] == [w for ws in wanted for w in [*ws, lm_score.END]]
+    assert lexicon.looked == len(lexicon.words) < len(number)
+    # Texts numbered in groups: each stretch has its own words.
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{t} " * 40_000 for t in ("a b", "c", "d a", "e")] + texts)], ["t"])
+    parts = list(lm_score.numbered([batch], 0, coder, np.zeros(coder.size + 1, np.int64), np.zeros(coder.size + 1), {}, group=2))
+    assert len(parts) > 0 and [p[1] for p in parts[1:]] == [p[2] for p in parts[:-1]] and parts[-1][2] == batch.num_rows
+    for _, at, end, lexicon, n, number in parts:
+        lines = [simhash.words(t.as_py()) + [lm_score.END] for t in batch.column(0)[at:end]]
+        assert n.tolist() == list(map(len, lines)) and [lexicon.words[i] for i in number] == [w for ws in lines for w in ws]
+
+
+def test_batches_of_training_share_their_arrays():
+    model, rng = small_model(), np.random.default_rng(5)
+    room = attention.Room(4, attention.WIDTH, 12, 6)
+    for rows in (4, 4, 3):
+        x = rng.integers(0, 12, (rows, attention.WIDTH))
+        y = rng.integers(-1, 12, (rows, attention.WIDTH))
+        alone, shared = attention.step(model, x, y), attention.step(model, x, y, room)
+        assert alone[0] == shared[0] and np.array_equal(alone[1], shared[1])
+    # Scores too far apart for exp as they are, in the softmax of places and in that of classes.
+    x, y = rng.integers(0, 12, (4, attention.WIDTH)), rng.integers(0, 12, (4, attention.WIDTH))
+    steep = attention.Attention(12, 6, model.flat * 40)
+    loss, slope = attention.step(steep, x, y, room)
+    assert np.isfinite(loss) and np.isfinite(slope).all()
+
+
 def test_long_words_have_no_least_score(docs_of):
     rng = random.Random(3)
     long = ["".join(rng.choice("日本語中文字漢ไทย") for _ in range(n)) for n in (3000, 6000)]
