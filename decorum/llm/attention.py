@@ -221,7 +221,7 @@ class Scorer:
         #: Could a logit be too large for exp?
         self.steep = not reach < 80
 
-    def log_probs(self, stream, counts, batch=128):
+    def log_probs(self, stream, counts, batch=64):
         """Natural log probability of each class in ``stream``, the classes of texts of
         ``counts`` tokens one after the other. Every text needs one token at least."""
         counts = np.asarray(counts, dtype=np.int64)

@@ -89,12 +89,14 @@ def split(texts):
 def gather(docs, text_col):
     """(word, n): word counts by stretch of texts."""
     def work(batches):
-        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(0), 1 << 24)):
+        for batch, at, end in ((b, lo, hi) for b in batches for lo, hi in stretches(b.column(0))):
             seen = split(batch.column(0).slice(at, end - at))[1].value_counts()
             word, n = seen.flatten()
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([word.cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([end - at], pa.int64())])],
                 ["word", "n"])
+        # The worker goes on to other steps, which need the room.
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.coalesce(text_col, F.lit("")).alias("_text")).mapInArrow(work, "word binary, n long")
 
@@ -340,7 +342,7 @@ def mix(seen, total, p):
     return np.logaddexp(memory, p * math.log(10) + math.log(1 - MEMORY)) / math.log(10)
 
 
-def numbered(batches, column, subwords, of, part, frequent, group=4):
+def numbered(batches, column, subwords, of, part, frequent, group=2):
     """(batch, first, last + 1, lexicon, words of each text, numbers of the words) of stretches
     of texts. A group of them is numbered at once, which looks up fewer words."""
     lexicon = Lexicon(subwords, of, part, frequent)
