@@ -57,10 +57,11 @@ def score_texts(df, ml=S.lexicon_rate, scorer=S.lexicon_scorer, policies=None, m
     return map_policy(out, policies).select(*rest, *PREDICTION)
 
 
-def predict(df, col="text", id_col="id", order_col=None, **scoring):
+def predict(df, col="text", id_col="id", order_col=None, computed_only=False, **scoring):
     """(predictions, rejected rows). Each distinct text is scored once.
 
-    With ``order_col`` a ``cached`` flag tells repeats from first arrivals (W1). Texts
+    With ``order_col`` a ``cached`` flag tells repeats from first arrivals (W1); ``computed_only`` gives
+    only what ``audit_rows`` takes of them, the first arrivals of texts without an error. Texts
     cross the network on their way to be scored only; the rows that get the result back
     carry their key, and a frequent key's rows are split by adaptive execution.
     """
@@ -69,10 +70,16 @@ def predict(df, col="text", id_col="id", order_col=None, **scoring):
     results = score_texts(distinct_texts(keyed, col), col=col, **scoring)
     if not order_col:
         return keyed.drop(col).join(results, "text_key"), rejected
+    firsts = first_arrivals(keyed, order_col, id_col)
+    arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
+    if computed_only:
+        # Rows find their first arrival before they meet the texts, so these cross the network once.
+        computed = keyed.drop(col).join(firsts, "text_key").filter(F.col("_first") == arrival).drop("_first")
+        scored = computed.join(results.filter(F.col("error").isNull()), "text_key")
+        return scored.withColumn("cached", F.lit(False)), rejected
     # One slim aggregate by key meets the results, one row per key on either side;
     # both go back to the rows in the same join. A text that failed has no result to reuse.
-    results = results.join(first_arrivals(keyed, order_col, id_col), "text_key")
-    arrival = F.struct(F.col(order_col).alias("at"), F.col(id_col).alias("id"))
+    results = results.join(firsts, "text_key")
     scored = keyed.drop(col).join(results, "text_key")
     cached = (F.col("_first") != arrival) & F.col("error").isNull()
     return scored.withColumn("cached", cached).drop("_first"), rejected

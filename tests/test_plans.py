@@ -426,3 +426,35 @@ def test_csv_of_many_files(spark, tmp_path, monkeypatch):
     assert len(files) > 1 and all(f.read_text().startswith("comment_text,toxic\n") for f in files if f.stat().st_size)
     assert sum(n for n, _ in got.values()) == sum(t is not None or i % 10 != 6 for i, t in enumerate(texts))
     assert got["surplus fields"][0] == sum(t is not None and i % 10 == 3 for i, t in enumerate(texts))
+
+
+def tables(spark, folder, rows, events):
+    """Documents (doc_id, text) and events that bring them by number."""
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    times = [(i, dt.datetime(2024, 5, 1 + i % 3, i % 24)) for i in range(events)]
+    spark.createDataFrame(times, "event_id long, ts timestamp_ntz").write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("fails", [False, True])
+def test_computed_only_gives_the_rows_that_the_log_takes(spark, comments, fails):
+    scorer = fragile() if fails else S.lexicon_scorer
+    twice = comments.unionByName(comments.withColumn("id", F.col("id") + 100)).unionByName(comments.limit(2))
+    late = twice.withColumn("ts", F.when(F.col("id") % 3 > 0, F.col("ts")))
+    for df in (twice, late):
+        whole = audit.audit_rows(predict(df, order_col="ts", scorer=scorer)[0], F.col("ts"), F.col("id")).collect()
+        slim = audit.audit_rows(predict(df, order_col="ts", computed_only=True, scorer=scorer)[0], F.col("ts"), F.col("id")).collect()
+        assert whole and sorted(map(str, whole)) == sorted(map(str, slim))
+
+
+def test_an_audit_log_keeps_no_text_once_an_arrival(spark, tmp_path):
+    from decorum import queries
+
+    texts = ["you idiot", "see you", "you idiot", None, " ", "mail ann@example.com"]
+    folder = tables(spark, tmp_path, list(enumerate(texts)), 60)
+    path = queries._audit_log(spark, folder)
+    kept = spark.read.parquet(f"{path}/scored")
+    assert kept.count() == 3 and not {"comment", "normalized_comment"} & set(kept.columns)
+    log = audit.read_audit(spark, f"{path}/log").collect()
+    assert sorted(r.id for r in log) == [0, 1, 5]
+    assert sum(r.n for r in audit.read_summary(spark, f"{path}/sums").collect()) == 3
