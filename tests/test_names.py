@@ -53,6 +53,19 @@ def test_runs_and_their_neighbours(spark):
     assert got == {("met", "Ann", "yesterday", 1), ("", "Bob", "met", 1), ("met", "Cy", "", 1), ("dr.", "Who", "said", 1)}
 
 
+def test_a_run_of_any_length_needs_no_stack(spark, rules):
+    """All of a document may stand in capitals."""
+    long = " ".join(["ZUR", "WELT", "ÅSEN", "O’CO"] * 5_000)
+    texts = [f"my cousin {long} arrived", f"{long} quietly", f"{long} replied", f"{long} replied. 1Bo Lee replied"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert {(r["before"], r["first"], r["after"], r.n) for r in name_runs(df, "text").collect()} == {
+        ("cousin", "ZUR", "arrived", 1), ("", "ZUR", "quietly", 1), ("", "ZUR", "replied", 2), ("", "Lee", "replied", 1)}
+    assert [r.text for r in mask_learned(df, "text", rules).collect()] == [
+        "my cousin <PERSON> arrived", texts[1], "<PERSON> replied", "<PERSON> replied. 1Bo <PERSON> replied"]
+    john = spark.createDataFrame([(f"then John {long}, he",)], "text string")
+    assert mask_person(john, "text").first().text == "then <PERSON>, he"
+
+
 def test_nothing_to_learn_from(spark, tmp_path):
     none = learn_names(spark.createDataFrame([(None,), ("no capitals",)], "text string"), "text", str(tmp_path / "x"))
     assert {r.feature for r in none.filter("view = 'name'").collect()} == set(lexicon.FIRST_NAMES)
