@@ -370,3 +370,36 @@ def test_local_sums_count_small_pieces(spark):
 
     assert counts(piece=64) == counts(piece=1) == counts()
     assert features.local_sums(df, "terms", 20, room=50, piece=64).select("node").distinct().count() > 1
+
+
+def test_a_stretch_is_merged_part_by_part(monkeypatch):
+    """A worker never holds a whole stretch twice, however large it is."""
+    import pyarrow as pa
+
+    docs = [[f"{'w' * (j % 19)}{i * 500 + j}" for j in range(500)] + ["often"] for i in range(40)]
+    batches = [pa.record_batch([pa.array(docs[i:i + 10], pa.list_(pa.string()))], ["terms"]) for i in range(0, 40, 10)]
+
+    class Frame:
+        def select(self, _):
+            return self
+
+        def mapInArrow(self, work, _):
+            return list(work(iter(batches)))
+
+    most, concat = [0], pa.concat_tables
+    monkeypatch.setattr(features.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    monkeypatch.setattr(pa, "concat_tables", lambda tables, **how: most.append(sum(t.num_rows for t in tables)) or concat(tables, **how))
+    got = pa.Table.from_batches(features.local_sums(Frame(), k=20, room=1 << 20, piece=2_000)).to_pylist()
+    assert sorted((r["term"], r["tf"], r["df"]) for r in got) == sorted([(t, 1, 1) for d in docs for t in d[:-1]] + [("often", 40, 40)])
+    assert sum(r["top"] for r in got) == 20 and {r["node"] for r in got} == {3 << 24} and {r["top"] for r in got if r["term"] == "often"} == {True}
+    assert max(most) < len(got) / 3
+
+
+def test_terms_travel_in_small_batches(spark, monkeypatch):
+    """Wide rows meet Python in batches of some MB; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    cut, before, seen = features.local_sums, spark.conf.get(key, None), []
+    monkeypatch.setattr(features, "local_sums", lambda *a: seen.append(spark.conf.get(key)) or cut(*a))
+    df = spark.createDataFrame([(["a b", "c"],), (["c"],)], "terms array<string>")
+    assert [tuple(r) for r in features.top_terms(df, k=1, min_df=1).collect()] == [("c", 2, 2)]
+    assert [int(s) for s in seen] == [features.BATCH] and spark.conf.get(key, None) == before
