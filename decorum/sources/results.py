@@ -24,15 +24,23 @@ class Results:
         self.name = f"results_{hashlib.md5(f'{path} {buckets}'.encode()).hexdigest()}"
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns if f.name != "scored_in")
         spark.sql(f"""CREATE TABLE IF NOT EXISTS {self.name} ({kinds}, scored_in BIGINT) USING parquet
-            CLUSTERED BY (text_key) SORTED BY (text_key) INTO {buckets} BUCKETS LOCATION '{path}'""")
+            OPTIONS (compression 'zstd') CLUSTERED BY (text_key) SORTED BY (text_key) INTO {buckets} BUCKETS LOCATION '{path}'""")
 
     def read(self):
         return self.spark.table(self.name)
 
     def add(self, df, batch_id):
         """Store rows of texts that have none yet."""
-        rows = df.select(*self.columns, F.lit(batch_id).cast("long").alias("scored_in"))
-        rows.repartition(self.buckets, "text_key").sortWithinPartitions("text_key").write.insertInto(self.name)
+        self.store(self.dealt(df), batch_id)
+
+    def dealt(self, df):
+        """Rows dealt out as the table is."""
+        return df.repartition(self.buckets, "text_key")
+
+    def store(self, dealt, batch_id):
+        """As ``add``, of rows that are ``dealt`` already, and what was made of them row by row."""
+        rows = dealt.select(*self.columns, F.lit(batch_id).cast("long").alias("scored_in"))
+        rows.sortWithinPartitions("text_key").write.insertInto(self.name)
 
     def of(self, keys):
         """The stored rows of the table ``keys`` (text_key, each once)."""

@@ -6,7 +6,8 @@ from pyspark.storagelevel import StorageLevel
 
 from decorum.operators.cleaning import split_valid
 from decorum.operators.reuse import distinct_texts, join_unique, successes, text_key, with_key
-from decorum.plans.predict import score_texts
+from decorum.operators.skew import hot_keys
+from decorum.plans.predict import can_fail, score_texts
 from decorum.session import utc_timestamp
 from decorum.sources.audit import append_audit
 from decorum.sources.results import Results
@@ -76,6 +77,7 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
         return score_texts(texts, col=col, **scoring)
 
     schema = scorer(spark.createDataFrame([], f"text_key string, {col} string")).schema
+    fails = can_fail(spark, **scoring)
 
     def answer(batch, batch_id):
         spark = batch.sparkSession
@@ -84,12 +86,17 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
         rows = ok.drop(col).persist(StorageLevel.MEMORY_AND_DISK)
         keys = rows.select("text_key").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            new = distinct_texts(ok, col).join(table.of(keys).select("text_key"), "text_key", "left_anti")
-            # Written, so that what is stored of it does not change it.
-            scored = f"{results}-scored/batch_id={batch_id}"
-            scorer(new).write.mode("overwrite").parquet(scored)
-            fresh = spark.read.schema(schema).parquet(scored)
-            table.add(successes(fresh), batch_id)
+            # Dealt by bucket before they are scored: so dealt, they meet the stored keys and are stored themselves.
+            new = table.dealt(distinct_texts(ok, col)).join(table.of(keys).select("text_key"), "text_key", "left_anti")
+            if fails:
+                # Written, so that what is stored of it does not change it.
+                scored = f"{results}-scored/batch_id={batch_id}"
+                scorer(new).write.mode("overwrite").option("compression", "zstd").parquet(scored)
+                fresh = spark.read.schema(schema).parquet(scored)
+                table.add(successes(fresh), batch_id)
+            else:
+                table.store(scorer(new), batch_id)
+                fresh = spark.createDataFrame([], schema)
             stored = table.of(keys)
             if audit:
                 append_audit(stored.filter(F.col("scored_in") == batch_id), audit, batch_id, at)
@@ -112,14 +119,18 @@ def answer_stream(sdf, results, answers, checkpoint, col="text", id_col="id", au
 def read_answers(spark, answers, results, id_col="id"):
     """R2: the answers of all batches, each with its ``TEXTS``: those of its result, or for a failed text those of
     its batch."""
-    kinds = ", ".join(f"{c} string" for c in ["text_key", *TEXTS])
-    texts = spark.read.schema(kinds).parquet(results).withColumn("batch_id", F.lit(None).cast("long"))
-    failed = spark.read.schema(f"{kinds}, batch_id long").parquet(f"{answers}-failed")
-    place = F.concat_ws(":", "text_key", "batch_id")
-    texts = texts.unionByName(failed).select(place.alias("_place"), *TEXTS)
-    failed_in = F.when(F.col("error").isNotNull(), F.col("batch_id"))
-    rows = spark.read.parquet(answers).withColumn("_place", F.concat_ws(":", "text_key", failed_in))
-    return join_unique(rows, texts, "_place", F.col(id_col)).drop("_place")
+    rows, chosen = spark.read.parquet(answers), ["text_key", *TEXTS]
+    failed = spark.read.schema(", ".join(f"{c} string" for c in chosen) + ", batch_id long").parquet(f"{answers}-failed")
+    place = F.concat_ws(":", "text_key", "batch_id").alias("_place")
+    bad = rows.filter(F.col("error").isNotNull()).select("*", place)
+    bad = join_unique(bad, failed.select(place, *TEXTS), "_place", F.col(id_col))
+    # Texts stay in their buckets, where the rows come to them; only those of hot keys are sent to their rows.
+    good = rows.filter(F.col("error").isNull())
+    texts = Results(spark, results, spark.read.parquet(results).schema).read().select(*chosen)
+    hot = F.broadcast(hot_keys(good, "text_key"))
+    found = good.join(hot, "text_key", "left_anti").join(texts, "text_key").select(*rows.columns, *TEXTS)
+    often = join_unique(good.join(hot, "text_key", "left_semi"), texts.join(hot, "text_key", "left_semi"), "text_key", F.col(id_col))
+    return found.unionByName(often).unionByName(bad.drop("_place"))
 
 
 def window_counts(spark, counts, by=("window_start", "risk_level")):

@@ -458,3 +458,26 @@ def test_an_audit_log_keeps_no_text_once_an_arrival(spark, tmp_path):
     log = audit.read_audit(spark, f"{path}/log").collect()
     assert sorted(r.id for r in log) == [0, 1, 5]
     assert sum(r.n for r in audit.read_summary(spark, f"{path}/sums").collect()) == 3
+
+
+def test_stream_texts_are_stored_once_and_stay_in_their_buckets(spark, tmp_path):
+    """A frequent text too comes back with every answer; only such texts are sent to their rows."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(i, "you idiot" if i % 2 else f"see you at {i % 1500}", at + dt.timedelta(seconds=i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, text string, ts timestamp_ntz")
+    df.write.parquet(str(tmp_path / "in"))
+    base = str(tmp_path)
+    run(stream.answer_stream(read_comment_stream(spark, f"{base}/in", df.schema), f"{base}/results", f"{base}/answers", f"{base}/state"))
+    assert not os.path.exists(f"{base}/results-scored") and spark.read.parquet(f"{base}/results").count() == 751
+    answers = stream.read_answers(spark, f"{base}/answers", f"{base}/results")
+    cols = ["id", *stream.TEXTS, "hybrid_score", "risk_level", "error"]
+    assert sorted(map(str, answers.select(cols).collect())) == sorted(map(str, predict(df)[0].select(cols).collect()))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = stream.read_answers(spark, f"{base}/answers", f"{base}/results")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # The largest join, of all rows but hot ones and failed ones, reads the buckets with no exchange between.
+    first = plan[plan.index("SortMergeJoin"):].split("SortMergeJoin")[1]
+    assert "Bucketed: true" in plan and "hashpartitioning(text_key" in first and ", 64)" in first
